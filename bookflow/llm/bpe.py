@@ -22,8 +22,10 @@ PLAIN = "\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ"
 NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 #: Fixed value: the published splitting pattern of this vocabulary, written for ``re`` over PLAIN characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Distinct pre-tokens that a worker remembers before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Distinct pre-tokens that a worker remembers.
+CACHE_WORDS = 250_000
+#: Characters encoded at once.
+CHUNK_CHARS = 1_000_000
 
 
 def byte_chars() -> list[str]:
@@ -157,20 +159,13 @@ class MergeEncoder:
 
 
 class TextEncoder:
-    """Whole texts to ids, by either encoder, with a bounded cache of distinct pre-tokens."""
+    """Whole texts to ids, by either encoder. A bounded number of distinct pre-tokens is remembered; those met when the
+    memory is full are encoded once a chunk. Memory full of words that no longer occur is emptied."""
 
     def __init__(self, encoder: LibraryEncoder | MergeEncoder):
-        self.encoder, self.cache = encoder, {}
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
-        for w, i in self.encoder.special.items():
-            self.cache[w] = np.array([i], dtype="<u4").tobytes()
-        new = [w for w in words if w not in self.cache]
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
-            self.cache.update(zip(part, self.encoder.encode_words(part)))
+        self.encoder = encoder
+        self.fixed = {w: np.array([i], dtype="<u4").tobytes() for w, i in encoder.special.items()}
+        self.cache = dict(self.fixed)
 
     def encode(self, texts: list[str | None]):
         """Yield the ids of each text as little-endian unsigned 32-bit bytes."""
@@ -178,22 +173,34 @@ class TextEncoder:
         for text in texts:
             chunk.append(text or "")
             held += len(chunk[-1])
-            if held > 2_000_000:
+            if held > CHUNK_CHARS:
                 yield from self._encode(chunk)
                 chunk, held = [], 0
         yield from self._encode(chunk)
 
     def _encode(self, texts: list[str]):
         split = [self.encoder.splitter.split(t) for t in texts]
-        new = set().union(*split).difference(self.cache) if split else set()
-        if new:
-            # A cache that starts anew has to hold every word of this chunk.
-            self._learn(set().union(*split) if len(self.cache) + len(new) > CACHE_WORDS else new)
-        get = self.cache.__getitem__
+        distinct = set().union(*split)
+        new = list(distinct.difference(self.cache))
+        found = dict(zip(new, self.encoder.encode_words(new))) if new else {}
+        if len(self.cache) + len(new) <= CACHE_WORDS:
+            self.cache.update(found)
+            get = self.cache.__getitem__
+        else:
+            known = self.cache
+            get = lambda w: known.get(w) or found[w]
+            if 2 * len(new) > len(distinct):
+                self.cache = dict(self.fixed)
         for words in split:
             yield b"".join(map(get, words))
 
 
+def rows_of(batch, count: int = 256):
+    """A record batch in slices, so that few rows at a time become Python objects."""
+    for at in range(0, batch.num_rows, count):
+        yield batch.slice(at, count)
+
+
 class Decoder:
     """Ids to text, as the byte-level decoder of the library does."""
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.bpe import Decoder, MergeEncoder, worker_encoder
+from bookflow.llm.bpe import Decoder, MergeEncoder, rows_of, worker_encoder
 
 
 def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -22,7 +22,7 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         encoder = worker_encoder(spec.value, MergeEncoder)
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole)):
             ids = list(encoder.encode(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
 
@@ -36,7 +36,7 @@ def decode(encoded: DataFrame, tokenizer_json: str, id_col: str = "doc_id") -> D
 
     def run(batches):
         decoder = Decoder(spec.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole)):
             texts = [decoder.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
@@ -50,7 +50,7 @@ def digest(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         encoder, decoder = worker_encoder(spec.value, MergeEncoder), Decoder(spec.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole)):
             sizes, coded, plain = [], [], []
             for ids in encoder.encode(batch.column(1).to_pylist()):
                 sizes.append(len(ids) // 4)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.bpe import worker_encoder
+from bookflow.llm.bpe import rows_of, worker_encoder
 
 TIERS = (2048, 1024, 512, 256)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
@@ -148,7 +148,7 @@ def pack(docs: DataFrame, tokenizer_json: str, end_id: int = 1, tiers: tuple[int
             return pa.RecordBatch.from_pydict(out, schema=fields)
 
         windows, held = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole)):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
                 doc = (doc_id, ids + end)
                 windows += packer.add(doc, len(doc[1]) // 4)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import bpe_ops, exact_dedup, packing, token_output
+from bookflow.llm import bpe_ops, exact_dedup, html_extract, packing, token_output
 from bookflow.llm.bpe import read_tokenizer
 from bookflow.llm.common import table
 
@@ -29,6 +29,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op4_bpe": op4_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_html": op9_html,
     "op10_packing": op10_packing,
 }
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.llm import huffman
-from bookflow.llm.bpe import worker_encoder
+from bookflow.llm.bpe import rows_of, worker_encoder
 from bookflow.llm.common import materialize, remove, scratch
 
 MAGIC = b"HIB1"
@@ -43,7 +43,7 @@ def token_ids(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "
     def run(batches):
         encoder = worker_encoder(spec.value)
         width = id_width(encoder.encoder.splitter.tokenizer.get_vocab_size(), end_id)
-        for batch in batches:
+        for batch in (part for whole in batches for part in rows_of(whole)):
             ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(width).tobytes() for x in encoder.encode(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -69,7 +69,7 @@ def _groups(rows, weight, most):
 
 
 def _rows(batches, *names):
-    for batch in batches:
+    for batch in (part for whole in batches for part in rows_of(whole)):
         yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
 
