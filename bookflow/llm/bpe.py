@@ -23,7 +23,7 @@ NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 #: Fixed value: the published splitting pattern of this vocabulary, written for ``re`` over PLAIN characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Distinct pre-tokens that a worker remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 #: Characters encoded at once.
 CHUNK_CHARS = 1_000_000
 
@@ -160,7 +160,7 @@ class MergeEncoder:
 
 class TextEncoder:
     """Whole texts to ids, by either encoder. A bounded number of distinct pre-tokens is remembered; those met when the
-    memory is full are encoded once a chunk. Memory full of words that no longer occur is emptied."""
+    memory is full are forgotten after their chunk. Memory full of words that no longer occur is emptied."""
 
     def __init__(self, encoder: LibraryEncoder | MergeEncoder):
         self.encoder = encoder
@@ -182,17 +182,16 @@ class TextEncoder:
         split = [self.encoder.splitter.split(t) for t in texts]
         distinct = set().union(*split)
         new = list(distinct.difference(self.cache))
-        found = dict(zip(new, self.encoder.encode_words(new))) if new else {}
-        if len(self.cache) + len(new) <= CACHE_WORDS:
-            self.cache.update(found)
-            get = self.cache.__getitem__
-        else:
-            known = self.cache
-            get = lambda w: known.get(w) or found[w]
-            if 2 * len(new) > len(distinct):
-                self.cache = dict(self.fixed)
+        if new:
+            self.cache.update(zip(new, self.encoder.encode_words(new)))
+        get = self.cache.__getitem__
         for words in split:
             yield b"".join(map(get, words))
+        if len(self.cache) > CACHE_WORDS:
+            if 2 * len(new) > len(distinct):
+                self.cache = dict(self.fixed)
+            for word in new:
+                self.cache.pop(word, None)
 
 
 def rows_of(batch, count: int = 256):

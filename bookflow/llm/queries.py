@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import bpe_ops, exact_dedup, html_extract, packing, token_output
+from bookflow.llm import bpe_ops, exact_dedup, html_extract, packing, quality, token_output
 from bookflow.llm.bpe import read_tokenizer
 from bookflow.llm.common import table
 
@@ -21,6 +21,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_ops.digest(table(spark, sf_dir, "documents"), tokenizer())
 
@@ -39,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_html": op9_html,

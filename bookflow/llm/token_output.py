@@ -78,9 +78,8 @@ def id_counts(ids: DataFrame, vocabulary: int, width: str) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
-        for (raw,) in _rows(batches, "ids"):
-            found = np.bincount(np.frombuffer(raw, width), minlength=vocabulary)
-            total += found
+        for group in _groups(_rows(batches, "ids"), lambda r: len(r[0]), 2 * CHUNK_IDS):
+            total += np.bincount(np.frombuffer(b"".join(r[0] for r in group), width), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
