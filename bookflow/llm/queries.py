@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import bpe_ops, exact_dedup, html_extract, packing, quality, token_output
+from bookflow.llm import bpe_ops, exact_dedup, html_extract, near_dup, packing, quality, token_output
 from bookflow.llm.bpe import read_tokenizer
 from bookflow.llm.common import table
 
@@ -29,6 +29,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_ops.digest(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.group(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op6_near_dup": op6_near_dup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
