@@ -1,8 +1,7 @@
 """Byte-level BPE: splitting texts into pre-tokens, an encoder that merges in batched numpy rounds, and a decoder.
 
-A pre-token is merged on its own, so every operator here encodes each distinct pre-token once per worker cache and looks
-the others up. Two encoders fill that cache: :class:`MergeEncoder` (this module's own merge rounds) and
-:class:`LibraryEncoder` (the ``tokenizers`` library).
+A pre-token is merged on its own, so both encoders encode distinct parts of texts once and look the others up in a bounded
+cache: :class:`MergingTextEncoder` by this module's own merge rounds, :class:`LibraryEncoder` by the ``tokenizers`` library.
 
 The tokenizer file is read on the driver and travels to executors as a string (its size doesn't depend on the data).
 """
@@ -11,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -23,7 +23,10 @@ NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 #: Fixed value: the published splitting pattern of this vocabulary, written for ``re`` over PLAIN characters.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Distinct pre-tokens that a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
+#: Characters beyond which a word isn't remembered.
+LONG_WORD = 100
+UNKNOWN = object()
 #: Characters encoded at once.
 CHUNK_CHARS = 1_000_000
 
@@ -61,44 +64,73 @@ class Splitter:
 
 
 class LibraryEncoder:
-    """Distinct pre-tokens to ids with the tokenizers library.
+    """Whole texts to ids with the tokenizers library, each distinct stretch between spaces once.
 
-    Words of letters are encoded many at once in one text that surely splits into them again (" a b", or one a line);
-    the ids are dealt back by the bytes that they stand for. The rest goes word by word.
+    The splitting pattern always begins a pre-token at a space between two other characters, so what stands between such
+    spaces is encoded on its own. New stretches are encoded many at once in one text that surely splits between them; the
+    ids are dealt back by the bytes that they stand for. Texts to which this doesn't apply (runs of blanks, unusual
+    characters, special tokens) are given to the library whole.
     """
 
-    SPACED, BARE = re.compile(r" [^\W\d_]+"), re.compile(r"[^\W\d_]+")
-
     def __init__(self, tokenizer_json: str):
-        self.splitter = Splitter(tokenizer_json)
-        self.special = self.splitter.special
+        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.sizes = Decoder(tokenizer_json).sizes
+        self.cache: dict[str, bytes | None] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _joined(self, words: list[str], between: str) -> list[bytes]:
-        text = "".join(between + w for w in words)
-        ids = np.array(self.splitter.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _joined(self, stretches: list[str], before: str) -> list[bytes]:
+        text = before + before.join(stretches)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.cumsum(self.sizes[ids])
-        stop = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + len(between))
+        stop = np.cumsum(np.fromiter(map(len, map(str.encode, stretches)), np.int64, len(stretches)) + 1)
         last = np.searchsorted(ends, stop, side="left")
-        if len(last) and not np.array_equal(ends[last], stop):
-            raise ValueError("the tokenizer doesn't split words of letters at spaces and line ends")
-        first = np.r_[0, last[:-1] + 1] + len(between)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), (last + 1).tolist())]
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        spaced, bare, rest = [], [], []
-        for k, w in enumerate(words):
-            (rest if NOT_PLAIN.search(w) else spaced if self.SPACED.fullmatch(w) else bare if self.BARE.fullmatch(w) else rest).append(k)
-        for group, between in ((spaced, ""), (bare, "\n")):
+        if not np.array_equal(ends[last], stop):
+            raise ValueError("the tokenizer doesn't begin a token at each space between words")
+        raw, last = ids.tobytes(), (4 * (last + 1)).tolist()
+        # A space is part of what follows it; a line end before a text's first stretch is an id of its own.
+        skip = 4 if before == "\n" else 0
+        return [raw[a + skip : b] for a, b in zip([0, *last], last)]
+
+    def _learn(self, new: list[str]) -> None:
+        """A stretch that has blanks at an end can't stand between single spaces: None. NUL marks a text's first stretch."""
+        blank = [w for w in new if not w.strip("\0") or w[-1].isspace() or w.strip("\0")[0].isspace()]
+        self.cache.update(dict.fromkeys(blank))
+        sound = [w for w in new if w not in self.cache]
+        for group, before in (([w for w in sound if w[0] != "\0"], " "), ([w for w in sound if w[0] == "\0"], "\n")):
             for a in range(0, len(group), 5_000):
                 part = group[a : a + 5_000]
-                for k, x in zip(part, self._joined([words[k] for k in part], between)):
-                    out[k] = x
-        for k, e in zip(rest, self.splitter.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-            out[k] = np.array(e.ids, dtype="<u4").tobytes()
-        return out
+                self.cache.update(zip(part, self._joined([w.lstrip("\0") for w in part], before)))
+
+    def encode(self, texts: list[str | None]):
+        """Yield the ids of each text as little-endian unsigned 32-bit bytes."""
+        for chunk in chunks(texts):
+            yield from self._encode(chunk)
+
+    def _encode(self, texts: list[str]):
+        found, missing, known = [], [], self.cache.get
+        for text in texts:
+            plain = text and not NOT_PLAIN.search(text) and not any(t in text for t in self.special)
+            stretches = ("\0" + text).split(" ") if plain else []
+            ids = list(map(known, stretches, repeat(UNKNOWN)))
+            at = [k for k, x in enumerate(ids) if x is UNKNOWN]
+            missing += [stretches[k] for k in at]
+            found.append((ids, at, [stretches[k] for k in at]))
+        new = list(set(missing))
+        if new:
+            self._learn(new)
+        for text, (ids, at, stretches) in zip(texts, found):
+            for k, w in zip(at, stretches):
+                ids[k] = self.cache[w]
+            try:
+                yield b"".join(ids) if ids else self._whole(text)
+            except TypeError:  # a None: blanks that aren't single spaces
+                yield self._whole(text)
+        forget(self.cache, new)
 
 
 class MergeEncoder:
@@ -158,25 +190,18 @@ class MergeEncoder:
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
-class TextEncoder:
-    """Whole texts to ids, by either encoder. A bounded number of distinct pre-tokens is remembered; those met when the
-    memory is full are forgotten after their chunk. Memory full of words that no longer occur is emptied."""
+class MergingTextEncoder:
+    """Whole texts to ids by :class:`MergeEncoder`, each distinct pre-token once."""
 
-    def __init__(self, encoder: LibraryEncoder | MergeEncoder):
-        self.encoder = encoder
-        self.fixed = {w: np.array([i], dtype="<u4").tobytes() for w, i in encoder.special.items()}
+    def __init__(self, tokenizer_json: str):
+        self.encoder = MergeEncoder(tokenizer_json)
+        self.fixed = {w: np.array([i], dtype="<u4").tobytes() for w, i in self.encoder.special.items()}
         self.cache = dict(self.fixed)
 
     def encode(self, texts: list[str | None]):
         """Yield the ids of each text as little-endian unsigned 32-bit bytes."""
-        chunk, held = [], 0
-        for text in texts:
-            chunk.append(text or "")
-            held += len(chunk[-1])
-            if held > CHUNK_CHARS:
-                yield from self._encode(chunk)
-                chunk, held = [], 0
-        yield from self._encode(chunk)
+        for chunk in chunks(texts):
+            yield from self._encode(chunk)
 
     def _encode(self, texts: list[str]):
         split = [self.encoder.splitter.split(t) for t in texts]
@@ -187,11 +212,34 @@ class TextEncoder:
         get = self.cache.__getitem__
         for words in split:
             yield b"".join(map(get, words))
-        if len(self.cache) > CACHE_WORDS:
-            if 2 * len(new) > len(distinct):
-                self.cache = dict(self.fixed)
-            for word in new:
-                self.cache.pop(word, None)
+        forget(self.cache, new)
+        self.cache.update(self.fixed)
+
+
+def chunks(texts: list[str | None]):
+    """Lists of texts of about CHUNK_CHARS characters together; null is empty."""
+    chunk, held = [], 0
+    for text in texts:
+        chunk.append(text or "")
+        held += len(chunk[-1])
+        if held > CHUNK_CHARS:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
+def forget(cache: dict, new: list[str]) -> None:
+    """Keep a worker's memory bounded: over CACHE_WORDS the chunk's new words go, but if they are very many, the old ones."""
+    if len(cache) > CACHE_WORDS:
+        if len(new) > CACHE_WORDS // 8:
+            cache.clear()
+        for word in new:
+            cache.pop(word, None)
+    else:
+        for word in new:
+            if len(word) > LONG_WORD:
+                cache.pop(word, None)
 
 
 def rows_of(batch, count: int = 256):
@@ -219,14 +267,14 @@ class Decoder:
         return self.bytes[at].tobytes().decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple[str, int], TextEncoder] = {}
+_ENCODERS: dict = {}
 
 
-def worker_encoder(tokenizer_json: str, kind: type = LibraryEncoder) -> TextEncoder:
+def worker_encoder(tokenizer_json: str, kind: type = LibraryEncoder):
     """This worker process's encoder: reused workers keep the pre-tokens they know."""
     key = (kind.__name__, hash(tokenizer_json))
     if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(kind(tokenizer_json))
+        _ENCODERS[key] = kind(tokenizer_json)
     return _ENCODERS[key]
 
 

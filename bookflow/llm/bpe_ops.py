@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.bpe import Decoder, MergeEncoder, rows_of, worker_encoder
+from bookflow.llm.bpe import Decoder, MergingTextEncoder, rows_of, worker_encoder
 
 
 def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,7 +21,7 @@ def encode(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        encoder = worker_encoder(spec.value, MergeEncoder)
+        encoder = worker_encoder(spec.value, MergingTextEncoder)
         for batch in (part for whole in batches for part in rows_of(whole)):
             ids = list(encoder.encode(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_tokens", "ids"])
@@ -49,7 +49,7 @@ def digest(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_co
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        encoder, decoder = worker_encoder(spec.value, MergeEncoder), Decoder(spec.value)
+        encoder, decoder = worker_encoder(spec.value, MergingTextEncoder), Decoder(spec.value)
         for batch in (part for whole in batches for part in rows_of(whole)):
             sizes, coded, plain = [], [], []
             for ids in encoder.encode(batch.column(1).to_pylist()):

@@ -42,10 +42,14 @@ def token_ids(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "
 
     def run(batches):
         encoder = worker_encoder(spec.value)
-        width = id_width(encoder.encoder.splitter.tokenizer.get_vocab_size(), end_id)
+        end = end_id.to_bytes(4, "little")
+        width = id_width(encoder.tokenizer.get_vocab_size(), end_id)
         for batch in (part for whole in batches for part in rows_of(whole)):
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)).astype(width).tobytes() for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(width).tobytes()
+            bounds = np.cumsum([0, *map(len, ids)]) * np.dtype(width).itemsize // 4
+            held = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype("<i4").tobytes()), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, ids binary")
