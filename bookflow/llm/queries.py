@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import bpe_ops, exact_dedup, html_extract, near_dup, packing, quality, token_output
+from bookflow.llm import bpe_ops, exact_dedup, html_extract, near_dup, packing, quality, token_output, toxicity
 from bookflow.llm.bpe import read_tokenizer
 from bookflow.llm.common import table
 
@@ -37,6 +37,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_near_dup": op6_near_dup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
 }
