@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import bpe_ops, exact_dedup, html_extract, near_dup, packing, quality, token_output, toxicity
+from bookflow.llm import bpe_ops, chat, exact_dedup, html_extract, near_dup, packing, quality, token_output, topk, toxicity
 from bookflow.llm.bpe import read_tokenizer
 from bookflow.llm.common import table
 
@@ -21,6 +21,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,6 +33,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_ops.digest(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.group(table(spark, sf_dir, "documents"))
 
@@ -51,8 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_topk": op2_topk,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_chat": op5_chat,
     "op6_near_dup": op6_near_dup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_toxicity": op8_toxicity,
