@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from bookflow import queries_features, queries_tables
+
+QUERIES: dict = {**queries_features.QUERIES, **queries_tables.QUERIES}
+ORACLE_SQL: dict = {**queries_features.ORACLE_SQL, **queries_tables.ORACLE_SQL}
