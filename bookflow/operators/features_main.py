@@ -150,5 +150,9 @@ def features(ticks: DataFrame) -> DataFrame:
     from bookflow.operators.ewm import recursive_features
 
     keys = [c for c in ticks.columns if c not in RAW]
-    wide = recursive_features(CATALOGUE.apply(ticks))
+    # The recursion goes first, over the few columns that it needs and passes on: Arrow never carries the wide table.
+    local, looking_back, nested = CATALOGUE.stages
+    seeds = CATALOGUE.needed(["rsv", "ofi_1"]).names()
+    recursive = recursive_features(CATALOGUE.needed(["rsv", "ofi_1"]).apply(ticks))
+    wide = Catalogue([[x for x in stage if x[0] not in seeds] for stage in (local, looking_back, nested)]).apply(recursive)
     return wide.selectExpr(*keys, *(f"CAST({clean(f'CAST({c} AS DOUBLE)')} AS FLOAT) AS {c}" for c in FEATURES))
