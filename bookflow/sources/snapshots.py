@@ -26,10 +26,21 @@ def parsed_or_zero(path: Column) -> list[Column]:
     return [F.coalesce(sym, F.lit(0)).alias("sym_id"), F.coalesce(date, F.lit(0)).alias("date_id"), F.coalesce(session, F.lit(0)).alias("session_nr")]
 
 
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length) of every CSV file under a folder, empty ones too, from the file system's own listing."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        if (path := f.getPath().toString()).endswith(".csv"):
+            found.append((path, f.getLen()))
+    return spark.createDataFrame(found, "path string, length long")
+
+
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each CSV file, without reading contents; order: date, session, instrument."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(folder)
-    return files.select("path", "length", *parsed(F.col("path"))).orderBy("date_id", "session", "sym_id", "source_file")
+    return listed(spark, folder).select("path", "length", *parsed(F.col("path"))).orderBy("date_id", "session", "sym_id", "source_file")
 
 
 def select_files(files: DataFrame, sym: int | None = None, first_date: int | None = None, last_date: int | None = None, session: str | None = None, most: int | None = None) -> DataFrame:
@@ -61,7 +72,7 @@ def read(spark: SparkSession, paths: str | list[str], schema: T.StructType = SNA
     by each file's header, absent ones are NULL; malformed numbers and NaN become NULL; ``label5`` is read as ``label_5``.
     """
     names = [f.name for f in schema.fields]
-    text = spark.read.option("wholetext", "true").text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     lines = text.select("path", F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("lines")).filter(F.size("lines") > 0)
     headed = lines.select("path", F.transform(F.split(F.element_at("lines", 1), ","), lambda c: F.regexp_replace(F.trim(c), r"^label(\d+)$", "label_$1")).alias("head"), F.posexplode("lines").alias("row_nr", "line")).filter("row_nr > 0")
     cells = headed.withColumn("cells", F.split("line", ","))
@@ -80,7 +91,7 @@ def read_statuses(spark: SparkSession, folder: str) -> DataFrame:
 
 def field_completeness(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
     """By file: expected columns that its header lacks, and columns beyond them."""
-    text = spark.read.option("wholetext", "true").text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    text = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     head = text.select(*parsed(F.col("path"))[:1], F.transform(F.split(F.element_at(F.split("value", r"\r?\n"), 1), ","), F.trim).alias("head"))
     wanted = F.array(*(F.lit(c) for c in expected))
     return head.select("source_file", F.array_except(wanted, "head").alias("missing"), F.array_except("head", wanted).alias("extra"))

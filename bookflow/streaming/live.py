@@ -15,7 +15,7 @@ from bookflow.operators.ewm import alpha_of
 
 
 def tick_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files of a folder, a few a micro-batch."""
+    """Parquet files of a folder, a few a micro-batch, the oldest first. Stateful steps take an instrument's ticks in that order."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
