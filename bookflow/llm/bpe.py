@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import repeat
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -26,7 +25,6 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|
 CACHE_WORDS = 1_200_000
 #: Characters beyond which a word isn't remembered.
 LONG_WORD = 100
-UNKNOWN = object()
 #: Characters encoded at once.
 CHUNK_CHARS = 1_000_000
 
@@ -66,8 +64,8 @@ class Splitter:
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library, each distinct stretch between spaces once.
 
-    The splitting pattern always begins a pre-token at a space between two other characters, so what stands between such
-    spaces is encoded on its own. New stretches are encoded many at once in one text that surely splits between them; the
+    The splitting pattern always begins a pre-token at a space between two other characters, and at a line end between
+    them, so what stands between is encoded on its own. New stretches are encoded many at once in one text that surely splits between them; the
     ids are dealt back by the bytes that they stand for. Texts to which this doesn't apply (runs of blanks, unusual
     characters, special tokens) are given to the library whole.
     """
@@ -78,7 +76,9 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.sizes = Decoder(tokenizer_json).sizes
-        self.cache: dict[str, bytes | None] = {}
+        self.ends = {c: self._whole(c) for c in ",."}
+        self.fixed = {"\n": self._whole("\n")}
+        self.cache: dict[str, bytes | bool] = dict(self.fixed)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -97,14 +97,24 @@ class LibraryEncoder:
         return [raw[a + skip : b] for a, b in zip([0, *last], last)]
 
     def _learn(self, new: list[str]) -> None:
-        """A stretch that has blanks at an end can't stand between single spaces: None. NUL marks a text's first stretch."""
+        """A stretch that has blanks at an end can't stand between single spaces: False. NUL marks a text's first stretch.
+
+        A comma or full stop after a letter is a pre-token, so such a stretch takes the ids of the rest, and one more.
+        """
+        cache = self.cache
         blank = [w for w in new if not w.strip("\0") or w[-1].isspace() or w.strip("\0")[0].isspace()]
-        self.cache.update(dict.fromkeys(blank))
-        sound = [w for w in new if w not in self.cache]
+        cache.update(dict.fromkeys(blank, False))
+        stems = {w: w[:-1] for w in new if w[-1:] in self.ends and w[-2:-1].isalpha() and w not in cache}
+        sound = [w for w in new if w not in stems and w not in cache]
+        sound += [w for w in set(stems.values()).difference(sound) if w not in cache]
         for group, before in (([w for w in sound if w[0] != "\0"], " "), ([w for w in sound if w[0] == "\0"], "\n")):
             for a in range(0, len(group), 5_000):
                 part = group[a : a + 5_000]
-                self.cache.update(zip(part, self._joined([w.lstrip("\0") for w in part], before)))
+                cache.update(zip(part, self._joined([w.lstrip("\0") for w in part], before)))
+        unsound = [w for w, stem in stems.items() if cache[stem] is False]
+        cache.update(dict.fromkeys(unsound, False))
+        cache.update((w, cache[stem] + self.ends[w[-1]]) for w, stem in stems.items() if cache[stem] is not False)
+        new += set(stems.values())
 
     def encode(self, texts: list[str | None]):
         """Yield the ids of each text as little-endian unsigned 32-bit bytes."""
@@ -115,11 +125,13 @@ class LibraryEncoder:
         found, missing, known = [], [], self.cache.get
         for text in texts:
             plain = text and not NOT_PLAIN.search(text) and not any(t in text for t in self.special)
-            stretches = ("\0" + text).split(" ") if plain else []
-            ids = list(map(known, stretches, repeat(UNKNOWN)))
-            at = [k for k, x in enumerate(ids) if x is UNKNOWN]
-            missing += [stretches[k] for k in at]
-            found.append((ids, at, [stretches[k] for k in at]))
+            # A line end between two words is a pre-token too, and begins a first stretch.
+            stretches = ("\0" + text.replace("\n", " \n \0")).split(" ") if plain else []
+            ids = list(map(known, stretches))
+            at = [k for k, x in enumerate(ids) if x is None]
+            stretches = [stretches[k] for k in at]
+            missing += stretches
+            found.append((ids, at, stretches))
         new = list(set(missing))
         if new:
             self._learn(new)
@@ -128,9 +140,10 @@ class LibraryEncoder:
                 ids[k] = self.cache[w]
             try:
                 yield b"".join(ids) if ids else self._whole(text)
-            except TypeError:  # a None: blanks that aren't single spaces
+            except TypeError:  # a False: blanks that aren't single spaces
                 yield self._whole(text)
         forget(self.cache, new)
+        self.cache.update(self.fixed)
 
 
 class MergeEncoder:

@@ -66,10 +66,16 @@ def decode_tables(lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return bits, symbol, size
 
 
-def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, list[np.ndarray]]:
+def lots(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(checkpoints of each document, each checkpoint's place in its document)."""
+    each = (counts + EVERY - 1) // EVERY
+    return each, np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+
+
+def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Documents (flat ids and the number of ids of each) to bits, each document from a byte of its own.
 
-    Returns the bytes, the byte length of each document and each document's checkpoints (bit offsets from its start).
+    Returns the bytes, the byte length of each document and all checkpoints (bit offsets from the document's start).
     """
     size = lengths[ids].astype(np.int64)
     total = np.cumsum(size)
@@ -80,7 +86,8 @@ def pack(ids: np.ndarray, counts: np.ndarray, lengths: np.ndarray, codes: np.nda
     spans = (bits + 7) // 8
     starts = 8 * (np.cumsum(spans) - spans)
     at = total - size
-    marks = [at[a:b:EVERY] - c for a, b, c in zip(first.tolist(), ends.tolist(), before.tolist())]
+    each, within = lots(counts)
+    marks = at[np.repeat(first, each) + EVERY * within] - np.repeat(before, each) if len(ids) else np.empty(0, np.int64)
     at = at + np.repeat(starts - before, counts)
     words = np.zeros(int(spans.sum()) // 4 + 3, np.uint64)
     if len(ids):

@@ -21,7 +21,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,31 +31,47 @@ from bookflow.llm.common import materialize, remove, scratch
 MAGIC = b"HIB1"
 #: Ids a block holds before the next one starts; documents aren't split.
 BLOCK_IDS = 65_536
-#: Ids coded or decoded at once in a worker.
-CHUNK_IDS = 1_000_000
+#: Ids decoded at once in a worker.
+CHUNK_IDS = 2_000_000
 
 
-def token_ids(docs: DataFrame, tokenizer_json: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): ids with the end id, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit."""
+def binary_column(flat: bytes, sizes: np.ndarray) -> pa.Array:
+    """An Arrow column of byte strings from their concatenation; no string becomes a Python object."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype("<i4").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
+def flat_bytes(column: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """(the concatenation of a column's byte strings, their sizes)."""
+    offsets = np.frombuffer(column.buffers()[1], "<i4", len(column) + 1, 4 * column.offset).astype(np.int64)
+    return memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def token_ids(docs: DataFrame, tokenizer_json: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(kind, doc_id, ids): ids with the end id, as unsigned 16-bit integers where the vocabulary allows it, else 32-bit.
+
+    Rows of kind 0 are documents. Each task also gives one row of kind 1, whose ``ids`` are its counts of all ids (64-bit).
+    """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    width, end = id_width(vocabulary), end_id.to_bytes(4, "little")
 
     def run(batches):
         encoder = worker_encoder(spec.value)
-        end = end_id.to_bytes(4, "little")
-        width = id_width(encoder.tokenizer.get_vocab_size(), end_id)
+        counts = np.zeros(vocabulary, np.int64)
         for batch in (part for whole in batches for part in rows_of(whole)):
             ids = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(width).tobytes()
-            bounds = np.cumsum([0, *map(len, ids)]) * np.dtype(width).itemsize // 4
-            held = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(bounds.astype("<i4").tobytes()), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["doc_id", "ids"])
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            counts += np.bincount(flat, minlength=vocabulary)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) * np.dtype(width).itemsize // 4
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), batch.column(0), binary_column(flat.astype(width).tobytes(), sizes)], names=["kind", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([counts.tobytes()], pa.binary())], names=["kind", "doc_id", "ids"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, ids binary")
+    return source.mapInArrow(run, "kind int, doc_id long, ids binary")
 
 
-def id_width(vocabulary: int, end_id: int) -> str:
-    return "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
+def id_width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def _groups(rows, weight, most):
@@ -77,60 +92,83 @@ def _rows(batches, *names):
         yield from zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
 
 
-def id_counts(ids: DataFrame, vocabulary: int, width: str) -> np.ndarray:
-    """Global counts of every id: summed per task, then by id; the driver gets a row per id that occurs."""
+def id_counts(ids: DataFrame, vocabulary: int) -> np.ndarray:
+    """Global counts of every id: the tasks' counts are summed by id; the driver gets a row for each id that occurs."""
 
     def run(batches):
-        total = np.zeros(vocabulary, np.int64)
-        for group in _groups(_rows(batches, "ids"), lambda r: len(r[0]), 2 * CHUNK_IDS):
-            total += np.bincount(np.frombuffer(b"".join(r[0] for r in group), width), minlength=vocabulary)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
+        for (raw,) in _rows(batches, "ids"):
+            counts = np.frombuffer(raw, np.int64)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["id", "n"])
 
     counts = np.zeros(vocabulary, np.int64)
-    for row in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in ids.filter("kind = 1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
 
+def split_points(ids: DataFrame, parts: int) -> np.ndarray:
+    """Document ids that cut the table into about equal ranges; one for each part but the last."""
+    shares = [k / parts for k in range(1, parts)]
+    if not shares:
+        return np.empty(0, np.int64)
+    found = ids.filter("kind = 0").agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0]
+    return np.unique(np.array(found or [], np.int64))
+
+
 def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode, count, code and write."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     vocabulary = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(), end_id + 1)
-    width = id_width(vocabulary, end_id)
-    ids, held = materialize(token_ids(docs, tokenizer_json, end_id, id_col, text_col), "token-ids")
-    lengths = huffman.code_lengths(id_counts(ids, vocabulary, width))
+    width = id_width(vocabulary)
+    ids, held = materialize(token_ids(docs, tokenizer_json, end_id, vocabulary, id_col, text_col), "token-ids")
+    lengths = huffman.code_lengths(id_counts(ids, vocabulary))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
-    book = spark.sparkContext.broadcast((lengths, huffman.canonical_codes(lengths)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    book = spark.sparkContext.broadcast((lengths, huffman.canonical_codes(lengths), split_points(ids, parts)))
 
     def code(batches):
-        size = np.dtype(width).itemsize
-        for group in _groups(_rows(batches, "doc_id", "ids"), lambda r: len(r[1]) // size, CHUNK_IDS):
-            counts = np.array([len(r[1]) // size for r in group], np.int64)
-            raw, spans, marks = huffman.pack(np.frombuffer(b"".join(r[1] for r in group), width), counts, *book.value)
-            ends = np.cumsum(spans).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in group], pa.int64()), pa.array(counts), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary()), pa.array([raw[e - s : e] for e, s in zip(ends, spans.tolist())], pa.binary())],
-                names=["doc_id", "n", "marks", "bits"],
-            )
+        *codes, splits = book.value
+        for batch in (part for whole in batches for part in rows_of(whole, 1024)):
+            flat, sizes = flat_bytes(batch.column(1))
+            counts = sizes // np.dtype(width).itemsize
+            raw, spans, marks = huffman.pack(np.frombuffer(flat, width), counts, *codes)
+            ids_of = batch.column(0).to_numpy(zero_copy_only=False)
+            part = np.where(np.isnan(ids_of), 0, np.searchsorted(splits, ids_of, side="right")) if batch.column(0).null_count else np.searchsorted(splits, ids_of, side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0), pa.array(counts), binary_column(marks.astype("<u4").tobytes(), 4 * huffman.lots(counts)[0]), binary_column(raw, spans)], names=["part", "doc_id", "n", "marks", "bits"])
 
     def block(batches):
-        part, number, first = TaskContext.get().partitionId(), 0, 0
-        for group in _groups(_rows(batches, "doc_id", "n", "marks", "bits"), lambda r: r[1], BLOCK_IDS):
-            marks = b"".join(r[2] for r in group)
-            payload = MAGIC + np.array([len(marks) // 4], "<u4").tobytes() + marks + b"".join(r[3] for r in group)
-            n = [r[1] for r in group]
-            yield pa.RecordBatch.from_pydict({"part": [part], "block": [number], "first": [first], "doc_ids": [[r[0] for r in group]], "n_ids": [n], "n_bytes": [[len(r[3]) for r in group]], "payload": [payload]}, schema=BLOCK_ARROW)
+        last, number, first = None, 0, 0
+        for same in _by_part(_rows(batches, "part", "doc_id", "n", "marks", "bits")):
+            if same[0][0] != last:
+                last, number, first = same[0][0], 0, 0
+            marks = b"".join(r[3] for r in same)
+            payload = MAGIC + np.array([len(marks) // 4], "<u4").tobytes() + marks + b"".join(r[4] for r in same)
+            n = [r[2] for r in same]
+            yield pa.RecordBatch.from_pydict({"part": [last], "block": [number], "first": [first], "doc_ids": [[r[1] for r in same]], "n_ids": [n], "n_bytes": [[len(r[4]) for r in same]], "payload": [payload]}, schema=BLOCK_ARROW)
             number, first = number + 1, first + sum(n)
 
-    coded = ids.mapInArrow(code, "doc_id long, n long, marks binary, bits binary")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "bits")
+    coded = ids.filter("kind = 0").select("doc_id", "ids").mapInArrow(code, "part int, doc_id long, n long, marks binary, bits binary")
+    ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
     ordered.mapInArrow(block, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     remove(spark, held)
 
 
+def _by_part(rows):
+    """Blocks: rows of one part, BLOCK_IDS ids or so."""
+    held, load = [], 0
+    for row in rows:
+        if held and (load >= BLOCK_IDS or row[0] != held[0][0]):
+            yield held
+            held, load = [], 0
+        held.append(row)
+        load += row[2]
+    if held:
+        yield held
+
+
 BLOCKS = "part int, block int, first long, doc_ids array<long>, n_ids array<long>, n_bytes array<long>, payload binary"
 BLOCK_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -168,10 +206,9 @@ def _decoded(spark: SparkSession, path: str, field: str, shown) -> DataFrame:
                 n, spans = np.array(n_ids, np.int64), np.array(n_bytes, np.int64)
                 marks = np.frombuffer(payload, "<u4", int.from_bytes(payload[4:8], "little"), 8).astype(np.int64)
                 bits = payload[8 + 4 * len(marks) :]
-                lots = (n + huffman.EVERY - 1) // huffman.EVERY
-                lanes.append(marks + 8 * (at + np.repeat(np.cumsum(spans) - spans, lots)))
-                within = np.arange(len(marks)) - np.repeat(np.cumsum(lots) - lots, lots)
-                sizes.append(np.minimum(huffman.EVERY, np.repeat(n, lots) - huffman.EVERY * within))
+                each, within = huffman.lots(n)
+                lanes.append(marks + 8 * (at + np.repeat(np.cumsum(spans) - spans, each)))
+                sizes.append(np.minimum(huffman.EVERY, np.repeat(n, each) - huffman.EVERY * within))
                 raw.append(bits)
                 at += len(bits)
                 out["doc_id"] += doc_ids
