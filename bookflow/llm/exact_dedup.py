@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from bookflow.llm.common import scratch, text_or_empty
 
 DIGEST = "text_sha256"
+#: A digest is hot with more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot ones.
+HOT_SHARE = 1000
 #: Stands for a null id inside the index: smaller than any id, so a known id wins.
 NO_ID = -(2**63)
 
@@ -61,8 +63,16 @@ class DigestIndex:
 
 
 def assign(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with the group it belongs to. The join is a plain equi-join, so AQE splits a hot digest."""
-    found = digests(docs, id_col, text_col).join(index.read().hint("merge"), "digest")
+    """Every row of ``docs`` with the group it belongs to.
+
+    Digests of more than a thousandth of all rows are fewer than a thousand: they are broadcast, and their rows don't move.
+    All other rows meet the index in a sort-merge join that no digest can weigh down.
+    """
+    known = index.read()
+    total = known.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.broadcast(known.filter(F.col("group_size") > total / HOT_SHARE))
+    rows = digests(docs, id_col, text_col)
+    found = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(known.filter(F.col("group_size") <= total / HOT_SHARE).hint("merge"), "digest"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(back("id").alias(id_col), back("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias(DIGEST))
 
