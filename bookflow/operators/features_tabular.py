@@ -48,7 +48,7 @@ ROLLING = [n for n in CATALOGUE.names() if "_roll_" in n]
 
 
 def features(ticks: DataFrame) -> DataFrame:
-    keys = [c for c in ticks.columns if c not in (*RAW, "session")]
+    keys = [c for c in ticks.columns if c not in (*RAW, "session", "sym_id")]
     return CATALOGUE.apply(ticks).selectExpr(*keys, "sym AS sym_id", *(f"{c}" for c in FEATURES if c != "sym_id"))
 
 
