@@ -39,6 +39,8 @@ PERCENT = 75
 DISTANCE = 2 * CHUNKS - 1
 #: Classes of a tile: of full sets, and of signatures.
 TILE, SIGNATURES = 192, 2048
+#: A set is hot with more than one in HOT_SHARE of all rows.
+HOT_SHARE = 1000
 SIG = [f"s{c}" for c in range(CHUNKS)]
 SET = ["d1", "d2", "n_shingles"]
 
@@ -190,9 +192,9 @@ def hamming_clusters(classes: DataFrame) -> tuple[DataFrame, list[str]]:
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
-    sketched, s_path = materialize(sketches(docs, id_col, text_col), "sketches")
+    sketched, _ = materialize(sketches(docs, id_col, text_col), "sketches")
     known = sketched.filter("n_shingles > 0 and id is not null")
-    classes, k_path = materialize(known.groupBy(*SET).agg(F.min("id").alias("id"), *(F.min(s).alias(s) for s in SIG)), "classes")
+    classes, k_path = materialize(known.groupBy(*SET).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.min(s).alias(s) for s in SIG)), "classes")
     clusters, held = hamming_clusters(classes)
     sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
     units = tiled(sized, "component", "members", TILE)
@@ -200,10 +202,14 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = texts.join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     links, l_path = materialize(units.select("unit", "side", "id").join(texts, "id").groupBy("unit").applyInPandas(_links, "a long, b long").distinct(), "links")
     components, _ = connected_components(links, "near-dup")
-    of_class = classes.select(*SET, "id").join(components, "id", "left").select(*SET, F.coalesce("component", "id").alias("component_id"))
-    for path in (*held, l_path):
+    of_class, _ = materialize(classes.select(*SET, "id", "copies").join(components, "id", "left").select(*SET, "copies", F.coalesce("component", "id").alias("component_id")), "classes")
+    # Sets of more than a thousandth of all rows are fewer than a thousand: their rows meet them by broadcast.
+    limit = (classes.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE
+    for path in (*held, l_path, k_path):
         remove(spark, path)
-    found = sketched.select("id", *SET).join(of_class.hint("merge"), SET, "left")
+    hot = F.broadcast(of_class.filter(F.col("copies") > limit).drop("copies"))
+    rows = sketched.select("id", *SET)
+    found = rows.join(hot, SET).unionByName(rows.join(hot, SET, "left_anti").join(of_class.filter(F.col("copies") <= limit).drop("copies").hint("merge"), SET, "left"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return found.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
