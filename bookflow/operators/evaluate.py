@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bookflow.operators import signals
 
+#: Fixed value: mean PnL that the official score takes off.
 BASELINE = 0.0004
 
 

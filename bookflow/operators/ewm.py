@@ -50,7 +50,7 @@ def fold(x: str, alpha: float) -> str:
     return f"reduce(slice({values}, 2, 1000000), element_at({values}, 1), (y, v) -> {1 - alpha!r}D * y + {alpha!r}D * v)"
 
 
-#: (name, columns it reads, function of arrays), in order.
+#: (name, function of a group's columns), in order; spans and weights are fixed values.
 RECURSIONS = (
     ("macd_dif", lambda d: ewm(d["n_midprice"], alpha_of(12)) - ewm(d["n_midprice"], alpha_of(26))),
     ("macd_dea", lambda d: ewm(d["macd_dif"], alpha_of(9))),

@@ -14,12 +14,13 @@ from bookflow.functions.exprs import clean, div, interval_main, ln1p, safe_div,
 from bookflow.plans.staged import Catalogue
 from bookflow.schema import ASIZES, ASKS, BIDS, BSIZES, LEVELS, RAW
 
+# Levels that have features of their own; weights of the levels' depth; look-back lengths in ticks.
 ODD = (1, 3, 5)
-SIDES = {"bid": "n_bid", "ask": "n_ask", "bsize": "n_bsize", "asize": "n_asize"}
 DEPTH_WEIGHTS = [1.0, 0.8, 0.6, 0.4, 0.2]
 VOLATILITY = (5, 10, 20, 40, 60)
 ROC = (1, 5, 10, 30, 60, 100)
 LONG = (20, 100, 300)
+SIDES = {"bid": "n_bid", "ask": "n_ask", "bsize": "n_bsize", "asize": "n_asize"}
 
 
 def rel_diff(levels: int) -> str:
@@ -112,6 +113,7 @@ def stage_nested() -> list[tuple[str, str]]:
 CATALOGUE = Catalogue([stage_rows(), stage_windows(), stage_nested()])
 RECURSIVE = ["macd_dif", "macd_dea", "macd_bar", "kdj_k", "kdj_d", "kdj_j", "ofi_ema_5", "ofi_ema_10"]
 
+#: Names in the fixed order of the feature vector, built by rule.
 FEATURES = (
     RAW
     + [f"spread_{i}" for i in ODD]

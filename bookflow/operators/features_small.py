@@ -9,6 +9,7 @@ from bookflow.functions.exprs import clean, div, ln1p
 from bookflow.plans.staged import Catalogue
 from bookflow.schema import LEVELS, RAW
 
+# Lengths of the moving averages.
 MEANS = (5, 10, 20, 40, 60)
 
 

@@ -9,10 +9,11 @@ from bookflow.functions.exprs import flag, ln1p_clamped, mid_price, safe_div
 from bookflow.plans.staged import Catalogue
 from bookflow.schema import ASIZES, BSIZES, LEVELS, RAW
 
+# What is added to divisors; window lengths; columns that are rolled; ticks at a session's end that stay
+# whatever they lack.
 EPS = 1e-8
 SIZES = (5, 10, 20, 50, 100)
 ROLLED = ("n_midprice", "spread_1", "imbalance_total", "bid_depth", "ask_depth", "log_amount_delta")
-#: Ticks at a session's end that stay whatever they lack.
 TAIL = 60
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bookflow.operators import signals
 
-#: Default thresholds of the five horizons.
+#: Default thresholds of the five horizons.
 THRESHOLDS = {5: 0.88, 10: 0.82, 20: 0.78, 40: 0.70, 60: 0.65}
 #: Named settings: trees, depth, bins.
 PRESETS = {"fast": {"numTrees": 20, "maxDepth": 5}, "standard": {"numTrees": 100, "maxDepth": 8}, "deep": {"numTrees": 300, "maxDepth": 12, "maxBins": 64}}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The thresholds of the standard sweep.
+#: The thresholds of the standard sweep.
 THRESHOLDS = (0.0, 0.50, 0.55, 0.60, 0.65, 0.70, 0.72, 0.73, 0.74, 0.75, 0.78, 0.80, 0.82, 0.84, 0.85, 0.88, 0.90, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98)
 
 

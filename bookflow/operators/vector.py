@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bookflow.functions import windows as w
 from bookflow.schema import GROUP
 
+# Ticks back that the vector holds in full, and of which it holds mid price and imbalance.
 RECENT = (0, 1, 2, 3, 4)
 SUMMARY = (5, 10, 20, 40, 80, 100)
 
