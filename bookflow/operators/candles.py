@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookflow.schema import GROUP
@@ -13,8 +13,7 @@ def candles(ticks: DataFrame, interval: int = 30, seconds: str = "tod", price: s
 
     Where a group has no times (all 0), buckets are counted in rows.
     """
-    timed = ticks.groupBy(*keys).agg(F.max(seconds).alias("latest"))
-    rows = ticks.join(timed, list(keys))
+    rows = ticks.withColumn("latest", F.max(seconds).over(Window.partitionBy(*keys)))
     bucket = F.when(F.coalesce(F.col("latest"), F.lit(0)) == 0, F.floor((F.col("row_nr") - 1) / interval)).otherwise(F.floor(F.col(seconds) / interval))
     index = F.col("row_nr") - 1
     known = F.when(F.col(price).isNotNull(), index)
