@@ -8,9 +8,10 @@
 3. Hamming graph: in each bucket all classes are compared with the bucket's least class (a star); then classes of a
    bucket that this left in different clusters are compared with each other, in tiles. Edges join signatures at distance
    31 or less whose set sizes allow the similarity. Connected components are clusters; by 2, no link leaves its cluster.
-4. Clusters are cut into tiles of about ``TILE`` classes; every pair of tiles is a unit of work that computes all its
-   intersections of full sets (a matrix product over shared shingles) and returns a spanning forest of its links. The
-   components of these links are the answer.
+4. Clusters are cut into tiles of about ``TILE`` classes. A unit of work computes all its intersections of full sets (a matrix
+   product over shared shingles) and returns a spanning forest of its links. First units are the tiles, each with the
+   cluster's least class; then, in clusters of several tiles, the classes that aren't in that class's component meet each
+   other and the rest. The components of all links are the answer.
 
 No step gathers a bucket, cluster or component in one task beyond a tile, and none returns pairs within a group: units
 return forests.
@@ -22,6 +23,8 @@ and come back with null ids, kept; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -189,6 +192,38 @@ def hamming_clusters(classes: DataFrame) -> tuple[DataFrame, list[str]]:
     return merged, [f_path]
 
 
+def star_units(sized: DataFrame) -> DataFrame:
+    """(unit, side, id): each tile of a cluster with the cluster's least class, so that most of a family is linked at linear cost."""
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    tile = lambda c: F.pmod(F.xxhash64(c), tiles).cast("int")
+    own = sized.select(F.concat_ws("/", "component", tile("id")).alias("unit"), F.lit(-1).alias("side"), "id")
+    heads = sized.filter((F.col("id") == F.col("component")) & (tiles > 1)).withColumn("home", tile("id")).select("component", "home", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
+    return own.unionByName(heads.filter("tile <> home").select(F.concat_ws("/", "component", "tile").alias("unit"), F.lit(-1).alias("side"), F.col("component").alias("id")))
+
+
+def rest_units(sized: DataFrame, first: DataFrame) -> DataFrame:
+    """(unit, side, id) of what star units leave open: in clusters of several tiles, classes that aren't with the least class
+    yet meet each other and the rest. Those that are with it don't meet: they are one component already."""
+    label = first.withColumnRenamed("component", "label")
+    large = sized.filter(F.col("members") > TILE).join(label, "id", "left").select("id", "component", F.coalesce(F.col("label") == F.col("component"), F.lit(False)).alias("with_head"))
+    counts = large.groupBy("component").agg(F.count_if("with_head").alias("inside"), F.count_if(~F.col("with_head")).alias("outside"))
+    rows = large.join(counts.filter("outside > 0"), "component")
+    ins, outs = (F.ceil(F.col(c) / TILE).cast("int") for c in ("inside", "outside"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("with_head"), ins).otherwise(outs)).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    rows = rows.withColumn("own", own)
+    out, inside = rows.filter("NOT with_head"), rows.filter("with_head")
+    each_other = out.withColumn("other", F.explode(up_to(outs))).select(F.concat_ws("/", "component", F.lit("o"), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id")
+    to_inside = out.withColumn("other", F.explode(F.when(ins > 0, up_to(ins)))).select(F.concat_ws("/", "component", F.lit("i"), "own", "other").alias("unit"), F.lit(0).alias("side"), "id")
+    from_inside = inside.withColumn("other", F.explode(up_to(outs))).select(F.concat_ws("/", "component", F.lit("i"), "other", "own").alias("unit"), F.lit(1).alias("side"), "id")
+    return each_other.unionAll(to_inside).unionAll(from_inside)
+
+
+def linked(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of each unit's links."""
+    return units.join(texts, "id").select("unit", "side", "id", "text").groupBy("unit").applyInPandas(_links, "a long, b long").distinct()
+
+
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     spark = docs.sparkSession
@@ -197,15 +232,16 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     classes, k_path = materialize(known.groupBy(*SET).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.min(s).alias(s) for s in SIG)), "classes")
     clusters, held = hamming_clusters(classes)
     sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    units = tiled(sized, "component", "members", TILE)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
-    links, l_path = materialize(units.select("unit", "side", "id").join(texts, "id").groupBy("unit").applyInPandas(_links, "a long, b long").distinct(), "links")
-    components, _ = connected_components(links, "near-dup")
+    texts, t_path = materialize(texts.join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    links, l_path = materialize(linked(star_units(sized), texts), "links")
+    first, f_path = connected_components(links, "near-dup")
+    more, m_path = materialize(linked(rest_units(sized, first), texts), "links")
+    components, _ = connected_components(links.unionAll(more), "near-dup")
     of_class, _ = materialize(classes.select(*SET, "id", "copies").join(components, "id", "left").select(*SET, "copies", F.coalesce("component", "id").alias("component_id")), "classes")
     # Sets of more than a thousandth of all rows are fewer than a thousand: their rows meet them by broadcast.
     limit = (classes.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE
-    for path in (*held, l_path, k_path):
+    for path in (*held, t_path, l_path, f_path, m_path, k_path):
         remove(spark, path)
     hot = F.broadcast(of_class.filter(F.col("copies") > limit).drop("copies"))
     rows = sketched.select("id", *SET)
@@ -216,5 +252,6 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each group the document of the smallest id."""
-    gone, _ = materialize(group(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__gone")).distinct(), "near-dup-gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = f"gone_{uuid.uuid4().hex[:8]}"
+    dropped, _ = materialize(group(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias(gone)).distinct(), "near-dup-gone")
+    return docs.join(dropped, F.col(id_col) == F.col(gone), "left_anti")
