@@ -23,6 +23,8 @@ NOT_PLAIN = re.compile(f"[^{PLAIN}]")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Distinct pre-tokens that a worker remembers.
 CACHE_WORDS = 1_200_000
+#: What a stretch between single spaces can't begin or end with: nothing, blanks, and the mark of a first stretch.
+EDGES = {"", "\0", *"\t\n\r\xa0"}
 #: Characters beyond which a word isn't remembered.
 LONG_WORD = 100
 #: Characters encoded at once.
@@ -74,6 +76,12 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # What is new here isn't in the library's own memory of words either: a second copy doesn't look there.
+        self.rare = Tokenizer.from_str(tokenizer_json)
+        self.rare.no_truncation()
+        self.rare.no_padding()
+        if hasattr(self.rare.model, "_resize_cache"):
+            self.rare.model._resize_cache(0)
         self.special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.sizes = Decoder(tokenizer_json).sizes
         self.ends = {c: self._whole(c) for c in ",."}
@@ -85,7 +93,7 @@ class LibraryEncoder:
 
     def _joined(self, stretches: list[str], before: str) -> list[bytes]:
         text = before + before.join(stretches)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.rare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.cumsum(self.sizes[ids])
         stop = np.cumsum(np.fromiter(map(len, map(str.encode, stretches)), np.int64, len(stretches)) + 1)
         last = np.searchsorted(ends, stop, side="left")
@@ -102,18 +110,16 @@ class LibraryEncoder:
         A comma or full stop after a letter is a pre-token, so such a stretch takes the ids of the rest, and one more.
         """
         cache = self.cache
-        blank = [w for w in new if not w.strip("\0") or w[-1].isspace() or w.strip("\0")[0].isspace()]
-        cache.update(dict.fromkeys(blank, False))
-        stems = {w: w[:-1] for w in new if w[-1:] in self.ends and w[-2:-1].isalpha() and w not in cache}
-        sound = [w for w in new if w not in stems and w not in cache]
-        sound += [w for w in set(stems.values()).difference(sound) if w not in cache]
-        for group, before in (([w for w in sound if w[0] != "\0"], " "), ([w for w in sound if w[0] == "\0"], "\n")):
+        stems = {w: w[:-1] for w in new if w[-1:] in self.ends and w[-2:-1].isalpha()}
+        needed = [w for w in set(new).difference(stems).union(stems.values()) if w not in cache]
+        edge = [w for w in needed if w[:1] in EDGES or w[-1:] in EDGES]
+        first = [w for w in edge if w[:1] == "\0" and w[1:2] not in EDGES and w[-1] not in EDGES]
+        cache.update(dict.fromkeys(set(edge).difference(first), False))
+        for group, before in ((list(set(needed).difference(edge)), " "), (first, "\n")):
             for a in range(0, len(group), 5_000):
                 part = group[a : a + 5_000]
-                cache.update(zip(part, self._joined([w.lstrip("\0") for w in part], before)))
-        unsound = [w for w, stem in stems.items() if cache[stem] is False]
-        cache.update(dict.fromkeys(unsound, False))
-        cache.update((w, cache[stem] + self.ends[w[-1]]) for w, stem in stems.items() if cache[stem] is not False)
+                cache.update(zip(part, self._joined([w[1:] for w in part] if before == "\n" else part, before)))
+        cache.update((w, cache[stem] and cache[stem] + self.ends[w[-1]]) for w, stem in stems.items())
         new += set(stems.values())
 
     def encode(self, texts: list[str | None]):
