@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bookflow.operators import candles, evaluate, profile, samples, signals
 from bookflow.plans.book import SCORE_CTES, book, book_ctes, scores
 from bookflow.queries_features import portable, shown
+from bookflow.schema import HORIZONS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,8 +205,8 @@ over_scores("mean_abs_move", lambda s: rounded(samples.mean_move(s), {"mean_move
 
 # Candles and signals over ticks.
 def _signal_rows(t: DataFrame) -> DataFrame:
-    rows = samples.endpoints(samples.with_targets(t).drop("local_idx"), 100, 60, 5)
-    horizon = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"price_diff_{h}").alias("price_diff")) for h in (5, 20, 60))))
+    rows = samples.endpoints(samples.with_targets(t).drop("local_idx"), 100, max(HORIZONS))
+    horizon = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"price_diff_{h}").alias("price_diff")) for h in HORIZONS)))
     long = rows.select("sym", "row_nr", F.col("n_midprice").alias("entry_mid"), horizon.alias("h")).select("sym", "row_nr", "entry_mid", "h.*")
     pred = F.when(F.col("row_nr") % 3 == 0, 0).when(F.col("row_nr") % 3 == 1, 2).otherwise(1)
     out = long.withColumn("pred", pred).withColumn("pnl", signals.pnl(F.col("pred"), F.col("price_diff")))
@@ -216,9 +217,9 @@ over_book(
     "signal_rows",
     _signal_rows,
     ", e AS (SELECT *, row_nr - 1 AS idx, count(*) OVER (PARTITION BY sym) AS n, "
-    + ", ".join(f"lead(n_midprice, {h}) OVER (PARTITION BY sym ORDER BY row_nr) - n_midprice AS d{h}" for h in (5, 20, 60))
-    + " FROM book), k AS (SELECT *, CAST(CASE WHEN row_nr % 3 = 0 THEN 0 WHEN row_nr % 3 = 1 THEN 2 ELSE 1 END AS INT) AS pred FROM e WHERE idx >= 99 AND idx < n - 60 AND (idx - 99) % 5 = 0), u AS ("
-    + " UNION ALL ".join(f"SELECT sym, row_nr, CAST({h} AS INT) AS horizon, pred, n_midprice AS m, d{h} AS d FROM k" for h in (5, 20, 60))
+    + ", ".join(f"lead(n_midprice, {h}) OVER (PARTITION BY sym ORDER BY row_nr) - n_midprice AS d{h}" for h in HORIZONS)
+    + " FROM book), k AS (SELECT *, CAST(CASE WHEN row_nr % 3 = 0 THEN 0 WHEN row_nr % 3 = 1 THEN 2 ELSE 1 END AS INT) AS pred FROM e WHERE idx >= 99 AND idx < n - 60), u AS ("
+    + " UNION ALL ".join(f"SELECT sym, row_nr, CAST({h} AS INT) AS horizon, pred, n_midprice AS m, d{h} AS d FROM k" for h in HORIZONS)
     + f") SELECT sym, row_nr, horizon, pred, {shown('m')} AS entry_mid, {shown('m + d')} AS exit_mid, {shown('d')} AS price_diff, {shown('CASE WHEN pred = 2 THEN d WHEN pred = 0 THEN -d ELSE 0 END')} AS pnl FROM u",
     long=True,
 )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-import pandas as pd
+import pytest
 
 from bookflow.registry import QUERIES
+from bookflow.schema import HORIZONS
+from tests import lineitems
 
 
 def test_file_completeness_sees_every_order(spark, tmp_path):
@@ -16,3 +18,13 @@ def test_file_completeness_sees_every_order(spark, tmp_path):
     seen = {(status, priority, date.year) for _, status, priority, date in rows}
     every = {(s, p, y) for s in "FO" for p in ("1-URGENT", "5-LOW") for y in range(1992, 2000)}
     assert found == every - seen
+
+
+def test_signal_rows_has_every_endpoint_and_horizon(spark, tmp_path):
+    prices = [((k * 37) % 101) / 100 + 1 for k in range(166)]
+    found = QUERIES["signal_rows"](spark, lineitems.write(spark, tmp_path, lineitems.ticks(prices, sym=7))).collect()
+    assert sorted((r.row_nr, r.horizon) for r in found) == [(k + 1, h) for k in range(99, 106) for h in HORIZONS]
+    for r in found:
+        entry, exit_ = prices[r.row_nr - 1], prices[r.row_nr - 1 + r.horizon]
+        side = {0: -1, 1: 1, 2: 0}[r.row_nr % 3]
+        assert (float(r.entry_mid), float(r.exit_mid), float(r.price_diff), float(r.pnl)) == pytest.approx((entry, exit_, exit_ - entry, side * (exit_ - entry)), abs=1e-4)
