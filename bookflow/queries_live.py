@@ -8,21 +8,31 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.functions import windows as w
-from bookflow.operators import candles, features_main, model
+from bookflow.operators import candles, features_main, model, samples
 from bookflow.plans.book import book
+from bookflow.schema import HORIZONS
 from bookflow.streaming import live
 
 NAMES = ["total_imbalance", "vol1_rel_diff", "relative_bid_density_1", "micro_price", "bid_slope"]
+#: Small forests vote less firmly than the models that the shortest horizons' defaults are for.
+THRESHOLDS = {**model.THRESHOLDS, 5: 0.4, 10: 0.5}
+#: Earlier dates train, as in the query split_date.
+FIRST_VALIDATION = 1996
 
 
 def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two small forests, fitted on every other instrument and applied to all ticks."""
-    rows = features_main.CATALOGUE.needed(NAMES).apply(book(spark, sf_dir)).selectExpr("*", f"{w.lead('n_midprice', 5)} - n_midprice AS move")
-    rows = rows.select("sym", "date", "session", "row_nr", F.array(*(F.col(n).cast("float") for n in NAMES)).alias("features"), F.when(F.col("move") < 0, 0.0).when(F.col("move") > 0, 2.0).otherwise(1.0).alias("label"), F.lit(1.0).alias("weight"))
-    train = rows.filter("sym % 2 = 0")
-    models = {h: model.DirectionModel(options={"numTrees": 5, "maxDepth": 3}, seed=h).fit(train) for h in (5, 10)}
-    return model.predict(rows, models, {5: 0.4, 10: 0.5}).select("sym", "date", "session", "row_nr", "signal_5", "signal_10")
+    """A small forest for each horizon, fitted to its own move on all ticks before ``FIRST_VALIDATION``, applied to all ticks.
+
+    As in ``with_targets``, a move past the group's end counts as 0, which is flat."""
+    rows = samples.with_targets(features_main.CATALOGUE.needed(NAMES).apply(book(spark, sf_dir)))
+    rows = rows.select("sym", "date", "session", "row_nr", F.array(*(F.col(n).cast("float") for n in NAMES)).alias("features"), *(f"price_diff_{h}" for h in HORIZONS), F.lit(1.0).alias("weight"))
+    train = samples.split_by_date(rows, FIRST_VALIDATION).filter("split = 'train'")
+    models = {}
+    for h in HORIZONS:
+        move = F.col(f"price_diff_{h}")
+        labelled = train.withColumn("label", F.when(move < 0, 0.0).when(move > 0, 2.0).otherwise(1.0))
+        models[h] = model.DirectionModel(options={"numTrees": 5, "maxDepth": 3}, seed=h).fit(labelled)
+    return model.predict(rows, models, THRESHOLDS).select("sym", "date", "session", "row_nr", *(f"signal_{h}" for h in HORIZONS))
 
 
 def _tick_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

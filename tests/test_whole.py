@@ -28,3 +28,19 @@ def test_signal_rows_has_every_endpoint_and_horizon(spark, tmp_path):
         entry, exit_ = prices[r.row_nr - 1], prices[r.row_nr - 1 + r.horizon]
         side = {0: -1, 1: 1, 2: 0}[r.row_nr % 3]
         assert (float(r.entry_mid), float(r.exit_mid), float(r.price_diff), float(r.pnl)) == pytest.approx((entry, exit_, exit_ - entry, side * (exit_ - entry)), abs=1e-4)
+
+
+def test_batch_predict_fits_each_horizon_to_its_own_move(spark, tmp_path):
+    """One odd instrument whose price swings with a period of 20 ticks, the phase told by its sizes: moves of 5 and 10 ticks
+    differ in sign, those of 20, 40 and 60 are none."""
+    swing = [abs(k % 20 - 10) / 10 + 1 for k in range(400)]
+    phase = [float(k % 20 + 1) for k in range(400)]
+    rows = [*lineitems.ticks(swing, 7, 1994, phase), *lineitems.ticks(swing, 7, 1997, phase, 1000)]
+    found = QUERIES["batch_predict"](spark, lineitems.write(spark, tmp_path, rows)).collect()
+    assert {(r.sym, r.date, r.row_nr) for r in found} == {(7, year, k + 1) for year in (1994, 1997) for k in range(400)}
+    later = {r.row_nr - 1: r for r in found if r.date == 1997}
+    right = {}
+    for h in HORIZONS:
+        moves = {k: round(swing[k + h] - swing[k], 6) for k in range(400 - h)}
+        right[h] = sum(later[k][f"signal_{h}"] == (0 if m < 0 else 2 if m > 0 else 1) for k, m in moves.items()) / len(moves)
+    assert min(right.values()) > 0.85, right
