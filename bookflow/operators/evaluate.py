@@ -24,15 +24,17 @@ def official_score(f: Column, avg_pnl: Column, baseline: float = BASELINE) -> Co
     return f * gain * F.abs(gain) * 10000
 
 
-def measures(rows: DataFrame, *keys: str, floor_moves: bool = True) -> DataFrame:
-    """Rows with ``signal``, ``y_true``, ``price_diff`` to the standard measures by key; zeros where there is no signal."""
+def measures(rows: DataFrame, *keys: str, floor_moves: bool = True, times: str | None = None) -> DataFrame:
+    """Rows with ``signal``, ``y_true``, ``price_diff`` to the standard measures by key; zeros where there is no signal.
+    ``times``: a column of how many rows each one stands for, ``price_diff`` being their sum."""
+    count_if = lambda x: F.count_if(x) if times is None else F.sum(F.when(x, F.col(times)).otherwise(0))
     active = F.col("signal").isin(0, 2)
     earned = signals.pnl(F.col("signal"), F.col("price_diff"))
     sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(active).alias("trades"),
-        F.count_if(active & (F.col("signal") == F.col("y_true"))).alias("correct"),
-        F.count_if(F.col("y_true").isin(0, 2)).alias("moves"),
+        count_if(F.lit(True)).alias("n"),
+        count_if(active).alias("trades"),
+        count_if(active & (F.col("signal") == F.col("y_true"))).alias("correct"),
+        count_if(F.col("y_true").isin(0, 2)).alias("moves"),
         F.sum(F.when(active, earned).otherwise(0.0)).alias("total_pnl"),
     )
     zero = F.lit(0.0)
@@ -59,11 +61,14 @@ def ratio_values(low: float = 0.5, high: float = 1.0, step: float = 0.02) -> lis
 
 
 def ratio_grid(scores: DataFrame, values: list[float] | None = None) -> DataFrame:
+    """The measures of every pair of ratios. Rows with equal probabilities and label get equal signals at each pair, so they are
+    counted first and only one of them meets the pairs."""
     values = values or ratio_values()
     every = F.array(*(F.lit(v) for v in values))
-    rows = scores.select("down", "flat", "up", "y_true", "price_diff", F.explode(every).alias("down_ratio")).withColumn("up_ratio", F.explode(every))
+    alike = scores.groupBy("down", "flat", "up", "y_true").agg(F.count(F.lit(1)).alias("times"), F.sum("price_diff").alias("price_diff"))
+    rows = alike.select("*", F.explode(every).alias("down_ratio")).withColumn("up_ratio", F.explode(every))
     rule = signals.ratio_rule(F.col("down"), F.col("flat"), F.col("up"), F.col("down_ratio"), F.col("up_ratio"))
-    return measures(rows.select("down_ratio", "up_ratio", "y_true", "price_diff", rule.alias("signal")), "down_ratio", "up_ratio")
+    return measures(rows.select("down_ratio", "up_ratio", "y_true", "price_diff", "times", rule.alias("signal")), "down_ratio", "up_ratio", times="times")
 
 
 def legacy_scan(scores: DataFrame, thresholds=signals.THRESHOLDS) -> DataFrame:

@@ -124,19 +124,19 @@ SWEEP = rates_sql("threshold", measures_sql("threshold", f"(SELECT t AS threshol
 over_scores("threshold_sweep", lambda s: rounded(evaluate.threshold_sweep(s), ROUNDS), final_sql("threshold", SWEEP))
 over_scores("official_score", lambda s: rounded(evaluate.threshold_sweep(s).select("threshold", "official_score_est"), {"official_score_est": 7}), f"SELECT threshold, {r(SCORE, 7)} AS official_score_est FROM ({SWEEP})")
 over_scores("select_threshold", lambda s: evaluate.best(evaluate.threshold_sweep(s).withColumn("official_score_est", F.round("official_score_est", 9)), "official_score_est", "threshold").select("threshold", "trades"), f"SELECT threshold, trades FROM ({SWEEP}) ORDER BY round({SCORE}, 9) + 0.0 DESC, threshold LIMIT 1")
-RATIOS = [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+RATIOS = evaluate.ratio_values()
 RATIO_SQL = rates_sql("down_ratio, up_ratio", measures_sql("down_ratio, up_ratio", f"(SELECT a.v AS down_ratio, b.v AS up_ratio, y_true, price_diff, CASE WHEN down * a.v >= flat AND down * a.v >= up * b.v THEN 0 WHEN flat >= up * b.v THEN 1 ELSE 2 END AS signal FROM scores, (SELECT unnest({RATIOS})::DOUBLE AS v) a, (SELECT unnest({RATIOS})::DOUBLE AS v) b)"))
 over_scores("ratio_grid", lambda s: rounded(evaluate.ratio_grid(s, RATIOS), ROUNDS), final_sql("down_ratio, up_ratio", RATIO_SQL))
 over_scores("ratio_best", lambda s: evaluate.best(evaluate.ratio_grid(s, RATIOS).withColumn("f05", F.round("f05", 9)), "f05", "down_ratio", "up_ratio").select("down_ratio", "up_ratio", "trades"), f"SELECT down_ratio, up_ratio, trades FROM ({RATIO_SQL}) ORDER BY round({F05}, 9) DESC, down_ratio, up_ratio LIMIT 1")
 
 
 def _ratio_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole grid of 676 pairs, its best first."""
-    return evaluate.best(evaluate.ratio_grid(scores(spark, sf_dir)), "trades", "down_ratio", "up_ratio").select("down_ratio", "up_ratio", "trades")
+    """The trades of all 676 pairs, most first."""
+    return evaluate.ratio_grid(scores(spark, sf_dir)).select("down_ratio", "up_ratio", "trades").orderBy(F.desc("trades"), "down_ratio", "up_ratio")
 
 
 QUERIES["ratio_grid_full"] = _ratio_full
-ORACLE_SQL["ratio_grid_full"] = f"WITH {', '.join(SCORE_CTES)}, v AS (SELECT round(0.5 + 0.02 * range, 6)::DOUBLE AS v FROM range(26)), p AS (SELECT a.v AS down_ratio, b.v AS up_ratio, count(*) FILTER (WHERE (down * a.v >= flat AND down * a.v >= up * b.v) OR NOT flat >= up * b.v) AS trades FROM scores, v a, v b GROUP BY 1, 2) SELECT * FROM p ORDER BY trades DESC, down_ratio, up_ratio LIMIT 1"
+ORACLE_SQL["ratio_grid_full"] = f"WITH {', '.join(SCORE_CTES)}, v AS (SELECT round(0.5 + 0.02 * range, 6)::DOUBLE AS v FROM range(26)), p AS (SELECT a.v AS down_ratio, b.v AS up_ratio, count(*) FILTER (WHERE (down * a.v >= flat AND down * a.v >= up * b.v) OR NOT flat >= up * b.v) AS trades FROM scores, v a, v b GROUP BY 1, 2) SELECT * FROM p ORDER BY trades DESC, down_ratio, up_ratio"
 over_scores("legacy_threshold_sweep", evaluate.legacy_scan, f"SELECT t AS threshold, count(*) FILTER (WHERE down > t) + count(*) FILTER (WHERE up > t) AS signals, count(*) FILTER (WHERE down > t AND y_true = 0) + count(*) FILTER (WHERE up > t AND y_true = 2) AS correct FROM scores, {GRID} g GROUP BY t")
 
 
