@@ -39,12 +39,14 @@ def to_json(df: DataFrame, most: int = 10_000) -> str:
 
 
 def to_markdown(title: str, tables: dict[str, DataFrame], most: int = 200) -> str:
-    """A report of small tables."""
+    """A report of small tables; of one with more than ``most`` rows the first in the columns' order, which is said below it."""
     out = [f"# {title}"]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
+        total = df.count()
+        rows = (df if total <= most else df.orderBy(*df.columns).limit(most)).collect()
         out += [f"\n## {name}\n", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]
+        out += [f"\n{len(rows)} of {total} rows, see CSV"] if total > most else []
     return "\n".join(out) + "\n"
 
 
