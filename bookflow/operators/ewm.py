@@ -47,7 +47,12 @@ def _ewm_with_gaps(x: np.ndarray, alpha: float) -> np.ndarray:
 def fold(x: str, alpha: float) -> str:
     """The mean as SQL text: a fold over the group's values so far. Values must not be NULL."""
     values = f"collect_list({x}) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return f"reduce(slice({values}, 2, 1000000), element_at({values}, 1), (y, v) -> {1 - alpha!r}D * y + {alpha!r}D * v)"
+    return folded(values, alpha)
+
+
+def folded(values: str, alpha: float) -> str:
+    """The mean after all of an array's values, as SQL text."""
+    return f"reduce(slice({values}, 2, size({values})), element_at({values}, 1), (y, v) -> {1 - alpha!r}D * y + {alpha!r}D * v)"
 
 
 #: (name, function of a group's columns), in order; spans and weights are fixed values.

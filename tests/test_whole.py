@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from bookflow.operators import evaluate
+from bookflow.operators import evaluate, ewm
 from bookflow.registry import QUERIES
 from bookflow.schema import HORIZONS
 from tests import lineitems
@@ -76,3 +76,9 @@ def test_ratio_queries_search_all_pairs(spark, tmp_path):
     assert not {round(x * 10, 6) for x in best} <= set(range(5, 11))
     assert [tuple(r) for r in QUERIES["ratio_best"](spark, folder).collect()] == [(*best, expected[best][1])]
     assert [tuple(r) for r in QUERIES["ratio_grid_full"](spark, folder).collect()] == sorted(((*pair, v[1]) for pair, v in expected.items()), key=lambda r: (-r[2], r[:2]))
+
+
+def test_fold_takes_every_value_of_a_long_group(spark):
+    values = "transform(sequence(1, 1000010), k -> CAST(k = 1000010 AS DOUBLE))"
+    assert spark.range(1).selectExpr(f"{ewm.folded(values, 0.5)} AS y").first().y == 0.5
+    assert spark.range(1).selectExpr(f"{ewm.folded('array(3D)', 0.5)} AS y").first().y == 3.0
