@@ -146,3 +146,68 @@ def test_pages_of_the_tables(spark):
         assert r.text == " ".join(b for b in blocks if b) and r.n_chars == len(r.text)
     odd = spark.createDataFrame([(None, None, None), (1, "u", "<p>x"), (1, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(odd).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
+
+
+SENTENCE = "The quick brown fox jumps over the lazy dog and runs far away from it."
+SOUP = f"""<div><div><a href=/>Home</a> <a href=/>News</a> <a href=/>Sport</a></div><div><div><h1>A title</h1></div><div><p>{SENTENCE} {SENTENCE}</p></div>
+<div><p>Short.</p></div><div><p>{SENTENCE}</p></div></div><div><a href=/a>One</a><a href=/b>Two</a><a href=/c>Three</a><a href=/d>Four</a></div></div>"""
+
+
+def test_each_step_of_the_method_decides(monkeypatch):
+    """A page of nameless containers: the ratio tells text from links, smoothing saves the short line, the clusters cut."""
+    want = f"A title {SENTENCE} {SENTENCE} Short. {SENTENCE}"
+    assert html_extract.main_text(SOUP) == want
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "ratios", lambda sizes, tags: np.ones(len(sizes)))
+        assert "Home" in html_extract.main_text(SOUP)
+    with monkeypatch.context() as m:
+        m.setattr(html_extract, "smooth", lambda values: values)
+        assert "Short." not in html_extract.main_text(SOUP)
+    for cut, found in ((-np.inf, True), (np.inf, False)):
+        with monkeypatch.context() as m:
+            m.setattr(html_extract, "threshold", lambda values: cut)
+            assert ("Sport" in html_extract.main_text(SOUP)) == found and html_extract.main_text(SOUP) != want
+
+
+def test_clusters_decide_on_the_pages_of_the_tables(spark, monkeypatch):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    texts = [html_extract.main_text(h) for h in pages]
+    renamed = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in pages]
+    assert [html_extract.main_text(h) for h in renamed] == texts
+    nameless = [h.replace(' class="ad"', "").replace("footer>", "div>").replace("nav>", "div>") for h in renamed]
+    assert all(t in html_extract.main_text(h) for h, t in zip(nameless, texts))
+    monkeypatch.setattr(html_extract, "threshold", lambda values: -np.inf)
+    assert all(html_extract.main_text(h) != t for h, t in zip(pages, texts))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>T</title><body><p>Hello", "Hello"),
+        ("<html><head><title>T</title>Hello", "Hello"),
+        (f'<div class="content-sidebar-wrap"><article>{SENTENCE}</article></div>', SENTENCE),
+        (f'<form id="all"><div class="has-sidebar"><main>{SENTENCE}</main></div></form>', SENTENCE),
+        (f'<article><p>{SENTENCE}</p><section id="related-work"><h2>Related work</h2><p>{SENTENCE}</p></section></article>', f"{SENTENCE} Related work {SENTENCE}"),
+        ("<article><p>Press <button>Go</button> for <math>x+1</math> in <map>m</map>.</p></article>", "Press Go for x+1 in m."),
+        (f"<div><h1>Title</h1><p>A lead.</p><div class=body>{SENTENCE} {SENTENCE}</div></div>", f"Title A lead. {SENTENCE} {SENTENCE}"),
+        (f"<article>{SENTENCE}</article><article>{SENTENCE}</article>", f"{SENTENCE} {SENTENCE}"),
+        (f"<article>{SENTENCE}</article><div id=comments><article class=comment>{SENTENCE} {SENTENCE}</article></div>", SENTENCE),
+        (f"<div><p>{SENTENCE}</p><ul><li>one<li>two</ul><p>{SENTENCE}</p><div class=related><h3>Related</h3><ul><li><a href=1>A</a><li><a href=2>B</a></ul></div></div>", f"{SENTENCE} one two {SENTENCE}"),
+        (f"<article><header><h1>T</h1></header><p>{SENTENCE}</p><p hidden>no</p><aside>no</aside><footer>no</footer></article>", f"T {SENTENCE}"),
+    ],
+)
+def test_pages_of_other_markup(page, text):
+    assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b>x", "<p>x", "<li>x", "<td>x", "<p><b>x", "</p></b>x"])
+def test_deep_pages_take_linear_time(part):
+    import time
+
+    began = time.perf_counter()
+    assert html_extract.main_text(part * 100_000).count("x") == 100_000
+    assert time.perf_counter() - began < 20
+
+
+def test_no_pages(spark):
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string, n_chars int")).collect() == []
