@@ -15,31 +15,67 @@ from bookflow.llm import chat, html_extract, topk
 NAN, INF = float("nan"), float("inf")
 
 
-def brute(rows, k, every, scale=256):
-    sound = {}
-    for i, v in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        if all(x is not None and np.isfinite(x) for x in v):
-            x = [int(np.floor(scale * float(np.float32(c)))) for c in v]
-            sound[i] = min(sound.get(i, x), x)
+def brute(rows, k, every, scale=256, single=np.float32):
+    """Each query row against every other row."""
+    sound = [(i, [int(np.floor(scale * float(single(c)))) for c in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     out = []
-    for q in (i for i in sound if i % every == 0):
-        best = sorted(((-dot(sound[q], sound[i]), i) for i in sound if i != q))[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for q, (query_id, x) in enumerate(sound):
+        if query_id % every == 0:
+            best = sorted((-dot(x, y), i) for n, (i, y) in enumerate(sound) if n != q)[:k]
+            out += [(query_id, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("group,block", [(4096, 256), (20, 4)])
-def test_topk(spark, monkeypatch, group, block):
+def results(found):
+    return sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect())
+
+
+@pytest.mark.parametrize("group,block,slab", [(4096, 256, 1024), (20, 4, 3)])
+def test_topk(spark, monkeypatch, group, block, slab):
     monkeypatch.setattr(topk, "GROUP", group)
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "SLAB", slab)
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(120)]
     rows += [(i, rows[3][1]) for i in range(200, 240)]  # one very common vector
-    rows += [(300, None), (310, [NAN, 1.0]), (320, [INF, 0.0]), (330, [None, 1.0]), (None, [1.0] * 6), (340, [5.0, 1.0]), (350, []), (5, rows[5][1])]
+    rows += [(300, None), (310, [NAN, 1.0]), (320, [INF, 0.0]), (330, [None, 1.0]), (None, [1.0] * 6), (340, [5.0, 1.0]), (350, [])]
+    rows += [(5, rows[5][1]), (7, [3.0] * 6), (7, [4.0] * 6), (10, rows[10][1]), (20, [2.0] * 6)]  # repeated ids
     vectors = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, id string, label int")
-    got = sorted(tuple(r) for r in topk.search(vectors, 3, 10).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == brute(rows, 3, 10)
+    assert results(topk.search(vectors, 3, 10)) == brute(rows, 3, 10)
+
+
+@pytest.mark.parametrize("size", [1e8, 3e6, 1e11])
+def test_topk_of_large_components_is_exact(spark, size):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.round(x)) for x in rng.uniform(-size, size, 4)]) for i in range(60)]
+    rows += [(60, [1e8 + 1, 1.0]), (61, [1e8 + 3, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = [(q, n, i, max(-(2**63) + 1, min(2**63 - 1, s))) for q, n, i, s in brute(rows, 3, 10, 1, float)]
+    if size < 1e9:
+        assert results(topk.search(vectors, 3, 10, 1)) == want
+    else:  # beyond 64 bits scores are the nearest 64-bit integer
+        assert [(q, n, s) for q, n, _, s in results(topk.search(vectors, 3, 10, 1))] == [(q, n, s) for q, n, _, s in want]
+
+
+def test_only_groups_within_reach_get_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "GROUP", 32)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    centres = np.eye(8) * 40
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(size=8)]) for i in range(1000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    kept = topk.sent_to_groups
+
+    def spied(packed, width, groups):
+        found = kept(packed, width, groups)
+        sent.append((found.count(), groups))
+        return found
+
+    monkeypatch.setattr(topk, "sent_to_groups", spied)
+    assert results(topk.search(vectors, 2, 500)) == brute(rows, 2, 500, single=float)
+    assert sent[0][0] < sent[0][1] * 2 / 2
 
 
 def test_topk_small_tables(spark):
