@@ -12,14 +12,24 @@ from pyspark.sql import functions as F
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, the one place that driver and executors share.
 
-    Where that setting is absent (tests, a laptop) a local folder is used, but only under a local master.
+    Where that setting is absent (tests, a laptop) a local folder is used, but only under a local master. All scratch
+    folders of an application lie in one, which :func:`clear` deletes.
     """
+    return f"{home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def home(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/bookflow-scratch"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/bookflow-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch folders of this application. Results that haven't been written elsewhere are gone with them."""
+    remove(spark, home(spark))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -28,6 +38,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where it doesn't exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in shared scratch space and read it back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -1,12 +1,18 @@
 """Exact dedup against a persistent digest index, with DataFrame operators only.
 
-The index is a table (``text_sha256``, ``keep_id``, ``group_size``), bucketed and sorted by the digest. New rows are
-reduced to one row per digest before any shuffle (so a text that makes up a third of all rows is one row per task),
-matched with a sort-merge anti-join against the index and appended as further bucketed files. Rows that the index
-already has are dropped; among new equal texts the row with the largest id stays.
+The index is two tables, bucketed and sorted by the digest of the text: ``digests`` (digest, keep_id), a row for each
+digest, and ``counts`` (digest, batch, rows), a row for each digest and appended batch. New rows are reduced to one row per
+digest before any shuffle (so a text that makes up a third of all rows is one row per task), matched with a sort-merge
+anti-join against ``digests`` and appended: a digest keeps the id that came first. Both sides of the anti-join and of the
+join with the counts are bucketed alike, so the index itself is never shuffled.
+
+A one-off dedup is the same work on a new index: ids are appended in slices from the largest down, so the first id of each
+digest is its largest. The index can be closed, opened again by its path in another session or without a metastore, and
+appended to; nothing ever overwrites it. A batch that is appended twice under one name (a retry) counts once.
 
 Defined results: a null text counts as empty; empty texts equal each other; repeated (id, text) rows each count in
-``group_size`` and share one ``keep_id``; a null id never wins over a known one; an empty table gives an empty result.
+``group_size`` and share one ``keep_id``; a null id never wins over a known one in its batch; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +22,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import scratch, text_or_empty
+from bookflow.llm.common import folders, materialize, remove, scratch, text_or_empty
 
 DIGEST = "text_sha256"
 #: A digest is hot with more than one in HOT_SHARE of all rows, so there are fewer than HOT_SHARE hot ones.
 HOT_SHARE = 1000
+#: Slices of falling ids in which a one-off dedup appends.
+SLICES = 2
 #: Stands for a null id inside the index: smaller than any id, so a known id wins.
 NO_ID = -(2**63)
+TABLES = {"digests": "digest BINARY, keep_id BIGINT", "counts": "digest BINARY, batch STRING, rows BIGINT"}
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,49 +48,85 @@ def _digest(text_col: str) -> Column:
 
 
 class DigestIndex:
-    """A bucketed, sorted table of digests that grows by anti-join and append."""
+    """The tables of an index under ``path``, opened or made.
+
+    The number of buckets is part of the folders' names, so an index is read as it was written whatever the session's
+    settings are.
+    """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.path = path or scratch(spark, "digest-index")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        found = {int(name.rsplit("_", 1)[1]) for name in folders(spark, self.path) if name.rsplit("_", 1)[0] in TABLES}
+        self.buckets = found.pop() if found else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tag = uuid.uuid4().hex
+        self.names = {name: f"{name}_{tag}" for name in TABLES}
+        for name, columns in TABLES.items():
+            spark.sql(f"CREATE TABLE {self.names[name]} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}_{self.buckets}'")
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Add the digests of ``docs`` that the index doesn't have yet."""
-        new = digests(docs, id_col, text_col).groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            new = new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        writer = new.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path)
-        writer.mode("append" if self.exists() else "overwrite").saveAsTable(self.name)
+    def close(self) -> None:
+        """Forget the session's names of the tables; the files stay."""
+        for name in self.names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+    def table(self, name: str) -> DataFrame:
+        return self.spark.table(self.names[name])
 
-def assign(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with the group it belongs to.
-
-    Digests of more than a thousandth of all rows are fewer than a thousand: they are broadcast, and their rows don't move.
-    All other rows meet the index in a sort-merge join that no digest can weigh down.
+    def read(self) -> DataFrame:
+        """(digest, keep_id, group_size)."""
+        counts = self.table("counts").groupBy("digest").agg(F.sum("rows").alias("group_size"))
+        return self.table("digests").join(counts.hint("merge"), "digest")
+
+    def _add(self, rows: DataFrame, name: str) -> None:
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, "digest")
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.names[name])
+        self.spark.catalog.refreshTable(self.names[name])
+
+    def append(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> None:
+        """Add the digests of ``docs`` that the index doesn't have yet, and count all rows."""
+        self.append_rows(digests(docs, id_col, text_col), batch)
+
+    def append_rows(self, rows: DataFrame, batch: str | None = None) -> None:
+        """As ``append``, from (id, digest) rows. A batch that failed half way is completed under the same name."""
+        label = batch or uuid.uuid4().hex
+        found = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
+        self._add(found.join(self.table("digests").select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id"), "digests")
+        if batch is None or self.table("counts").filter(F.col("batch") == batch).isEmpty():
+            self._add(found.select("digest", F.lit(label).alias("batch"), "rows"), "counts")
+
+
+def one_off(rows: DataFrame, slices: int = SLICES) -> DigestIndex:
+    """A new index of (id, digest) rows, appended in slices of falling ids."""
+    index = DigestIndex(rows.sparkSession)
+    cuts = rows.agg(F.percentile_approx("id", [k / slices for k in range(slices - 1, 0, -1)])).first()[0] or []
+    upper = None
+    for cut in [*dict.fromkeys(cuts), None]:
+        part = rows if cut is None else rows.filter(F.col("id") >= cut)
+        index.append_rows(part if upper is None else part.filter(F.col("id") < upper))
+        upper = cut
+    return index
+
+
+def assign(rows: DataFrame, index: DigestIndex, id_col: str = "doc_id") -> DataFrame:
+    """Every (id, digest) row with the group it belongs to; the index must hold its digest.
+
+    Digests of more than a thousandth of these rows are fewer than a thousand: they are broadcast, and their rows don't
+    move. All other rows meet the index in a sort-merge join that no digest can weigh down.
     """
     known = index.read()
-    total = known.agg(F.sum("group_size")).first()[0] or 0
-    hot = F.broadcast(known.filter(F.col("group_size") > total / HOT_SHARE))
-    rows = digests(docs, id_col, text_col)
-    found = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(known.filter(F.col("group_size") <= total / HOT_SHARE).hint("merge"), "digest"))
+    total = rows.count()
+    often = F.broadcast(rows.groupBy("digest").count().filter(F.col("count") > total / HOT_SHARE).select("digest"))
+    hot, rest = known.join(often, "digest"), rows.join(often, "digest", "left_anti")
+    found = rows.join(F.broadcast(hot), "digest").unionByName(rest.join(known.hint("merge"), "digest"))
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return found.select(back("id").alias(id_col), back("keep_id").alias("keep_id"), "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias(DIGEST))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256."""
-    index = DigestIndex(docs.sparkSession)
-    index.append(docs, id_col, text_col)
-    return assign(docs, index, id_col, text_col)
+    rows, _ = materialize(digests(docs, id_col, text_col), "digests")
+    return assign(rows, one_off(rows), id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,9 +134,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     The join key is (digest, id): ids spread a hot digest over all tasks, and the final distinct reuses that exchange.
     """
-    index = DigestIndex(docs.sparkSession)
-    index.append(docs, id_col, text_col)
+    rows, path = materialize(digests(docs, id_col, text_col), "digests")
+    index = one_off(rows)
+    remove(docs.sparkSession, path)
     tag = uuid.uuid4().hex[:8]
     keys = [f"digest_{tag}", f"id_{tag}"]
-    stay = index.read().select(F.col("digest").alias(keys[0]), F.col("keep_id").alias(keys[1]))
+    stay = index.table("digests").select(F.col("digest").alias(keys[0]), F.col("keep_id").alias(keys[1]))
     return docs.withColumns({keys[0]: _digest(text_col), keys[1]: _id(id_col)}).join(stay.hint("merge"), keys, "left_semi").dropDuplicates(keys).drop(*keys)

@@ -35,16 +35,52 @@ def test_exact_keeps_one_whole_row(spark):
     assert exact_dedup.keep_one(empty(spark)).count() == 0
 
 
-def test_index_grows(spark):
+def test_index_grows_and_counts(spark):
+    """Three appends; counts equal SQL over all rows, kept ids are those of the first batch that had the text."""
     index = exact_dedup.DigestIndex(spark)
-    first, second = documents(spark, ROWS[:4]), documents(spark, ROWS[2:9])
-    index.append(first)
-    before = {r.digest: r.keep_id for r in index.read().collect()}
-    index.append(second)
-    after = {r.digest: r.keep_id for r in index.read().collect()}
-    assert len(after) == len(before) + 4 and all(after[k] == v for k, v in before.items())
-    index.append(second)
-    assert index.read().count() == len(after)
+    parts = [ROWS[:4], ROWS[2:9], ROWS[5:]]
+    for part in parts:
+        index.append(documents(spark, part))
+    sha = lambda t: hashlib.sha256((t or "").encode()).digest()
+    size, first = {}, {}
+    for part in parts:
+        largest = {}
+        for d, t, *_ in part:
+            size[sha(t)] = size.get(sha(t), 0) + 1
+            largest[sha(t)] = max(largest.get(sha(t), exact_dedup.NO_ID), exact_dedup.NO_ID if d is None else d)
+        first = largest | first
+    got = index.read().collect()
+    assert {bytes(r.digest): r.group_size for r in got} == size and {bytes(r.digest): r.keep_id for r in got} == first
+
+
+def test_index_survives_a_restart(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    index.append(documents(spark, ROWS[:4]))
+    index.close()  # as a session without the catalogue's entries
+    again = exact_dedup.DigestIndex(spark, index.path, buckets=7)
+    assert again.buckets == 3
+    before = {bytes(r.digest): (r.keep_id, r.group_size) for r in again.read().collect()}
+    assert len(before) == 3
+    again.append(documents(spark, [(9, ROWS[0][1], "en", "a", 0), (20, "new", "en", "a", 0)]), batch="today")
+    again.append(documents(spark, [(9, ROWS[0][1], "en", "a", 0), (20, "new", "en", "a", 0)]), batch="today")  # a retry
+    after = {bytes(r.digest): (r.keep_id, r.group_size) for r in again.read().collect()}
+    assert len(after) == 4 and after[hashlib.sha256(ROWS[0][1].encode()).digest()] == (2, 3)
+    rows = exact_dedup.digests(documents(spark, [(9, ROWS[0][1], "en", "a", 0)]))
+    assert [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.assign(rows, again).collect()] == [(9, 2, 3, False)]
+
+
+def test_the_index_is_joined_without_a_shuffle(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.append(documents(spark))
+    plan = index.read()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("slices", [1, 2, 5])
+def test_slices_dont_change_the_result(spark, slices):
+    rows = exact_dedup.digests(documents(spark))
+    got = exact_dedup.assign(rows, exact_dedup.one_off(rows, slices)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, exact_dedup.dedup(documents(spark)).collect()))
 
 
 @settings(max_examples=200, deadline=None)
