@@ -1,17 +1,17 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Severity grades 0 to 3: label 0 is grade 0; documents of label 1 are graded by how many of their words are
-telling (thirds of the labelled documents). One weight vector is shared by the ordered thresholds: P(grade >= k) is
-sigmoid(w.x - t_k). Expected severity is the sum of these chances over k = 1, 2, 3; a document is toxic when
-P(grade >= 1) is at least one half.
-
-Features are words, and beginnings of longer words (so that inflected forms share a feature). From the training sample's
-counts those are kept that prefer label 1 beyond chance, by a likelihood-ratio test whose level accounts for the number
+Severity grades 0 to 3: label 0 is grade 0. Labels have two values, so documents of label 1 are graded on words that the
+model doesn't see: in training, inputs come from a document's words at even positions, its grade from how many of its words
+at odd positions are telling (thirds of the labelled documents that have some). One weight vector is shared by the ordered
+thresholds: P(grade >= k) is sigmoid(w.x - t_k). Expected severity is the sum of these chances over k = 1, 2, 3; a document
+is toxic when P(grade >= 1) is at least one half.
+
+Features are words, and beginnings of longer words (so that inflected forms share a feature). Of the training sample's all
+those make the model that prefer label 1 beyond chance, by a likelihood-ratio test whose level accounts for the number
 of candidates. A feature's value is log(1 + its count). Weights stay non-negative, so no amount of clean text hides an
 insult and none makes one.
 
-Fitted on at most ``SAMPLE_ROWS`` labelled rows that aren't held out; at most ``FEATURES`` features make the model. Every
-document is scored by its whole text.
+Fitted on at most ``SAMPLE_ROWS`` labelled rows that aren't held out. Every document is scored by its whole text.
 
 Defined results: a null text is the empty text; equal texts score equally; a text without telling features has the base
 severity of the model; without labels of both kinds, or features, severity is 0; an empty table gives no rows; other
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from bookflow.llm.bpe import rows_of
 from bookflow.llm.common import remove
 from bookflow.llm.labelled import SAMPLE_ROWS, held_out, training_rows
+from bookflow.llm.telling import Sparse, solve, telling
 
 WORD = re.compile(r"[^\W_]+")
 #: Lengths of the beginnings of longer words.
 BEGINNINGS = (4, 5, 6, 7, 8)
-FEATURES = 512
 GRADES = 3
 #: Words whose features a worker remembers.
 CACHE_WORDS = 300_000
@@ -45,29 +45,13 @@ def word_features(word: str) -> list[str]:
     return [word, *(word[:k] + "+" for k in BEGINNINGS if len(word) > k)]
 
 
-def chosen_features(sample: DataFrame, least: int = 4, level: float = 0.05) -> list[str]:
-    """Features that prefer label 1 beyond chance (G-test, Bonferroni over the candidates), the strongest first."""
+def text_features(text: str) -> set[str]:
+    return {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}
 
-    def count(batches):
-        seen: dict[str, list[int]] = {}
-        for batch in (part for whole in batches for part in rows_of(whole)):
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for feature in {f for w in set(WORD.findall(text.lower())) for f in word_features(w)}:
-                    seen.setdefault(feature, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["feature", "clean", "toxic"])
-
-    sizes = dict(sample.groupBy("label").count().collect())
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    if not n0 or not n1:
-        return []
-    counts = sample.select("label", "text").mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= least)
-    n, share = F.col("clean") + F.col("toxic"), n1 / (n0 + n1)
-    term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
-    tested = counts.withColumn("g", F.when(F.col("toxic") > n * share, 2 * (term(F.col("toxic"), n * share) + term(F.col("clean"), n * (1 - share)))).otherwise(0.0)).withColumn("precise", 2 * F.col("toxic") >= n)
-    bound = tested.agg(F.count(F.lit(1))).first()[0]
-    critical = 2 * np.log(max(2, bound) / level)
-    best = tested.filter((F.col("g") >= float(critical)) & F.col("precise")).orderBy(F.desc("g"), "feature").limit(4 * FEATURES).select("feature", "clean", "toxic").collect()
-    return distinct_features([tuple(r) for r in best])[:FEATURES]
+
+def chosen_features(sample: DataFrame) -> list[str]:
+    """Features that prefer label 1 beyond chance, the strongest first."""
+    return distinct_features(telling(sample, text_features))
 
 
 def distinct_features(ranked: list[tuple[str, int, int]]) -> list[str]:
@@ -92,9 +76,8 @@ class Counting:
     def _of(self, word: str) -> tuple[int, ...]:
         return tuple(self.number[f] for f in word_features(word) if f in self.number)
 
-    def counts(self, text: str) -> tuple[dict[int, int], int]:
+    def counts(self, words: list[str]) -> tuple[dict[int, int], int]:
         """(feature number to count, words that have a feature)."""
-        words = WORD.findall(text.lower())
         distinct = set(words)
         for w in distinct.difference(self.known):
             self.known[w] = self._of(w)
@@ -113,32 +96,38 @@ class Counting:
         return found, hits
 
 
-def fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-5, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def fit(x: Sparse, grade: np.ndarray, ridge: float = 1e-5, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Shared non-negative weights and ordered thresholds: projected Newton steps on the cumulative-link likelihood."""
     share = np.array([(grade >= k).mean() for k in range(1, GRADES + 1)]).clip(1e-4, 1 - 1e-4)
     cuts = -np.log(share / (1 - share))
     cuts = np.maximum.accumulate(cuts + 1e-3 * np.arange(GRADES))
     w = np.zeros(x.shape[1])
-    rows = np.arange(len(grade))
+    n = len(grade)
+    rows = np.arange(n)
+    squares = Sparse(x.row, x.column, x.value**2, x.shape)
 
     def loss(w: np.ndarray, cuts: np.ndarray) -> float:
-        above = np.c_[np.ones(len(x)), 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts, -30, 30))), np.zeros(len(x))]
+        above = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(x.dot(w)[:, None] - cuts, -30, 30))), np.zeros(n)]
         return float(-np.log(np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12)).mean() + ridge / 2 * w @ w)
 
     for _ in range(steps):
-        above = np.c_[np.ones(len(x)), 1 / (1 + np.exp(-np.clip((x @ w)[:, None] - cuts, -30, 30))), np.zeros(len(x))]
+        above = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(x.dot(w)[:, None] - cuts, -30, 30))), np.zeros(n)]
         slope = above * (1 - above)
         chance = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-12)
-        gradient = x.T @ (above[rows, grade] + above[rows, grade + 1] - 1) / len(x) + ridge * w
+        gradient = x.dot_rows(above[rows, grade] + above[rows, grade + 1] - 1) / n + ridge * w
         free = (w > 0) | (gradient < 0)
-        curved = ((slope[rows, grade] + slope[rows, grade + 1]) / len(x))[:, None] * x[:, free]
-        step = np.zeros_like(w)
-        step[free] = np.linalg.solve(x[:, free].T @ curved + ridge * np.eye(int(free.sum())), gradient[free])
+        curved = (slope[rows, grade] + slope[rows, grade + 1]) / n
+        diagonal = squares.dot_rows(curved) + ridge
+        step = solve(lambda v: np.where(free, x.dot_rows(curved * x.dot(v)) + ridge * v, 0), np.where(free, gradient, 0), lambda v: v / diagonal)
         by_cut, size = np.zeros(GRADES + 2), np.zeros(GRADES + 2)
         for at, sign in ((grade, 1), (grade + 1, -1)):
-            part = sign * slope[rows, at] / chance / len(x)
+            part = sign * slope[rows, at] / chance / n
             np.add.at(by_cut, at, part)
-            np.add.at(size, at, part * part * len(x))
+            np.add.at(size, at, part * part * n)
         cut_step = by_cut[1:-1] / np.maximum(size[1:-1], 1e-6)
         before, rate = loss(w, cuts), 1.0
         while rate > 1e-4:
@@ -153,7 +142,7 @@ def fit(x: np.ndarray, grade: np.ndarray, ridge: float = 1e-5, steps: int = 60)
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The model. The driver gathers at most ``FEATURES`` features, and of at most ``rows`` documents their counts of these."""
+    """The model. The driver gathers the telling features, and of at most ``rows`` documents their counts of these."""
     sample, held = training_rows(docs, labels, target, rows, id_col, text_col)
     features = chosen_features(sample)
     if not features:
@@ -164,14 +153,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     def run(batches):
         counting = Counting(spec.value)
         for batch in (part for whole in batches for part in rows_of(whole)):
-            got = [counting.counts(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g[0].keys()) for g in got], pa.list_(pa.int64())), pa.array([list(g[0].values()) for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.int64())], names=["id", "label", "at", "n", "hits"])
+            words = [words_of(t) for t in batch.column(2).to_pylist()]
+            seen, hits = [counting.counts(w[::2])[0] for w in words], [counting.counts(w[1::2])[1] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g.keys()) for g in seen], pa.list_(pa.int64())), pa.array([list(g.values()) for g in seen], pa.list_(pa.int64())), pa.array(hits, pa.int64())], names=["id", "label", "at", "n", "hits"])
 
     found = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, at array<long>, n array<long>, hits long").toPandas().sort_values("id")
     remove(docs.sparkSession, held)
-    x = np.zeros((len(found), len(features)))
-    for row, (at, n) in enumerate(zip(found["at"], found["n"])):
-        x[row, np.asarray(at, int)] = np.log1p(np.asarray(n, float))
+    x = Sparse.of_rows(((at, np.log1p(np.asarray(n, float))) for at, n in zip(found["at"], found["n"])), len(features))
     hits = found["hits"].to_numpy()
     toxic = found["label"].to_numpy() == 1
     telling = toxic & (hits > 0)
@@ -192,7 +180,7 @@ class Scorer:
         """P(grade >= k) for k = 1, 2, 3."""
         if self.model is None:
             return np.zeros(GRADES)
-        found, _ = self.counting.counts(text or "")
+        found, _ = self.counting.counts(words_of(text))
         total = sum(self.model["weights"][k] * np.log1p(n) for k, n in sorted(found.items()))
         return 1 / (1 + np.exp(-np.clip(total - self.model["cuts"], -30, 30)))
 

@@ -10,6 +10,7 @@ import pytest
 from bookflow.llm import quality, toxicity
 from bookflow.llm.common import table
 from bookflow.llm.labelled import SAMPLE_ROWS, training_rows
+from bookflow.llm.telling import Sparse
 from tests.llm.helpers import DATA, ROWS, documents, empty
 
 LARGE = "/root/testdata/sf0.1"
@@ -83,10 +84,120 @@ def test_ordinal_fit_orders_severity():
     rng = np.random.default_rng(0)
     x = rng.poisson(0.5, (800, 3)).astype(float)
     grade = np.clip((x[:, 0] + x[:, 1] + rng.random(800) * 0.4).astype(int), 0, 3)
-    weights, cuts = toxicity.fit(x, grade)
+    weights, cuts = toxicity.fit(Sparse.of(x), grade)
     assert (weights >= 0).all() and weights[2] < 0.2 * weights[0] and (np.diff(cuts) >= 0).all()
 
 
+def plain_telling(rows, features_of, either):
+    """The likelihood-ratio test in plain Python: features and their counts by label."""
+    n = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    seen = {}
+    for y, text in rows:
+        for f in features_of(text):
+            seen.setdefault(f, [0, 0])[y] += 1
+    seen = {f: c for f, c in seen.items() if sum(c) >= 4}
+    passed = {}
+    for f, c in seen.items():
+        expected = [sum(c) * k / sum(n) for k in n]
+        g = 2 * sum(o * np.log(o / e) for o, e in zip(c, expected) if o)
+        if g >= 2 * np.log(max(2, len(seen)) / 0.05) and (either or c[1] > expected[1] and 2 * c[1] >= sum(c)):
+            passed[f] = c
+    return passed
+
+
+def test_quality_equals_a_plain_refit(spark):
+    """Words, pair differences and Newton steps written out with dense matrices give the query's scores."""
+    docs, marks = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    sample, _ = training_rows(docs, marks, "quality")
+    rows = sorted((r.id, r.label, r.text) for r in sample.collect())
+    y = np.array([r[1] for r in rows])
+    words = sorted(plain_telling([r[1:] for r in rows], lambda t: set(t.split()), True))
+    share = lambda t: [np.log1p(100 * t.split().count(w) / max(1, len(t.split()))) for w in words]
+    x = np.array([quality.features(r[2]) for r in rows])
+    mean, std = x.mean(axis=0), x.std(axis=0) + 1e-9
+    knots = np.quantile(np.clip((x - mean) / std, -6, 6), quality.KNOTS, axis=0)
+
+    def row(text):
+        z = np.clip((np.array(quality.features(text)) - mean) / std, -6, 6)
+        return np.concatenate([z, *(np.maximum(0, z - k) for k in knots), share(text)])
+
+    b = np.array([row(r[2]) for r in rows])
+    rng = np.random.default_rng(7)
+    left, right = rng.choice(np.flatnonzero(y == 1), quality.PAIRS), rng.choice(np.flatnonzero(y == 0), quality.PAIRS)
+    d = b[left] - b[right]
+    ridge = np.r_[np.full(b.shape[1] - len(words), quality.RIDGE), np.full(len(words), quality.SPARSE_RIDGE)]
+    w = np.zeros(b.shape[1])
+    for _ in range(25):
+        p = 1 / (1 + np.exp(d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + np.diag(ridge), ridge * w - (d * p[:, None]).mean(axis=0))
+    raw = b @ w
+    cut = np.quantile(raw, (y == 0).mean())
+    got = {r.doc_id: r.score for r in quality.classify(docs, marks).collect()}
+    for r in docs.collect():
+        want = 1 / (1 + np.exp(-(row(r.text or "") @ w - cut) * 2 / raw.std() - np.log(0.3 / 0.7)))
+        assert got[r.doc_id] == pytest.approx(want, abs=5e-3)
+
+
+def insulted(spark):
+    rng = np.random.default_rng(4)
+    rows, marks = [], []
+    for k in range(900):
+        words = [f"w{rng.integers(200)}" for _ in range(rng.integers(5, 60))]
+        bad = rng.random() < 0.25
+        for _ in range(rng.integers(1, 9) if bad else 0):
+            words[rng.integers(len(words))] = rng.choice(["foulish", "rottened", "vile"])
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(bad != (rng.random() < 0.02))))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"), rows, dict(marks)
+
+
+def test_severity_equals_plain_scoring_of_an_optimal_model(spark):
+    """The model is at the optimum of the likelihood written out; each document's severity follows from it by hand."""
+    docs, labels_, rows, marks = insulted(spark)
+    model = toxicity.train(docs, labels_)
+    train = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    features = toxicity.distinct_features([(f, *c) for f, c in plain_telling([(marks[k], t) for k, t in train], toxicity.text_features, False).items()])
+    assert set(model["features"]) == set(features) and {"foulish", "rottened", "vile"} <= set(features)
+    number = {f: k for k, f in enumerate(model["features"])}
+
+    def counted(words):
+        x = np.zeros(len(number))
+        for w in words:
+            for f in toxicity.word_features(w):
+                if f in number:
+                    x[number[f]] += 1
+        return np.log1p(x)
+
+    x = np.array([counted(t.split()[::2]) for _, t in train])
+    hits = np.array([sum(any(f in number for f in toxicity.word_features(w)) for w in t.split()[1::2]) for _, t in train])
+    toxic = np.array([marks[k] for k, _ in train])
+    low, high = np.quantile(hits[(toxic == 1) & (hits > 0)], [1 / 3, 2 / 3])
+    grade = np.where(toxic == 1, 1 + np.where(hits > 0, (hits > low).astype(int) + (hits > high), 0), 0)
+
+    def loss(w, cuts):
+        above = np.c_[np.ones(len(x)), 1 / (1 + np.exp(-((x @ w)[:, None] - cuts))), np.zeros(len(x))]
+        return -np.log(above[np.arange(len(x)), grade] - above[np.arange(len(x)), grade + 1]).mean() + 0.5e-5 * w @ w
+
+    w, cuts = model["weights"], model["cuts"]
+    slope = lambda f, v, k: (f(v + 1e-5 * np.eye(len(v))[k]) - f(v - 1e-5 * np.eye(len(v))[k])) / 2e-5
+    for k in range(len(w)):
+        g = slope(lambda v: loss(v, cuts), w, k)
+        assert abs(g) < 2e-3 if w[k] > 0 else g > -2e-3
+    assert all(abs(slope(lambda v: loss(w, v), cuts, k)) < 2e-3 for k in range(3))
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels_).collect()}
+    for k, text in rows:
+        p = 1 / (1 + np.exp(-(counted(text.split()) @ w - cuts)))
+        assert got[k].severity == pytest.approx(p.sum(), abs=1e-9) and got[k].toxic == (p[0] >= 0.5)
+
+
+def test_no_telling_feature_is_left_out(spark):
+    """More telling words than any fixed number of features would hold."""
+    rows = [(k, " ".join(f"{'bad' if k % 2 else 'good'}{(k // 2 * 60 + n) % 1500:04d}" for n in range(300))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.train(docs, spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int"))["features"]
+    assert {f"bad{n:04d}" for n in range(1500)} <= set(found)
+
+
 def test_pipeline_equals_its_operators(spark):
     import corpus_pipeline
     from bookflow.llm import packing
