@@ -1,10 +1,10 @@
 """Exact dedup against a persistent digest index, with DataFrame operators only.
 
 The index is two tables, bucketed and sorted by the digest of the text: ``digests`` (digest, keep_id), a row for each
-digest, and ``counts`` (digest, batch, rows), a row for each digest and appended batch. New rows are reduced to one row per
-digest before any shuffle (so a text that makes up a third of all rows is one row per task), matched with a sort-merge
-anti-join against ``digests`` and appended: a digest keeps the id that came first. Both sides of the anti-join and of the
-join with the counts are bucketed alike, so the index itself is never shuffled.
+digest, and ``counts`` (digest, batch, last_id, rows), a row for each digest and appended batch. New rows are reduced to one
+row per digest before any shuffle (so a text that makes up a third of all rows is one row per task) and appended to
+``counts``; those rows meet ``digests`` in a sort-merge anti-join, and what is new is appended there: a digest keeps the id
+that came first. All tables are bucketed alike, so the index itself is never shuffled.
 
 A one-off dedup is the same work on a new index: ids are appended in slices from the largest down, so the first id of each
 digest is its largest. The index can be closed, opened again by its path in another session or without a metastore, and
@@ -31,7 +31,7 @@ HOT_SHARE = 1000
 SLICES = 2
 #: Stands for a null id inside the index: smaller than any id, so a known id wins.
 NO_ID = -(2**63)
-TABLES = {"digests": "digest BINARY, keep_id BIGINT", "counts": "digest BINARY, batch STRING, rows BIGINT"}
+TABLES = {"digests": "digest BINARY, keep_id BIGINT", "counts": "digest BINARY, batch STRING, last_id BIGINT, rows BIGINT"}
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,8 +77,9 @@ class DigestIndex:
         counts = self.table("counts").groupBy("digest").agg(F.sum("rows").alias("group_size"))
         return self.table("digests").join(counts.hint("merge"), "digest")
 
-    def _add(self, rows: DataFrame, name: str) -> None:
-        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+    def _add(self, rows: DataFrame, name: str, dealt: bool = True) -> None:
+        """Append; rows that aren't dealt by bucket yet are, so that a task writes few buckets."""
+        if not dealt and int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
             rows = rows.repartition(self.buckets, "digest")
         rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.names[name])
         self.spark.catalog.refreshTable(self.names[name])
@@ -90,10 +91,11 @@ class DigestIndex:
     def append_rows(self, rows: DataFrame, batch: str | None = None) -> None:
         """As ``append``, from (id, digest) rows. A batch that failed half way is completed under the same name."""
         label = batch or uuid.uuid4().hex
-        found = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("rows"))
-        self._add(found.join(self.table("digests").select("digest").hint("merge"), "digest", "left_anti").select("digest", "keep_id"), "digests")
         if batch is None or self.table("counts").filter(F.col("batch") == batch).isEmpty():
-            self._add(found.select("digest", F.lit(label).alias("batch"), "rows"), "counts")
+            found = rows.groupBy("digest").agg(F.max("id").alias("last_id"), F.count(F.lit(1)).alias("rows"))
+            self._add(found.select("digest", F.lit(label).alias("batch"), "last_id", "rows"), "counts", dealt=False)
+        added = self.table("counts").filter(F.col("batch") == label).select("digest", F.col("last_id").alias("keep_id"))
+        self._add(added.join(self.table("digests").select("digest").hint("merge"), "digest", "left_anti"), "digests")
 
 
 def one_off(rows: DataFrame, slices: int = SLICES) -> DigestIndex:

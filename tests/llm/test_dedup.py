@@ -76,6 +76,19 @@ def test_the_index_is_joined_without_a_shuffle(spark):
     assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
+def test_copies_are_counted_before_the_shuffle(spark):
+    """A text that makes up most rows reaches the exchange once a task."""
+    docs = spark.createDataFrame([(k, "hot" if k % 4 else f"text {k}") for k in range(8000)], "doc_id long, text string").repartition(6)
+    rows = exact_dedup.digests(docs)
+    found = rows.groupBy("digest").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange hashpartitioning(digest") < plan.rindex("HashAggregate")
+    index = exact_dedup.DigestIndex(spark)
+    index.append_rows(rows)
+    index.append_rows(rows)
+    assert {r.group_size for r in index.read().collect()} == {2, 12000}
+
+
 @pytest.mark.parametrize("slices", [1, 2, 5])
 def test_slices_dont_change_the_result(spark, slices):
     rows = exact_dedup.digests(documents(spark))
