@@ -1,14 +1,15 @@
 """Near-duplicate documents by a multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
 
-1. Each document's set of word shingles gives a signature of 64 symbols of 16 bits (16 chunks of 4). Documents of equal
+1. Each document's set of word shingles gives a signature of 80 symbols of 16 bits (20 chunks of 4). Documents of equal
    sets are one class from here on, so a group of copies of any size is one row.
-2. Index: a chunk with one symbol left out is a key, 64 keys a class. By the pigeonhole principle two signatures that
-   differ in at most 31 of 64 symbols have a chunk that differs in at most one, so they share a key. At the similarity of
-   0.75 symbols differ with chance 0.25: 31 lies 4.3 standard deviations out, and more for closer pairs.
+2. Index: a chunk with one symbol left out is a key, 80 keys a class. By the pigeonhole principle two signatures that
+   differ in at most 39 of 80 symbols have a chunk that differs in at most one, so they share a key. At the similarity of
+   0.75 symbols differ with chance 0.25: 39 lies 4.9 standard deviations out (one pair in a million is beyond), and more
+   for closer pairs.
 3. Hamming graph: in each bucket all classes are compared with the bucket's least class (a star); then classes of a
    bucket that this left in different clusters are compared with each other, in tiles. Edges join signatures at distance
-   31 or less whose set sizes allow the similarity. Connected components are clusters; by 2, no link leaves its cluster.
-4. Clusters are cut into tiles of about ``TILE`` classes. A unit of work computes all its intersections of full sets (a matrix
+   39 or less whose set sizes allow the similarity. Connected components are clusters; by 2, no link leaves its cluster.
+4. Clusters are cut into tiles of about ``TILE`` classes, and of about ``TILE_SHINGLES`` shingles. A unit of work computes all its intersections of full sets (a matrix
    product over shared shingles) and returns a spanning forest of its links. First units are the tiles, each with the
    cluster's least class; then, in clusters of several tiles, the classes that aren't in that class's component meet each
    other and the rest. The components of all links are the answer.
@@ -42,6 +43,10 @@ PERCENT = 75
 DISTANCE = 2 * CHUNKS - 1
 #: Classes of a tile: of full sets, and of signatures.
 TILE, SIGNATURES = 192, 2048
+#: Shingles of a tile of full sets.
+TILE_SHINGLES = 400_000
+#: Pairs of signatures, and shingles, that make a task's work.
+TASK_PAIRS, TASK_SHINGLES = 20_000_000, 4_000_000
 #: A set is hot with more than one in HOT_SHARE of all rows.
 HOT_SHARE = 1000
 SIG = [f"s{c}" for c in range(CHUNKS)]
@@ -49,7 +54,7 @@ SET = ["d1", "d2", "n_shingles"]
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, d1, d2, n_shingles, s0..s15): what identifies the set, its size and its signature."""
+    """(id, d1, d2, n_shingles, s0..s19): what identifies the set, its size and its signature."""
     names = ["id", *SET, *SIG]
 
     def run(batches):
@@ -120,6 +125,11 @@ def tiled(rows: DataFrame, group: str, count: str, tile: int) -> DataFrame:
     )
 
 
+def tasks_for(spark, work: int | None, each: int) -> int:
+    """How many tasks a stage gets whose cost isn't seen in its bytes: at least as many as any shuffle has."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(work or 0) // each))
+
+
 def _bucket_edges(found: pd.DataFrame) -> pd.DataFrame:
     """Edges between classes of one unit of a bucket that are in different clusters."""
     ids, n, cluster, side = (found[c].to_numpy() for c in ("id", "n_shingles", "cluster", "side"))
@@ -183,45 +193,57 @@ def hamming_clusters(classes: DataFrame) -> tuple[DataFrame, list[str]]:
     clusters, c_path = connected_components(star_edges, "clusters")
     labelled = members.select("key", "members", "id").join(clusters, "id", "left").withColumn("cluster", F.coalesce("component", "id")).drop("component")
     # Buckets that hold more than one cluster: their classes meet each other.
-    mixed = labelled.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("key")
-    open_rows = labelled.join(mixed, "key").join(classes.select("id", "n_shingles", *SIG), "id")
-    more = tiled(open_rows, "key", "members", SIGNATURES).groupBy("unit").applyInPandas(_bucket_edges, "a long, b long").distinct()
+    mixed, x_path = materialize(labelled.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.first("members").alias("size")).filter("low <> high").select("key", "size"), "mixed")
+    tasks = tasks_for(spark, mixed.agg(F.sum(F.col("size") * (F.col("size") + 64))).first()[0], TASK_PAIRS)
+    open_rows = labelled.join(mixed.select("key"), "key").join(classes.select("id", "n_shingles", *SIG), "id")
+    more = tiled(open_rows, "key", "members", SIGNATURES).repartition(tasks, "unit").groupBy("unit").applyInPandas(_bucket_edges, "a long, b long").distinct()
     merged, f_path = connected_components(star_edges.unionAll(more), "clusters")
-    for path in (m_path, e_path, c_path):
+    for path in (m_path, e_path, c_path, x_path):
         remove(spark, path)
     return merged, [f_path]
 
 
+def tiles_of(members: str, shingled: str) -> Column:
+    """Tiles that hold about TILE classes and about TILE_SHINGLES shingles each."""
+    return F.ceil(F.greatest(F.col(members) / TILE, F.col(shingled) / TILE_SHINGLES)).cast("int")
+
+
 def star_units(sized: DataFrame) -> DataFrame:
-    """(unit, side, id): each tile of a cluster with the cluster's least class, so that most of a family is linked at linear cost."""
-    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    """(unit, side, id, n_shingles): each tile of a cluster with the cluster's least class, so that most of a family is linked at linear cost."""
+    tiles = tiles_of("members", "shingled")
     tile = lambda c: F.pmod(F.xxhash64(c), tiles).cast("int")
-    own = sized.select(F.concat_ws("/", "component", tile("id")).alias("unit"), F.lit(-1).alias("side"), "id")
-    heads = sized.filter((F.col("id") == F.col("component")) & (tiles > 1)).withColumn("home", tile("id")).select("component", "home", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
-    return own.unionByName(heads.filter("tile <> home").select(F.concat_ws("/", "component", "tile").alias("unit"), F.lit(-1).alias("side"), F.col("component").alias("id")))
+    own = sized.select(F.concat_ws("/", "component", tile("id")).alias("unit"), F.lit(-1).alias("side"), "id", "n_shingles")
+    heads = sized.filter((F.col("id") == F.col("component")) & (tiles > 1)).withColumn("home", tile("id")).select("component", "n_shingles", "home", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"))
+    return own.unionByName(heads.filter("tile <> home").select(F.concat_ws("/", "component", "tile").alias("unit"), F.lit(-1).alias("side"), F.col("component").alias("id"), "n_shingles"))
 
 
 def rest_units(sized: DataFrame, first: DataFrame) -> DataFrame:
-    """(unit, side, id) of what star units leave open: in clusters of several tiles, classes that aren't with the least class
-    yet meet each other and the rest. Those that are with it don't meet: they are one component already."""
+    """(unit, side, id, n_shingles) of what star units leave open: in clusters of several tiles, classes that aren't with the
+    least class yet meet each other and the rest. Those that are with it don't meet: they are one component already."""
     label = first.withColumnRenamed("component", "label")
-    large = sized.filter(F.col("members") > TILE).join(label, "id", "left").select("id", "component", F.coalesce(F.col("label") == F.col("component"), F.lit(False)).alias("with_head"))
-    counts = large.groupBy("component").agg(F.count_if("with_head").alias("inside"), F.count_if(~F.col("with_head")).alias("outside"))
+    large = sized.filter(tiles_of("members", "shingled") > 1).join(label, "id", "left").select("id", "component", "n_shingles", F.coalesce(F.col("label") == F.col("component"), F.lit(False)).alias("with_head"))
+    counted = {"inside": F.count_if("with_head"), "outside": F.count_if(~F.col("with_head")), "inside_shingles": F.sum(F.when(F.col("with_head"), F.col("n_shingles")).otherwise(0)), "outside_shingles": F.sum(F.when(F.col("with_head"), 0).otherwise(F.col("n_shingles")))}
+    counts = large.groupBy("component").agg(*(c.alias(n) for n, c in counted.items()))
     rows = large.join(counts.filter("outside > 0"), "component")
-    ins, outs = (F.ceil(F.col(c) / TILE).cast("int") for c in ("inside", "outside"))
+    ins, outs = tiles_of("inside", "inside_shingles"), tiles_of("outside", "outside_shingles")
     own = F.pmod(F.xxhash64("id"), F.when(F.col("with_head"), ins).otherwise(outs)).cast("int")
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     rows = rows.withColumn("own", own)
     out, inside = rows.filter("NOT with_head"), rows.filter("with_head")
-    each_other = out.withColumn("other", F.explode(up_to(outs))).select(F.concat_ws("/", "component", F.lit("o"), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id")
-    to_inside = out.withColumn("other", F.explode(F.when(ins > 0, up_to(ins)))).select(F.concat_ws("/", "component", F.lit("i"), "own", "other").alias("unit"), F.lit(0).alias("side"), "id")
-    from_inside = inside.withColumn("other", F.explode(up_to(outs))).select(F.concat_ws("/", "component", F.lit("i"), "other", "own").alias("unit"), F.lit(1).alias("side"), "id")
+    each_other = out.withColumn("other", F.explode(up_to(outs))).select(F.concat_ws("/", "component", F.lit("o"), F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "n_shingles")
+    to_inside = out.withColumn("other", F.explode(F.when(ins > 0, up_to(ins)))).select(F.concat_ws("/", "component", F.lit("i"), "own", "other").alias("unit"), F.lit(0).alias("side"), "id", "n_shingles")
+    from_inside = inside.withColumn("other", F.explode(up_to(outs))).select(F.concat_ws("/", "component", F.lit("i"), "other", "own").alias("unit"), F.lit(1).alias("side"), "id", "n_shingles")
     return each_other.unionAll(to_inside).unionAll(from_inside)
 
 
 def linked(units: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): a spanning forest of each unit's links."""
-    return units.join(texts, "id").select("unit", "side", "id", "text").groupBy("unit").applyInPandas(_links, "a long, b long").distinct()
+    spark = units.sparkSession
+    units, path = materialize(units, "units")
+    tasks = tasks_for(spark, units.agg(F.sum("n_shingles")).first()[0], TASK_SHINGLES)
+    found, _ = materialize(units.join(texts, "id").select("unit", "side", "id", "text").repartition(tasks, "unit").groupBy("unit").applyInPandas(_links, "a long, b long").distinct(), "links")
+    remove(spark, path)
+    return found
 
 
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,17 +253,18 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     known = sketched.filter("n_shingles > 0 and id is not null")
     classes, k_path = materialize(known.groupBy(*SET).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), *(F.min(s).alias(s) for s in SIG)), "classes")
     clusters, held = hamming_clusters(classes)
-    sized = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+    clusters = clusters.join(classes.select("id", "n_shingles"), "id")
+    sized, s_path = materialize(clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingled")), "component"), "sized")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts, t_path = materialize(texts.join(clusters.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
-    links, l_path = materialize(linked(star_units(sized), texts), "links")
+    texts, t_path = materialize(texts.join(sized.select("id"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "texts")
+    links = linked(star_units(sized), texts)
     first, f_path = connected_components(links, "near-dup")
-    more, m_path = materialize(linked(rest_units(sized, first), texts), "links")
-    components, _ = connected_components(links.unionAll(more), "near-dup")
+    more = linked(rest_units(sized, first), texts)
+    components, n_path = connected_components(links.unionAll(more), "near-dup")
     of_class, _ = materialize(classes.select(*SET, "id", "copies").join(components, "id", "left").select(*SET, "copies", F.coalesce("component", "id").alias("component_id")), "classes")
     # Sets of more than a thousandth of all rows are fewer than a thousand: their rows meet them by broadcast.
     limit = (classes.agg(F.sum("copies")).first()[0] or 0) / HOT_SHARE
-    for path in (*held, t_path, l_path, f_path, m_path, k_path):
+    for path in (*held, s_path, t_path, f_path, n_path, k_path):
         remove(spark, path)
     hot = F.broadcast(of_class.filter(F.col("copies") > limit).drop("copies"))
     rows = sketched.select("id", *SET)

@@ -7,7 +7,7 @@ import numpy as np
 #: Words of a shingle.
 SIZE = 5
 #: Signature: CHUNKS chunks of LANES symbols of 16 bits; a chunk is one 64-bit integer.
-CHUNKS, LANES = 16, 4
+CHUNKS, LANES = 20, 4
 
 _SEED = np.random.Generator(np.random.Philox(20))
 _ODD = np.uint64(1)

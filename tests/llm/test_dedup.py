@@ -161,3 +161,49 @@ def test_components(spark):
     assert {r.id: r.component for r in found.collect()} == label
     none, _ = connected_components(spark.createDataFrame([], "a long, b long"))
     assert none.count() == 0
+
+
+def test_units_are_bounded_by_shingles(spark, monkeypatch):
+    """Few but long texts are cut into several tiles too."""
+    monkeypatch.setattr(near_dup, "TILE_SHINGLES", 300)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(14):
+        text = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append((k * 2 + 1, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    units = []
+    kept = near_dup.linked
+
+    def spied(u, texts):
+        units.append(u.groupBy("unit").sum("n_shingles").collect())
+        return kept(u, texts)
+
+    monkeypatch.setattr(near_dup, "linked", spied)
+    assert {r.doc_id: r.component_id for r in near_dup.group(docs).collect()} == components(rows)
+    assert len(units[0]) > 3 and max(r[1] for r in units[0]) < 14 * 110
+
+
+def test_signatures_find_links_at_the_threshold():
+    """Four thousand pairs of sets whose similarity is 0.75 exactly: all within the signature distance."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    worst = 0
+    for _ in range(4000):
+        found = rng.integers(0, 2**63, 140).astype(np.uint64)  # 120 shared of 160
+        a, b = np.sort(found), np.sort(np.r_[found[:120], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        x, y = (shingles.signature(s).view(np.uint16) for s in (a, b))
+        worst = max(worst, int((x != y).sum()))
+    assert worst <= near_dup.DISTANCE
+
+
+def test_components_settle_exactly(spark):
+    """A long path and a hub: the loop ends when each vertex has one edge, to a root."""
+    edges = [(k, k + 1) for k in range(300)] + [(5000, 5000 + k) for k in range(1, 200)]
+    found, _ = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    got = {r.id: r.component for r in found.collect()}
+    assert got == {k: 0 for k in range(301)} | {5000 + k: 5000 for k in range(200)}
