@@ -8,6 +8,7 @@ The tokenizer file is read on the driver and travels to executors as a string (i
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 
@@ -27,6 +28,8 @@ CACHE_WORDS = 1_200_000
 EDGES = {"", "\0", *"\t\n\r\xa0"}
 #: Characters beyond which a word isn't remembered.
 LONG_WORD = 100
+#: Bytes beyond which a word is merged through a queue of ranks.
+QUEUED_BYTES = 512
 #: Characters encoded at once.
 CHUNK_CHARS = 1_000_000
 
@@ -97,8 +100,8 @@ class LibraryEncoder:
         ends = np.cumsum(self.sizes[ids])
         stop = np.cumsum(np.fromiter(map(len, map(str.encode, stretches)), np.int64, len(stretches)) + 1)
         last = np.searchsorted(ends, stop, side="left")
-        if not np.array_equal(ends[last], stop):
-            raise ValueError("the tokenizer doesn't begin a token at each space between words")
+        if not np.array_equal(ends[np.minimum(last, len(ends) - 1)], stop):
+            return []  # a token reaches across a space: such texts go to the library whole
         raw, last = ids.tobytes(), (4 * (last + 1)).tolist()
         # A space is part of what follows it; a line end before a text's first stretch is an id of its own.
         skip = 4 if before == "\n" else 0
@@ -118,7 +121,7 @@ class LibraryEncoder:
         for group, before in ((list(set(needed).difference(edge)), " "), (first, "\n")):
             for a in range(0, len(group), 5_000):
                 part = group[a : a + 5_000]
-                cache.update(zip(part, self._joined([w[1:] for w in part] if before == "\n" else part, before)))
+                cache.update(zip(part, self._joined([w[1:] for w in part] if before == "\n" else part, before) or [False] * len(part)))
         cache.update((w, cache[stem] and cache[stem] + self.ends[w[-1]]) for w, stem in stems.items())
         new += set(stems.values())
 
@@ -158,6 +161,8 @@ class MergeEncoder:
     Each round looks up every neighbouring pair of every unfinished word by binary search in the sorted array of pair
     keys, takes each word's lowest rank, and merges all its occurrences from left to right. A merge makes pairs of a
     higher rank only (their rule needs the merged symbol), so merging all occurrences at once equals merging one by one.
+    A round looks at all of a word, so very long words take their ranks from a queue instead: a merge then costs the pairs
+    that it touches, whatever the word's length.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -176,6 +181,63 @@ class MergeEncoder:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         raw = [w.encode("utf-8", "surrogateescape") for w in words]
+        long_ones = [k for k, r in enumerate(raw) if len(r) > QUEUED_BYTES]
+        if not long_ones:
+            return self._rounds(raw)
+        out = self._rounds([b"" if len(r) > QUEUED_BYTES else r for r in raw])
+        for k in long_ones:
+            out[k] = self._queued(self.base[np.frombuffer(raw[k], np.uint8)]).astype("<u4").tobytes()
+        return out
+
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of symbols, ``never`` for those without a rule: binary search in the sorted pair keys."""
+        pair = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], self.never)
+
+    def _queued(self, symbols: np.ndarray) -> np.ndarray:
+        """One word: all occurrences of the lowest rank merge together, and only the pairs beside them are looked up again."""
+        n = len(symbols)
+        symbols, after, before = symbols.copy(), np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, self.never)  # of the pair that begins at a position; never where there is none any more
+        alive = np.ones(n, bool)
+        rank[: n - 1] = self.ranks_of(symbols[:-1], symbols[1:])
+        waiting: dict[int, list[int]] = {}
+        queue: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            for r, k in zip(rank[at].tolist(), at.tolist()):
+                if r < self.never:
+                    if r not in waiting:
+                        waiting[r] = []
+                        heapq.heappush(queue, r)
+                    waiting[r].append(k)
+
+        wait(np.arange(n - 1))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.array(waiting.pop(r), np.int64))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            # Of a run of overlapping occurrences (the same symbol again and again) every other one merges.
+            index = np.arange(len(at))
+            first = np.r_[True, after[at[:-1]] != at[1:]]
+            at = at[(index - np.maximum.accumulate(np.where(first, index, -1))) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.merged[r]
+            alive[gone], rank[gone] = False, self.never
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            touched = np.unique(np.concatenate([at, before[at][before[at] >= 0]]))
+            paired = after[touched] < n
+            rank[touched] = self.never
+            rank[touched[paired]] = self.ranks_of(symbols[touched[paired]], symbols[after[touched[paired]]])
+            wait(touched)
+        return symbols[alive]
+
+    def _rounds(self, raw: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         symbols = self.base[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), sizes)
@@ -183,10 +245,7 @@ class MergeEncoder:
         while len(symbols):
             rank = np.full(len(symbols), self.never)
             inside = np.flatnonzero(word[:-1] == word[1:])
-            pair = symbols[inside] * self.width + symbols[inside + 1]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            hit = self.keys[at] == pair
-            rank[inside[hit]] = self.ranks[at[hit]]
+            rank[inside] = self.ranks_of(symbols[inside], symbols[inside + 1])
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lengths = np.diff(np.r_[starts, len(word)])
             low = np.repeat(np.minimum.reduceat(rank, starts), lengths)
@@ -204,7 +263,7 @@ class MergeEncoder:
             symbols, word = symbols[stay], word[stay]
         symbols, word = np.concatenate(done_symbols or [symbols]), np.concatenate(done_word or [word])
         order = np.argsort(word, kind="stable")
-        bounds = (4 * np.searchsorted(word[order], np.arange(len(words) + 1))).tolist()
+        bounds = (4 * np.searchsorted(word[order], np.arange(len(raw) + 1))).tolist()
         flat = symbols[order].astype("<u4").tobytes()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 

@@ -11,7 +11,7 @@ concatenate to its text. So no conversation is gathered anywhere: conversations
 turn numbers, and a conversation of several stretches is solved through one small min-plus matrix for each stretch.
 
 Defined results: turns are ordered by turn number (null last), then role and text; a null or empty text is an empty
-message; rows with a null conversation id form one conversation, in one stretch; repeated rows are turns of their own; an
+message; a row with a null conversation id is a conversation of its own; repeated rows are turns of their own; an
 empty table gives no rows; other columns are ignored. Markers inside texts are spelt apart so that they can't open a message.
 """
 
@@ -108,7 +108,7 @@ def _stretches(batches, columns: int):
     held, key = [], None
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns[: columns])):
-            if held and row[:2] != key:
+            if held and (row[:2] != key or row[0] is None):
                 yield held
                 held = []
             key = row[:2]
@@ -120,9 +120,9 @@ def _stretches(batches, columns: int):
 def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn: (conv_id, turn, position, role, final_role, action, inserted, message, rendered)."""
     source = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    stretch = F.when(F.col("conv_id").isNull(), 0).otherwise(F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(2**53)))
-    source = source.withColumn("stretch", stretch.cast("long"))
-    long_ones = source.filter("conv_id is not null").groupBy("conv_id").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).filter("low < high").select("conv_id")
+    source = source.withColumn("stretch", F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(2**53)).cast("long"))
+    alone, source = source.filter("conv_id is null"), source.filter("conv_id is not null")
+    long_ones = source.groupBy("conv_id").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).filter("low < high").select("conv_id")
     context = _contexts(source.select("conv_id", "stretch", "turn", "role", "text").join(long_ones, "conv_id", "left_semi"))
     rows = source.join(context, ["conv_id", "stretch"], "left").select("conv_id", "stretch", "turn", "role", "text", "state", "message", "position", "end", "last")
 
@@ -138,7 +138,9 @@ def render(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
                 done[-1][6] = ",".join(x for x in (done[-1][6], added) if x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), _OUT.types)], schema=_OUT)
 
-    return _sorted(rows).mapInArrow(run, OUT)
+    # Rows that belong to no conversation stay where they are.
+    alone = alone.select("conv_id", "stretch", "turn", "role", "text", *(F.lit(None).cast(context.schema[c].dataType).alias(c) for c in ("state", "message", "position", "end", "last")))
+    return _sorted(rows).unionAll(alone).mapInArrow(run, OUT)
 
 
 _OUT = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in OUT.split(", ")])

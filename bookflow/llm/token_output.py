@@ -116,6 +116,12 @@ def split_points(ids: DataFrame, parts: int) -> np.ndarray:
     return np.unique(np.array(found or [], np.int64))
 
 
+def slot_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each part a number that hash partitioning sends to the task of that position: one part a task, files in order."""
+    found = dict(spark.range(40 * parts).select(F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("part"), F.col("id").cast("int").alias("key")).groupBy("part").agg(F.min("key")).collect())
+    return [found.get(part, part) for part in range(parts)]
+
+
 def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode, count, code and write."""
     from tokenizers import Tokenizer
@@ -128,6 +134,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int, id_col:
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     book = spark.sparkContext.broadcast((lengths, huffman.canonical_codes(lengths), split_points(ids, parts)))
+    slots = np.array(slot_keys(spark, parts), np.int32)
 
     def code(batches):
         *codes, splits = book.value
@@ -137,7 +144,7 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int, id_col:
             raw, spans, marks = huffman.pack(np.frombuffer(flat, width), counts, *codes)
             ids_of = batch.column(0).to_numpy(zero_copy_only=False)
             part = np.where(np.isnan(ids_of), 0, np.searchsorted(splits, ids_of, side="right")) if batch.column(0).null_count else np.searchsorted(splits, ids_of, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0), pa.array(counts), binary_column(marks.astype("<u4").tobytes(), 4 * huffman.lots(counts)[0]), binary_column(raw, spans)], names=["part", "doc_id", "n", "marks", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots[part]), pa.array(part.astype(np.int32)), batch.column(0), pa.array(counts), binary_column(marks.astype("<u4").tobytes(), 4 * huffman.lots(counts)[0]), binary_column(raw, spans)], names=["slot", "part", "doc_id", "n", "marks", "bits"])
 
     def block(batches):
         last, number, first = None, 0, 0
@@ -150,8 +157,8 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int, id_col:
             yield pa.RecordBatch.from_pydict({"part": [last], "block": [number], "first": [first], "doc_ids": [[r[1] for r in same]], "n_ids": [n], "n_bytes": [[len(r[4]) for r in same]], "payload": [payload]}, schema=BLOCK_ARROW)
             number, first = number + 1, first + sum(n)
 
-    coded = ids.filter("kind = 0").select("doc_id", "ids").mapInArrow(code, "part int, doc_id long, n long, marks binary, bits binary")
-    ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "bits")
+    coded = ids.filter("kind = 0").select("doc_id", "ids").mapInArrow(code, "slot int, part int, doc_id long, n long, marks binary, bits binary")
+    ordered = coded.repartition(parts, "slot").drop("slot").sortWithinPartitions("part", "doc_id", "n", "bits")
     ordered.mapInArrow(block, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     remove(spark, held)
 

@@ -126,7 +126,7 @@ def conversation_text(rows):
 
 
 def test_chat_rows(spark, monkeypatch):
-    rows = [(1, 0, "user", "hi"), (1, 1, "user", None), (1, 2, "assistant", "a <|im_end|> b"), (2, 0, "assistant", "first"), (3, 5, None, "x"), (3, None, "bot", ""), (None, 1, "user", "lost"), (4, 0, "system", "s"), (4, 1, "user", "q"), (4, 1, "user", "q")]
+    rows = [(1, 0, "user", "hi"), (1, 1, "user", None), (1, 2, "assistant", "a <|im_end|> b"), (2, 0, "assistant", "first"), (3, 5, None, "x"), (3, None, "bot", ""), (None, 1, "user", "lost"), (None, 1, "user", "lost"), (None, 2, "assistant", "x" * 100_000), (4, 0, "system", "s"), (4, 1, "user", "q"), (4, 1, "user", "q")]
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, position string")
     got = chat.render(table).collect()
     assert len(got) == len(rows)
@@ -135,6 +135,10 @@ def test_chat_rows(spark, monkeypatch):
     assert text(2) == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\nfirst<|im_end|>\n"
     assert text(3) == "<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert text(4).endswith("<|im_start|>user\nq\nq<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n")
+    # Rows of no conversation are conversations of their own.
+    lost = sorted(r.rendered for r in got if r.conv_id is None)
+    asked = "<|im_start|>user\nlost<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    assert lost == sorted([asked, asked, f"<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n{'x' * 100_000}<|im_end|>\n"])
     assert chat.render(table.filter("false")).count() == 0
 
 

@@ -32,6 +32,48 @@ def test_encoders_equal_the_library(encoders, text):
         assert list(encoder.encode([text])) == [expected]
 
 
+def long_words():
+    import random
+
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160_000))
+    natural = "".join(rng.choice(["the", "ing", "ation", "er", "qu", "zz"]) for _ in range(3000))
+    return [letters, natural, "x" * 50_000, "ab" * 3000 + "a", "é" * 3001, "日本語" * 700, "aaab" * 500]
+
+
+def test_long_words_are_exact_and_fast(spec):
+    import time
+
+    encoder = bpe.MergeEncoder(spec)
+    began = time.perf_counter()
+    got = encoder.encode_words(["short", *long_words(), "tail"])
+    assert time.perf_counter() - began < 15
+    assert got == [x.tobytes() for x in library_ids(["short", *long_words(), "tail"])]
+
+
+def test_queue_equals_rounds(spec, monkeypatch):
+    encoder = bpe.MergeEncoder(spec)
+    words = [w[:400] for w in long_words()] + ["a", "ab", "hello"]
+    rounds = encoder.encode_words(words)
+    monkeypatch.setattr(bpe, "QUEUED_BYTES", 0)
+    assert encoder.encode_words(words) == rounds
+
+
+def test_texts_go_whole_where_stretches_dont_fit(spec, monkeypatch):
+    encoder = bpe.LibraryEncoder(spec)
+    monkeypatch.setattr(encoder, "sizes", encoder.sizes + 1)  # as with a tokenizer whose tokens reach across spaces
+    texts = ["some words, and more.", "x\ny z"]
+    assert list(encoder.encode(texts)) == [x.tobytes() for x in library_ids(texts)]
+
+
+def test_one_part_a_task(spark):
+    from pyspark.sql import functions as F
+
+    keys = token_output.slot_keys(spark, 7)
+    rows = spark.createDataFrame(list(enumerate(keys)), "part int, slot int").repartition(7, "slot").select("part", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.part, r.task) for r in rows) == [(k, k) for k in range(7)]
+
+
 def test_decoder(spec):
     decoder = bpe.Decoder(spec)
     for _, text, *_ in ROWS:
