@@ -107,9 +107,14 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
-    files = snapshots.select_files(snapshots.catalogue(spark, a.data), a.sym, a.first_date, a.last_date, a.session, a.max_files)
-    wanted = [r.path for r in files.select("path").collect()]
-    ticks = ticks_of(spark, a.data).join(F.broadcast(files.select("source_file")), "source_file", "left_semi") if wanted else ticks_of(spark, a.data)
+    ticks = ticks_of(spark, a.data)
+    files = snapshots.catalogue(spark, a.data)
+    if files.isEmpty():  # what ingest wrote: each row names its file
+        files = ticks.select("source_file", "sym_id", "date_id", F.col("session_name").alias("session")).distinct()
+    chosen = snapshots.select_files(files, a.sym, a.first_date, a.last_date, a.session, a.max_files).select("source_file")
+    if chosen.isEmpty():
+        raise SystemExit("no file matches the filters")
+    ticks = ticks.join(chosen, "source_file", "left_semi")
     rows = samples.endpoints(samples.with_targets(ticks).drop("local_idx"), a.window, max(HORIZONS), a.stride)
     horizon = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.coalesce(F.col(f"label_{h}").cast("int"), F.lit(1)).alias("y_true"), F.col(f"price_diff_{h}").alias("price_diff")) for h in HORIZONS)))
     long = rows.select("source_file", "sym", "date", "session", "row_nr", "time", F.col("n_midprice").alias("entry_mid"), horizon.alias("h")).select("source_file", "sym", "date", "session", "row_nr", "time", "entry_mid", "h.*")

@@ -30,7 +30,7 @@ def ln1p_clamped(x: str) -> str:
 
 def clean(x: str) -> str:
     """Numbers; NULL, NaN and infinities become 0."""
-    return f"(CASE WHEN ({x}) IS NULL OR isnan({x}) OR abs({x}) = double('Infinity') THEN 0D ELSE ({x}) END)"
+    return f"(CASE WHEN ({x}) IS NULL OR isnan({x}) OR abs({x}) = CAST('Infinity' AS DOUBLE) THEN 0D ELSE ({x}) END)"
 
 
 def known(x: str) -> str:

@@ -13,6 +13,8 @@ from bookflow.operators import signals
 
 #: Fixed value: mean PnL that the official score takes off.
 BASELINE = 0.0004
+#: Ranges of values in which a cut is looked for.
+RANGES = 256
 
 
 def f05(precision: Column, recall: Column) -> Column:
@@ -61,14 +63,21 @@ def ratio_values(low: float = 0.5, high: float = 1.0, step: float = 0.02) -> lis
 
 
 def ratio_grid(scores: DataFrame, values: list[float] | None = None) -> DataFrame:
-    """The measures of every pair of ratios. Rows with equal probabilities and label get equal signals at each pair, so they are
-    counted first and only one of them meets the pairs."""
+    """The measures of every pair of ratios. Probabilities aren't negative.
+
+    At a down ratio a row's signal is down or flat while the up ratio is small, and up from some up ratio on. So a row meets
+    the down ratios only, and is counted by where it turns; each count then meets the up ratios.
+    """
     values = values or ratio_values()
     every = F.array(*(F.lit(v) for v in values))
-    alike = scores.groupBy("down", "flat", "up", "y_true").agg(F.count(F.lit(1)).alias("times"), F.sum("price_diff").alias("price_diff"))
-    rows = alike.select("*", F.explode(every).alias("down_ratio")).withColumn("up_ratio", F.explode(every))
-    rule = signals.ratio_rule(F.col("down"), F.col("flat"), F.col("up"), F.col("down_ratio"), F.col("up_ratio"))
-    return measures(rows.select("down_ratio", "up_ratio", "y_true", "price_diff", "times", rule.alias("signal")), "down_ratio", "up_ratio", times="times")
+    rows = scores.select("*", F.explode(every).alias("down_ratio")).withColumn("weighed", F.col("down") * F.col("down_ratio"))
+    falls = F.coalesce(F.col("weighed") >= F.col("flat"), F.lit(False))
+    rows = rows.select("down_ratio", "y_true", "price_diff", "up", F.when(falls, 0).otherwise(1).alias("before"), F.when(falls, F.col("weighed")).otherwise(F.col("flat")).alias("held"))
+    turn = sum((F.coalesce((F.col("up") * v <= F.col("held")).cast("int"), F.lit(0)) for v in sorted(values)), F.lit(0))
+    counts = rows.groupBy("down_ratio", "y_true", "before", turn.alias("turn")).agg(F.count(F.lit(1)).alias("times"), F.sum("price_diff").alias("price_diff"))
+    pairs = counts.select("*", F.posexplode(F.array(*(F.lit(v) for v in sorted(values)))).alias("at", "up_ratio"))
+    signal = F.when(F.col("at") < F.col("turn"), F.col("before")).otherwise(2)
+    return measures(pairs.select("down_ratio", "up_ratio", "y_true", "price_diff", "times", signal.alias("signal")), "down_ratio", "up_ratio", times="times")
 
 
 def legacy_scan(scores: DataFrame, thresholds=signals.THRESHOLDS) -> DataFrame:
@@ -131,15 +140,26 @@ def pnl_stats(rows: DataFrame, column: str = "pnl") -> DataFrame:
 
 
 def top_percent(rows: DataFrame, percent: float, side: str = "signal", column: str = "pnl") -> DataFrame:
-    """The best percent of trades (one at least) by side, and over all sides. The cut is a value, found by exact counts, so
-    no side is sorted in one task: trades over the cut count in full, trades at it as often as there is room."""
+    """The best percent of trades (one at least) by side, and over all sides.
+
+    No side is sorted in one task: approximate quantiles cut it into ``RANGES`` ranges of values, whose exact counts say
+    which range holds the cut. Ranges over it count in full; only the values of the range at the cut are put in order, and
+    trades at the cut's value count as often as there is room.
+    """
     both = rows.select(F.col(side).cast("string").alias("side"), F.col(column).alias("pnl")).unionAll(rows.select(F.lit("all").alias("side"), F.col(column).alias("pnl")))
-    counts = both.groupBy("side", "pnl").agg(F.count(F.lit(1)).alias("times"))
-    order = Window.partitionBy("side").orderBy(F.desc("pnl"))
-    placed = counts.withColumn("before", F.coalesce(F.sum("times").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("times").over(Window.partitionBy("side")))
-    room = F.greatest(F.floor(F.col("total") * percent / 100), F.lit(1)) - F.col("before")
-    taken = placed.withColumn("taken", F.least(F.col("times"), room)).filter("taken > 0")
-    return taken.groupBy("side").agg(F.sum("taken").alias("trades"), (F.sum(F.col("pnl") * F.col("taken")) / F.sum("taken")).alias("mean"), F.sum(F.col("pnl") * F.col("taken")).alias("total"), F.min("pnl").alias("low"), F.max("pnl").alias("high"))
+    cuts = both.groupBy("side").agg(F.percentile_approx("pnl", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("cuts"))  # a row a side
+    cuts = cuts.withColumnRenamed("side", "of")
+    ranged = both.join(F.broadcast(cuts), F.col("side").eqNullSafe(F.col("of"))).select("side", "pnl", F.size(F.filter("cuts", lambda c: c < F.col("pnl"))).alias("range"))
+    counts = ranged.groupBy("side", "range", "pnl").agg(F.count(F.lit(1)).alias("times"))
+    sizes = counts.groupBy("side", "range").agg(F.sum("times").alias("held"))
+    down = Window.partitionBy("side").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.greatest(F.floor(F.sum("held").over(Window.partitionBy("side")) * percent / 100), F.lit(1))
+    placed = sizes.withColumn("room", wanted - F.coalesce(F.sum("held").over(down), F.lit(0))).filter("room > 0").select(F.col("side").alias("s"), F.col("range").alias("r"), "room", "held")  # RANGES rows a side
+    found = counts.join(F.broadcast(placed), F.col("side").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    over = found.filter("held <= room").select("side", "pnl", F.col("times").alias("taken"))
+    order = Window.partitionBy("side").orderBy(F.desc("pnl")).rowsBetween(Window.unboundedPreceding, -1)
+    at = found.filter("held > room").withColumn("taken", F.least(F.col("times"), F.col("room") - F.coalesce(F.sum("times").over(order), F.lit(0)))).filter("taken > 0").select("side", "pnl", "taken")
+    return over.unionAll(at).groupBy("side").agg(F.sum("taken").alias("trades"), (F.sum(F.col("pnl") * F.col("taken")) / F.sum("taken")).alias("mean"), F.sum(F.col("pnl") * F.col("taken")).alias("total"), F.min("pnl").alias("low"), F.max("pnl").alias("high"))
 
 
 def drawdown(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

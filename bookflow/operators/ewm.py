@@ -1,8 +1,7 @@
 """Exponentially weighted means, y = a*x + (1-a)*y, started at the first value.
 
-Two forms with equal results: a fold over the values so far, for short groups (a window of n rows costs n steps), and a
-grouped map that runs once over each group, for all others. A group is one instrument's session, so it fits in a task.
-Missing values: the mean decays through them and is renormalised when the next value comes.
+A grouped map runs once over each group in row order. A group is one instrument's session, so it fits in a task. Missing
+values: the mean decays through them and is renormalised when the next value comes.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bookflow.functions.windows import OVER
 from bookflow.schema import GROUP
 
 
@@ -44,17 +42,6 @@ def _ewm_with_gaps(x: np.ndarray, alpha: float) -> np.ndarray:
     return out
 
 
-def fold(x: str, alpha: float) -> str:
-    """The mean as SQL text: a fold over the group's values so far. Values must not be NULL."""
-    values = f"collect_list({x}) OVER ({OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return folded(values, alpha)
-
-
-def folded(values: str, alpha: float) -> str:
-    """The mean after all of an array's values, as SQL text."""
-    return f"reduce(slice({values}, 2, size({values})), element_at({values}, 1), (y, v) -> {1 - alpha!r}D * y + {alpha!r}D * v)"
-
-
 #: (name, function of a group's columns), in order; spans and weights are fixed values.
 RECURSIONS = (
     ("macd_dif", lambda d: ewm(d["n_midprice"], alpha_of(12)) - ewm(d["n_midprice"], alpha_of(26))),

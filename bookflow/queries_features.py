@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions import windows as w
-from bookflow.functions.exprs import interval_report
+from bookflow.functions.exprs import clean, interval_report
 from bookflow.operators import ewm, features_main, features_report, features_small, features_tabular, profile, samples, vector
 from bookflow.plans.book import book, book_ctes
 from bookflow.plans.staged import Catalogue
@@ -96,6 +96,7 @@ for rolled in features_tabular.ROLLED:
     query(f"tabular_rolling_{rolled}", features_tabular.CATALOGUE, [n for n in features_tabular.ROLLING if n.startswith(f"{rolled}_roll_")], long=True)
 query("report_rows", features_report.catalogue(5), [n for n, _ in features_report.catalogue(5).stages[0]])
 query("report_windows", features_report.catalogue(3), [n for n, _ in features_report.catalogue(3).stages[1]])
+query("report_windows_deep", features_report.catalogue(5), [n for n, _ in features_report.catalogue(5).stages[1] if n not in features_report.catalogue(3).names()])
 query("template_features", features_small.CATALOGUE, features_small.FEATURES, long=True)
 
 
@@ -132,12 +133,11 @@ _recursive("kdj", ["kdj_k", "kdj_d", "kdj_j"], [[("kdj_k", _fold("rsv", 1 / 3))]
 _recursive("ofi_ema", ["ofi_ema_5", "ofi_ema_10"], [[(f"ofi_ema_{k}", _fold("ofi_1", ewm.alpha_of(k))) for k in (5, 10)]], ["ofi_1"])
 
 
-def _ewm_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fold form, in SQL expressions alone, for short groups."""
-    return book(spark, sf_dir).selectExpr(*KEYS, f"{shown(ewm.fold('n_midprice', ewm.alpha_of(5)))} AS ewm_5")
+def _ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ewm.smooth(book(spark, sf_dir).select(*KEYS, "n_midprice"), "n_midprice", {"ewm_5": ewm.alpha_of(5)}).selectExpr(*KEYS, f"{shown('ewm_5')} AS ewm_5")
 
 
-QUERIES["ewm"] = _ewm_fold
+QUERIES["ewm"] = _ewm
 ORACLE_SQL["ewm"] = portable(f"WITH {', '.join(book_ctes())} SELECT {', '.join(KEYS)}, {shown(_fold('n_midprice', ewm.alpha_of(5)))} AS ewm_5 FROM book")
 
 
@@ -178,14 +178,63 @@ for pad in ("first", "zero"):
     ORACLE_SQL[f"flatten_window_{pad}"] = portable(_flatten_sql(pad))
 
 
+# All features at once: a checksum of every column, and of every block of the whole vector.
+def bounded(c: str) -> str:
+    """A feature as a small number of four places, whatever its size."""
+    return shown(wide(f"CAST({c} AS DOUBLE)"))
+
+
+def summed(x: str) -> str:
+    """Two places of a sum of such numbers; the shift keeps ties away."""
+    return f"round(sum({x}) + 1.23456789e-5, 2)"
+
+
+def _main_ctes() -> tuple[list[str], str]:
+    """SQL of the 182 features, cleaned and cast as the vector holds them."""
+    recursions = [
+        [("macd_dif", f"({_fold('n_midprice', ewm.alpha_of(12))} - {_fold('n_midprice', ewm.alpha_of(26))})"), ("kdj_k", _fold("rsv", 1 / 3)), *((f"ofi_ema_{k}", _fold("ofi_1", ewm.alpha_of(k))) for k in (5, 10))],
+        [("macd_dea", _fold("macd_dif", ewm.alpha_of(9))), ("kdj_d", _fold("kdj_k", 1 / 3))],
+        [("macd_bar", "(macd_dif - macd_dea)"), ("kdj_j", "(3 * kdj_k - 2 * kdj_d)")],
+    ]
+    ctes, last = Catalogue([*A.stages, *recursions]).ctes("book")
+    cleaned = ", ".join(f"CAST({clean(f'CAST({c} AS DOUBLE)')} AS FLOAT) AS {c}" for c in features_main.FEATURES)
+    return [*book_ctes(), *ctes, f"cleaned AS (SELECT {', '.join(KEYS)}, {cleaned} FROM {last})"], "cleaned"
+
+
 def _main_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 182 features: by instrument, how many values there are and a rounded sum of bounded ones."""
+    """All 182 features: by instrument, the ticks and a checksum of each column."""
     rows = features_main.features(book(spark, sf_dir))
-    bounded = [c for c in features_main.FEATURES if c in ("total_imbalance", "close_mean", "vpin_5", "kdj_k", "macd_dif")]
-    return rows.groupBy("sym").agg(F.count(F.lit(1)).alias("ticks"), *(F.round(F.sum(F.col(c).cast("double")), 1).alias(c) for c in bounded), F.lit(len(features_main.FEATURES)).alias("features"))
+    return rows.groupBy("sym").agg(F.count(F.lit(1)).alias("ticks"), *(F.expr(f"{summed(bounded(c))} AS {c}") for c in features_main.FEATURES))
 
 
+_CTES, _LAST = _main_ctes()
 QUERIES["main_features_182"] = _main_features
+ORACLE_SQL["main_features_182"] = portable(f"WITH {', '.join(_CTES)} SELECT sym, count(*) AS ticks, {', '.join(f'{summed(bounded(c))} AS {c}' for c in features_main.FEATURES)} FROM {_LAST} GROUP BY sym")
+
+
+def _pyramid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of 922 values with the tick's move and label: by instrument, checksums of its five full frames and of the summary."""
+    n = len(features_main.FEATURES)
+    targeted = samples.with_targets(book(spark, sf_dir))
+    rows = vector.pyramid(features_main.features(targeted), features_main.FEATURES)
+    block = lambda at, size: F.aggregate(F.slice("vector", at, size), F.lit(0.0), lambda s, x: s + F.round(F.signum(x.cast("double")) * F.log(1 + F.abs(x.cast("double"))) + 1.23456789e-7, 4))
+    sums = [F.expr(summed(c)).alias(c) for c in (*(f"frame_{k}" for k in vector.RECENT), "summary", "price_diff_20")]
+    move = F.col("price_diff_20")
+    label = F.when(move < -ALPHA[20], 0).when(move > ALPHA[20], 2).otherwise(1)
+    framed = rows.select("sym", F.size("vector").alias("length"), label.alias("label"), F.expr(f"{shown('price_diff_20')} AS price_diff_20"), *(block(1 + n * k, n).alias(f"frame_{k}") for k in vector.RECENT), block(1 + 5 * n, 12).alias("summary"))
+    return framed.groupBy("sym").agg(F.count(F.lit(1)).alias("vectors"), F.max("length").alias("length"), F.sum("label").alias("labels"), *sums)
+
+
+_ROW = " + ".join(bounded(c) for c in features_main.FEATURES)
+_SUMMARY = " + ".join(bounded(w.clamped(c, k)) for k in vector.SUMMARY for c in ("n_midprice", "total_imbalance"))
+_MOVE = f"(coalesce({w.lead('n_midprice', 20)} - n_midprice, 0))"
+_FRAMES = ", ".join(f"{summed(f'frame_{k}')} AS frame_{k}" for k in vector.RECENT)
+QUERIES["pyramid_vector_922"] = _pyramid_whole
+ORACLE_SQL["pyramid_vector_922"] = portable(
+    f"WITH {', '.join(_CTES)}, m AS (SELECT {', '.join(KEYS)}, {_MOVE} AS move FROM book), r AS (SELECT *, {_ROW} AS row_sum FROM {_LAST} JOIN m USING ({', '.join(KEYS)})), "
+    f"v AS (SELECT sym, CASE WHEN move < -{ALPHA[20]!r} THEN 0 WHEN move > {ALPHA[20]!r} THEN 2 ELSE 1 END AS label, {shown('move')} AS price_diff_20, {', '.join(f'{w.clamped('row_sum', k) if k else 'row_sum'} AS frame_{k}' for k in vector.RECENT)}, {_SUMMARY} AS summary FROM r) "
+    f"SELECT sym, count(*) AS vectors, CAST(922 AS INT) AS length, CAST(sum(label) AS BIGINT) AS labels, {_FRAMES}, {summed('summary')} AS summary, {summed('price_diff_20')} AS price_diff_20 FROM v GROUP BY sym"
+)
 
 
 def _targets() -> tuple[Callable, str]:

@@ -57,3 +57,14 @@ def test_samples_train_analyze(spark, data, tmp_path, capsys):
     assert [r.horizon for r in summary] == ["5", "10", "20", "40", "60"]
     assert {float(r.precision) for r in summary} == {1.0}
     assert spark.read.parquet(f"{tmp_path}/out/candles").count() > 0
+
+
+def test_analyze_takes_its_filters_seriously(spark, data, tmp_path):
+    main(["ingest", data, str(tmp_path / "ticks")], spark)
+    main(["analyze", data, str(tmp_path / "a"), "--sym", "0", "--session", "am"], spark)
+    main(["analyze", str(tmp_path / "ticks"), str(tmp_path / "b"), "--sym", "0", "--session", "am"], spark)
+    first, second = (sorted(map(str, csv(spark, f"{tmp_path}/{k}/signals"))) for k in "ab")
+    assert first == second and {r.sym for r in csv(spark, f"{tmp_path}/b/signals")} == {"0"}
+    for source in (data, str(tmp_path / "ticks")):
+        with pytest.raises(SystemExit):
+            main(["analyze", source, str(tmp_path / "c"), "--sym", "7"], spark)

@@ -110,10 +110,13 @@ def test_ewm_decays_through_gaps():
     np.testing.assert_allclose(ewm.ewm(np.array([np.nan, 2, 3.0]), 0.5), pd.Series([np.nan, 2, 3.0]).ewm(alpha=0.5, adjust=False).mean().to_numpy())
 
 
-def test_fold_equals_grouped_map(spark, ticks):
-    folded = ticks.selectExpr("sym", "row_nr", f"{ewm.fold('n_midprice', 0.25)} AS y").toPandas().sort_values(["sym", "row_nr"]).y.to_numpy()
-    mapped = ewm.smooth(ticks.select("sym", "date", "session", "row_nr", "n_midprice"), "n_midprice", {"y": 0.25}).toPandas().sort_values(["sym", "row_nr"]).y.to_numpy()
-    np.testing.assert_allclose(folded, mapped, rtol=1e-12)
+def test_smoothing_of_any_length(spark):
+    """A group beyond a million ticks is smoothed to its end."""
+    n = 1_000_300
+    long_group = spark.range(n).selectExpr("1 AS sym", "0 AS date", "0 AS session", "CAST(id AS INT) AS row_nr", "CAST(id % 97 AS DOUBLE) AS n_midprice")
+    last = ewm.smooth(long_group, "n_midprice", {"y": 0.25}).filter(F.col("row_nr") > n - 200).orderBy("row_nr").toPandas().y.to_numpy()
+    want = pd.Series(np.arange(n) % 97).astype(float).ewm(alpha=0.25, adjust=False).mean().to_numpy()[-len(last) :]
+    np.testing.assert_allclose(last, want, rtol=1e-12)
 
 
 def test_vectors(spark, ticks, main):
