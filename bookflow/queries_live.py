@@ -1,15 +1,15 @@
-"""Queries of training, batch prediction and streams: results that SQL can't state."""
+"""Queries of training, batch prediction and streams: streams, and the batch results that they must equal."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.operators import candles, features_main, model, samples
+from bookflow.operators.ewm import alpha_of
 from bookflow.plans.book import book
+from bookflow.queries_features import portable, shown
+from bookflow.runtime import shared_folder
 from bookflow.schema import HORIZONS
 from bookflow.streaming import live
 
@@ -39,22 +39,32 @@ def _tick_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS sym", "event_id AS row_nr", "CAST(ts AS TIMESTAMP) AS ts", "value AS n_midprice", "1D AS amount_delta")
 
 
-def _replayed(spark: SparkSession, sf_dir: str, build, name: str, mode: str) -> DataFrame:
-    """A stream over the table's own file, run to its end; the result is what the sink holds."""
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's own files as a stream."""
     source = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parquet*")
-    stream = source.selectExpr("user_id AS sym", "event_id AS row_nr", "CAST(ts AS TIMESTAMP) AS ts", "value AS n_midprice", "1D AS amount_delta")
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/bookflow-scratch"
-    query = build(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    return source.selectExpr("user_id AS sym", "event_id AS row_nr", "CAST(ts AS TIMESTAMP) AS ts", "value AS n_midprice", "1D AS amount_delta")
+
+
+def _run(writer, folder: str) -> None:
+    """Run a stream to its end."""
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda s: live.candles(s, "30 minutes", "1 hour"), "stream_candles", "complete").select("sym", "start", "open", "high", "low", "close", "volume")
+    """Candles of 30 minutes, updated batch by batch: each batch's changed candles are a folder, the last one of a candle holds."""
+    folder = shared_folder(spark, "stream-candles")
+    keep = lambda changed, batch: changed.write.mode("overwrite").parquet(f"{folder}/candles/batch={batch}")
+    _run(live.candles(_stream(spark, sf_dir), "30 minutes", "1 hour").writeStream.outputMode("update").foreachBatch(keep), folder)
+    columns = ["open", "high", "low", "close", "volume"]
+    last = spark.read.parquet(f"{folder}/candles").groupBy("sym", "start").agg(F.max_by(F.struct(*columns), "batch").alias("c"))
+    return last.select("sym", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), *(F.round(f"c.{c}", 4).alias(c) for c in columns))
 
 
 def stream_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _replayed(spark, sf_dir, lambda s: live.smoothed(s, {"ema_5": 5.0, "ema_20": 20.0}), "stream_smoothed", "append")
+    """Recursive averages of each event's value by user, from state of fixed size."""
+    folder = shared_folder(spark, "stream-smoothed")
+    _run(live.smoothed(_stream(spark, sf_dir), {"ema_5": 5.0, "ema_20": 20.0}).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows"), folder)
+    return spark.read.parquet(f"{folder}/rows").selectExpr("sym", "row_nr", *(f"{shown(c)} AS {c}" for c in ("ema_5", "ema_20")))
 
 
 def events_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +75,14 @@ def events_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sym", "day", "bucket", F.round("open", 4).alias("open"), F.round("high", 4).alias("high"), F.round("low", 4).alias("low"), F.round("close", 4).alias("close"), "ticks")
 
 
+def _fold(span: float) -> str:
+    a = alpha_of(span)
+    return f"list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda y, v: {1 - a!r} * y + {a!r} * v)"
+
+
 QUERIES = {"batch_predict": batch_predict, "stream_candles": stream_candles, "stream_smoothed": stream_smoothed, "events_candles": events_candles}
 ORACLE_SQL = {
+    "stream_candles": "SELECT user_id AS sym, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, round(arg_min(value, (ts, event_id)), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(arg_max(value, (ts, event_id)), 4) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2",
+    "stream_smoothed": portable(f"SELECT user_id AS sym, event_id AS row_nr, {shown('e5')} AS ema_5, {shown('e20')} AS ema_20 FROM (SELECT *, {_fold(5.0)} AS e5, {_fold(20.0)} AS e20 FROM events)"),
     "events_candles": "SELECT user_id AS sym, strftime(ts, '%Y-%m-%d') AS day, CAST(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 1800) AS BIGINT) AS bucket, round(arg_min(value, (ts, event_id)), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(arg_max(value, (ts, event_id)), 4) AS close, count(*) AS ticks FROM events GROUP BY 1, 2, 3"
 }

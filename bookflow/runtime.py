@@ -6,6 +6,7 @@ import functools
 import os
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,16 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``; where that isn't set, a local one, under a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/bookflow-scratch"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,4 +43,4 @@ def test_query_equals_sql(spark, engine, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLE_SQL) <= {"batch_predict", "stream_candles", "stream_smoothed"}
+    assert set(QUERIES) - set(ORACLE_SQL) <= {"batch_predict"}
