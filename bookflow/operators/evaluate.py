@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookflow.operators import signals
+from bookflow.operators.quantile import exact_percentiles
 
 #: Fixed value: mean PnL that the official score takes off.
 BASELINE = 0.0004
@@ -136,7 +137,8 @@ def confusion_diff(ours: DataFrame, reference: DataFrame, *keys: str) -> DataFra
 
 
 def pnl_stats(rows: DataFrame, column: str = "pnl") -> DataFrame:
-    return rows.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("median"), F.stddev_pop(column).alias("std"))
+    stats = rows.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    return stats.crossJoin(F.broadcast(exact_percentiles(rows, column, [0.5]))).select("n", "low", "high", "mean", F.col("at")[0].alias("median"), "std")
 
 
 def top_percent(rows: DataFrame, percent: float, side: str = "signal", column: str = "pnl") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions import windows as w
 from bookflow.functions.exprs import direction, mid_price
+from bookflow.operators.quantile import exact_percentiles
 from bookflow.schema import ALPHA, GROUP, HORIZONS, LEVELS
 
 
@@ -87,7 +88,9 @@ def outliers(df: DataFrame, columns: list[str], z: float = 5.0) -> DataFrame:
 
 
 def describe_column(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("median"), F.stddev_samp(column).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"))
+    """Count, mean, exact median, deviation and range of a column, one row."""
+    stats = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"))
+    return stats.crossJoin(F.broadcast(exact_percentiles(df, column, [0.5]))).select("n", "mean", F.col("at")[0].alias("median"), "std", "low", "high")
 
 
 def midprice_rows(ticks: DataFrame) -> DataFrame:
@@ -139,8 +142,8 @@ def histogram(df: DataFrame, column: str, bins: int = 80) -> DataFrame:
 
 def clipped(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows between two exact percentiles, both included."""
-    cut = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("cut"))
-    return df.crossJoin(F.broadcast(cut)).filter(F.col(column).between(F.col("cut")[0], F.col("cut")[1])).drop("cut")
+    cut = exact_percentiles(df, column, [low, high]).withColumnRenamed("at", "__cut")
+    return df.crossJoin(F.broadcast(cut)).filter(F.col(column).between(F.col("__cut")[0], F.col("__cut")[1])).drop("__cut")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
