@@ -4,8 +4,8 @@
     eda DATA OUT                        quality reports (CSV) and a summary (Markdown)
     tabular DATA OUT                    the tabular features of complete rows, with row counts by file
     samples DATA OUT                    training samples: pyramid vectors, labels, price moves, split
-    train SAMPLES OUT                   a model and the metrics of every threshold, for one horizon
-    analyze DATA OUT                    signals, their summary and candles; predictions from labels or from a model
+    train SAMPLES OUT                   a model and the metrics of every threshold, for one horizon or (--horizon 0) for each
+    analyze DATA OUT                    signals, their summary and candles; predictions from labels, a model or earlier signals
 """
 
 from __future__ import annotations
@@ -65,15 +65,16 @@ def tabular(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def make_samples(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Features once, labels and moves of all horizons beside them; each horizon selects its own."""
+    """Features once, labels and moves of all horizons beside them; ``label`` and ``price_diff`` are the chosen horizon's."""
     targeted = samples.with_targets(ticks_of(spark, a.data))
     targets = [f"price_diff_{h}" for h in HORIZONS]
     featured = features_main.features(targeted)
     vectors = vector.pyramid(featured, features_main.FEATURES)
     rows = samples.emit(vectors, a.min_history, a.keep_limit_samples)
     split = samples.split_by_date(rows, a.val_start_date) if a.split_mode == "date" else samples.split_by_index(rows, a.test_size)
-    label = F.coalesce(F.col(f"label_{a.horizon}").cast("int"), F.lit(1))
-    out = split.select("sym", "date", "session", "row_nr", "split", label.alias("label"), F.col("vector").alias("features"), F.col(f"price_diff_{a.horizon}").alias("price_diff"))
+    label = {h: F.coalesce(F.col(f"label_{h}").cast("int"), F.lit(1)) for h in HORIZONS}
+    every = [x for h in HORIZONS for x in (label[h].alias(f"label_{h}"), F.col(f"price_diff_{h}"))]
+    out = split.select("sym", "date", "session", "row_nr", "split", label[a.horizon].alias("label"), F.col("vector").alias("features"), F.col(f"price_diff_{a.horizon}").alias("price_diff"), *every)
     stored = sinks.write_samples(out, a.out)
     counts = {r.split: r["count"] for r in stored.groupBy("split").count().collect()}
     if set(counts) != {"train", "val"}:
@@ -82,28 +83,39 @@ def make_samples(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = spark.read.parquet(a.data).withColumn("label", F.col("label").cast("int"))
-    training = rows.filter("split = 'train'")
+    """Each horizon is a model of its own, in a folder of its own where all are trained."""
+    rows = spark.read.parquet(a.data)
+    if a.horizon:
+        train_one(rows, a, a.horizon, a.out)
+    else:
+        for h in HORIZONS:
+            train_one(rows.withColumns({"label": F.col(f"label_{h}"), "price_diff": F.col(f"price_diff_{h}")}), a, h, f"{a.out}/{h}")
+
+
+def train_one(rows: DataFrame, a: argparse.Namespace, horizon: int, out: str) -> None:
+    rows = rows.withColumn("label", F.col("label").cast("int")).withColumn("validation", F.col("split") == "val")
+    training = rows.filter("NOT validation")
+    seen = rows if a.kind == "boosted" else training
     if a.profit_weight:
-        weighted = samples.profit_weights(training, a.profit_base, a.profit_alpha, a.profit_min, a.profit_max)
+        weighted = samples.profit_weights(seen, a.profit_base, a.profit_alpha, a.profit_min, a.profit_max)
     else:
         weights = samples.class_weights(training).select("label", "weight")
-        weighted = training.join(F.broadcast(weights), "label")
-    fitted = DirectionModel(preset=a.preset, kind=a.kind).fit(weighted.withColumn("label", F.col("label").cast("double")))
-    fitted.save(f"{a.out}/model")
-    scored = fitted.score(rows.filter("split = 'val'")).selectExpr("down", "flat", "up", "label AS y_true", "price_diff").persist()
+        weighted = seen.join(F.broadcast(weights), "label")
+    fitted = DirectionModel(preset=a.preset, kind=a.kind).fit(weighted.withColumn("label", F.col("label").cast("double")), "validation")
+    fitted.save(f"{out}/model")
+    scored = fitted.score(rows.filter("validation")).selectExpr("down", "flat", "up", "label AS y_true", "price_diff").persist()
     try:
         sweep = evaluate.threshold_sweep(scored)
-        sinks.write_csv(sweep.orderBy("threshold"), f"{a.out}/thresholds")
-        chosen = THRESHOLDS[a.horizon] if a.metric == "default" else evaluate.best(sweep, a.metric, "threshold").first().threshold
+        sinks.write_csv(sweep.orderBy("threshold"), f"{out}/thresholds")
+        chosen = THRESHOLDS[horizon] if a.metric == "default" else evaluate.best(sweep, a.metric, "threshold").first().threshold
         at = scored.withColumn("signal", signals.threshold_rule(F.col("down"), F.col("flat"), F.col("up"), F.lit(float(chosen))))
-        sinks.write_csv(evaluate.confusion(at.withColumn("split", F.lit("val")), "split"), f"{a.out}/confusion")
-        sinks.write_csv(evaluate.class_report(at), f"{a.out}/report")
+        sinks.write_csv(evaluate.confusion(at.withColumn("split", F.lit("val")), "split"), f"{out}/confusion")
+        sinks.write_csv(evaluate.class_report(at), f"{out}/report")
         if a.ratios:
-            sinks.write_csv(evaluate.best(evaluate.ratio_grid(scored), "f05", "down_ratio", "up_ratio"), f"{a.out}/ratio_best")
+            sinks.write_csv(evaluate.best(evaluate.ratio_grid(scored), "f05", "down_ratio", "up_ratio"), f"{out}/ratio_best")
     finally:
         scored.unpersist()
-    print(json.dumps({"horizon": a.horizon, "threshold": chosen}))
+    print(json.dumps({"horizon": horizon, "threshold": chosen, **({"rounds": fitted.rounds()} if a.kind == "boosted" else {})}))
 
 
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -115,18 +127,27 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     if chosen.isEmpty():
         raise SystemExit("no file matches the filters")
     ticks = ticks.join(chosen, "source_file", "left_semi")
+    if a.mode == "signals":
+        earlier = snapshots.read_signals(spark, a.signals).withColumnsRenamed({"pred": "signal", "actual": "y_true", "row_idx": "row_nr"})
+        done = earlier.join(chosen, "source_file", "left_semi").withColumns({c: F.col(c).cast("int") for c in ("horizon", "signal", "y_true", "row_nr")} | {"price_diff": F.col("price_diff").cast("double")})
+        return write_analysis(done, ticks, a)
     rows = samples.endpoints(samples.with_targets(ticks).drop("local_idx"), a.window, max(HORIZONS), a.stride)
     horizon = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.coalesce(F.col(f"label_{h}").cast("int"), F.lit(1)).alias("y_true"), F.col(f"price_diff_{h}").alias("price_diff")) for h in HORIZONS)))
     long = rows.select("source_file", "sym", "date", "session", "row_nr", "time", F.col("n_midprice").alias("entry_mid"), horizon.alias("h")).select("source_file", "sym", "date", "session", "row_nr", "time", "entry_mid", "h.*")
     if a.mode == "model":
         featured = vector.pyramid(features_main.features(ticks), features_main.FEATURES).select("sym", "date", "session", "row_nr", F.col("vector").alias("features"))
-        scored = DirectionModel.load(a.model).score(featured)
+        scored = DirectionModel.load(a.model, a.kind).score(featured)
         rule = signals.threshold_rule(F.col("down"), F.col("flat"), F.col("up"), F.lit(a.threshold))
         long = long.join(scored.select("sym", "date", "session", "row_nr", rule.alias("signal")), ["sym", "date", "session", "row_nr"])
     else:
         long = long.withColumn("signal", F.col("y_true"))
     done = long.withColumns({"exit_mid": F.col("entry_mid") + F.col("price_diff"), "pnl": signals.pnl(F.col("signal"), F.col("price_diff")), "correct": F.col("signal") == F.col("y_true")})
     done.write.mode("overwrite").option("header", "true").csv(f"{a.out}/signals")
+    write_analysis(done, ticks, a)
+
+
+def write_analysis(done: DataFrame, ticks: DataFrame, a: argparse.Namespace) -> None:
+    done = done.withColumn("pnl", signals.pnl(F.col("signal"), F.col("price_diff")))
     trades = done.filter("signal <> 1").withColumn("stretch", F.struct("date", "session", "sym"))
     fall = evaluate.drawdown(trades, ["horizon"], ["row_nr"])
     sinks.write_csv(evaluate.signal_summary(done).join(fall, "horizon", "left").orderBy("horizon"), f"{a.out}/summary")
@@ -150,8 +171,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     command("eda", eda, ("--syms", int, 10), ("--dates", int, 79))
     command("tabular", tabular)
     command("samples", make_samples, horizon, ("--split-mode", ["date", "index"], "date"), ("--val-start-date", int, 63), ("--test-size", float, 0.2), ("--min-history", int, 4), ("--keep-limit-samples", bool, False))
-    command("train", train, horizon, ("--kind", ["forest", "logistic"], "forest"), ("--preset", sorted(PRESETS), "fast"), ("--metric", ["default", "f05", "total_pnl", "avg_pnl", "official_score_est"], "official_score_est"), ("--ratios", bool, False), ("--profit-weight", bool, False), ("--profit-base", float, 1.0), ("--profit-alpha", float, 1.0), ("--profit-min", float, 0.5), ("--profit-max", float, 3.0))
-    command("analyze", analyze, ("--mode", ["label", "model"], "label"), ("--model", str, None), ("--threshold", float, 0.88), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
+    command("train", train, horizon, ("--kind", ["forest", "logistic", "boosted"], "forest"), ("--preset", sorted(PRESETS), "fast"), ("--metric", ["default", "f05", "total_pnl", "avg_pnl", "official_score_est"], "official_score_est"), ("--ratios", bool, False), ("--profit-weight", bool, False), ("--profit-base", float, 1.0), ("--profit-alpha", float, 1.0), ("--profit-min", float, 0.5), ("--profit-max", float, 3.0))
+    command("analyze", analyze, ("--mode", ["label", "model", "signals"], "label"), ("--model", str, None), ("--kind", ["forest", "logistic", "boosted"], "forest"), ("--signals", str, None), ("--threshold", float, 0.88), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("bookflow").getOrCreate()
     ship(spark)

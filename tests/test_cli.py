@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bookflow.__main__ import main
 from bookflow.schema import LABELS, RAW
@@ -57,6 +58,19 @@ def test_samples_train_analyze(spark, data, tmp_path, capsys):
     assert [r.horizon for r in summary] == ["5", "10", "20", "40", "60"]
     assert {float(r.precision) for r in summary} == {1.0}
     assert spark.read.parquet(f"{tmp_path}/out/candles").count() > 0
+    main(["analyze", data, str(tmp_path / "again"), "--mode", "signals", "--signals", f"{tmp_path}/out/signals", "--sym", "0"], spark)
+    assert csv(spark, f"{tmp_path}/again/summary") == summary
+
+
+def test_every_horizon_is_trained(spark, data, tmp_path, capsys):
+    main(["samples", data, str(tmp_path / "samples"), "--val-start-date", "1"], spark)
+    narrow = spark.read.parquet(str(tmp_path / "samples")).withColumn("features", F.slice("features", 1, 4))
+    narrow.write.partitionBy("split", "label").parquet(str(tmp_path / "narrow"))
+    capsys.readouterr()
+    main(["train", str(tmp_path / "narrow"), str(tmp_path / "run"), "--horizon", "0", "--kind", "logistic", "--metric", "default"], spark)
+    assert [json.loads(x)["horizon"] for x in capsys.readouterr().out.strip().splitlines()] == [5, 10, 20, 40, 60]
+    rows = {h: sum(int(r.n) for r in csv(spark, f"{tmp_path}/run/{h}/confusion")) for h in (5, 60)}
+    assert rows == {5: 176, 60: 176}
 
 
 def test_analyze_takes_its_filters_seriously(spark, data, tmp_path):
