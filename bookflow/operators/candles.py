@@ -32,3 +32,13 @@ def thinned(markers: DataFrame, most: int = 250, keys: tuple[str, ...] = GROUP,
     rows = markers.selectExpr("*", f"row_number() OVER ({over} ORDER BY {order}) - 1 AS place", f"count(*) OVER ({over}) AS markers")
     step = f"greatest(CAST(ceil(markers / {most}) AS INT), 1)"
     return rows.filter(f"place % {step} = 0 AND floor(place / {step}) < {most}").drop("place", "markers")
+
+
+def long_enough(found: DataFrame, least: int = 5, keys: tuple[str, ...] = GROUP) -> DataFrame:
+    """Candles of the groups that have ``least`` of them."""
+    return found.selectExpr("*", f"count(*) OVER (PARTITION BY {', '.join(keys)}) AS held").filter(f"held >= {least}").drop("held")
+
+
+def approximate_candle(interval: int = 30, ticks_a_candle: int = 3) -> str:
+    """The older place of a tick's marker: it takes a tick to last ``ticks_a_candle`` seconds, whatever the times say."""
+    return f"CAST(floor((row_nr - 1) / greatest({interval} DIV {ticks_a_candle}, 1)) AS INT)"

@@ -16,10 +16,10 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.bround(F.try_divide(part.cast("double"), whole), 4)
 
 
-def unpivot(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
-    """One row with ``<column>__<field>`` values to a row for each column."""
+def unpivot(row: DataFrame, columns: list[str], fields: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's ``<column>__<field>`` values to a row for each column, beside the row's ``by``."""
     rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{f}").alias(f) for f in fields)) for c in columns]
-    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return row.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
 
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -109,12 +109,13 @@ def with_labels(ticks: DataFrame, price: str = "n_midprice") -> DataFrame:
     return ticks.selectExpr("*", *(f"{direction(f'{w.lead(price, h)} - {price}', ALPHA[h])} AS label_{h}" for h in HORIZONS))
 
 
-def label_direction(labelled: DataFrame, price: str = "n_midprice") -> DataFrame:
-    """By horizon: how often a label agrees with the future and with the past move, and which agrees more."""
+def label_direction(labelled: DataFrame, price: str = "n_midprice", by: tuple[str, ...] = ()) -> DataFrame:
+    """By horizon, and by the columns ``by`` (a file's are GROUP): how often a label agrees with the future and with the past
+    move, and which agrees more by the rounded ratios."""
     exprs = [f"{direction(f'{w.lead(price, h)} - {price}', ALPHA[h])} AS future_{h}" for h in HORIZONS] + [f"{direction(f'{price} - {w.lag(price, h)}', ALPHA[h])} AS past_{h}" for h in HORIZONS]
     rows = labelled.selectExpr("*", *exprs)
     aggs = [x for h in HORIZONS for side in ("future", "past") for x in (F.count_if(F.col(f"label_{h}") == F.col(f"{side}_{h}")).alias(f"{h}__{side}_match"), F.count_if(F.col(f"label_{h}").isNotNull() & F.col(f"{side}_{h}").isNotNull()).alias(f"{h}__{side}_total"))]
-    long = unpivot(rows.agg(*aggs), [str(h) for h in HORIZONS], ["future_match", "future_total", "past_match", "past_total"]).withColumnRenamed("column", "horizon")
+    long = unpivot(rows.groupBy(*by).agg(*aggs), [str(h) for h in HORIZONS], ["future_match", "future_total", "past_match", "past_total"], by).withColumnRenamed("column", "horizon")
     rated = long.withColumns({f"{s}_ratio": ratio(F.col(f"{s}_match"), F.col(f"{s}_total")) for s in ("future", "past")})
     better = F.when(F.col("future_ratio") > F.col("past_ratio"), "future").when(F.col("future_ratio") < F.col("past_ratio"), "past").otherwise("tie")
     return rated.withColumn("better", better)

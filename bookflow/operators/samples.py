@@ -64,3 +64,21 @@ def endpoints(ticks: DataFrame, window: int = 100, horizon: int = 60, stride: in
 
 def label_totals(rows: DataFrame, label: str = "label", classes: int = 3) -> DataFrame:
     return class_weights(rows, label, classes).select("label", "n")
+
+
+def lone_windows(ticks: DataFrame, length: int = 100, stride: int | None = None) -> DataFrame:
+    """Every window of ``length`` ticks as a session of its own, as a model meets it that is given one window alone.
+
+    A tick is repeated for each window that holds it: windows end at each ``stride``-th tick (``length`` if none is given, so
+    each tick is in one window), the first at tick ``length``. ``session`` numbers the window within the instrument's day,
+    ``window_end`` is its last tick's place in the group (from 0), ``row_nr`` counts within the window; features over the
+    result see no tick outside of it. Groups shorter than a window have none.
+    """
+    stride, over = stride or length, f"PARTITION BY {', '.join(GROUP)}"
+    rows = ticks.selectExpr("* EXCEPT (row_nr)", f"{w.row_index()} AS __idx", f"count(*) OVER ({over}) AS __n")
+    first = f"CAST(ceil(greatest(__idx - {length - 1}, 0) / {stride}) AS BIGINT)"
+    last = f"CAST(floor((least(__idx + {length - 1}, __n - 1) - {length - 1}) / {stride}) AS BIGINT)"
+    rows = rows.selectExpr("*", f"{first} AS __first", f"{last} AS __last").filter("__last >= __first AND __n >= " + str(length))
+    held = rows.selectExpr("*", f"explode(transform(sequence(__first, __last), k -> k * {stride} + {length - 1})) AS window_end")
+    numbered = held.selectExpr("* EXCEPT (session)", "session * 1099511627776L + window_end AS session", f"CAST(__idx - window_end + {length} AS INT) AS row_nr")
+    return numbered.drop("__idx", "__n", "__first", "__last")

@@ -288,3 +288,21 @@ _count_query(
     ),
     long=True,
 )
+_count_query(
+    "label_direction_files",
+    lambda t: profile.label_direction(profile.with_labels(t), by=("sym", "date", "session")).select("sym", "date", "session", "horizon", "future_match", "future_total", "past_match", "past_total", F.round("past_ratio", 3).alias("past_ratio")),
+    f", {_LABELLED}, c AS ("
+    + " UNION ALL ".join(
+        f"SELECT sym, date, session, '{h}' AS horizon, count(label_{h}) AS future_match, count(label_{h}) AS future_total, count(*) FILTER (WHERE label_{h} = past_{h}) AS past_match, count(*) FILTER (WHERE label_{h} IS NOT NULL AND past_{h} IS NOT NULL) AS past_total FROM l GROUP BY sym, date, session"
+        for h in HORIZONS
+    )
+    + ") SELECT *, round(round_even(past_match::DOUBLE / nullif(past_total, 0), 4), 3) AS past_ratio FROM c",
+)
+ALONE = [*KEYS, "window_end", f"{shown(w.rolling('avg', 'n_midprice', 60))} AS mean_60", f"{shown(w.clamped('n_midprice', 20))} AS mid_20", f"{shown(w.lag('n_bsize1', 5))} AS bid_size_5"]
+_count_query(
+    "lone_windows",
+    lambda t: samples.lone_windows(t, 100).selectExpr(*ALONE),
+    ", g AS (SELECT *, row_nr - 1 AS idx, count(*) OVER (PARTITION BY sym, date, session) AS n FROM book), p AS (SELECT *, CAST(floor(idx / 100) * 100 + 99 AS BIGINT) AS window_end FROM g), "
+    f"a AS (SELECT * REPLACE (CAST(session AS BIGINT) * 1099511627776 + window_end AS session, CAST(idx % 100 + 1 AS INT) AS row_nr) FROM p WHERE window_end < n) SELECT {', '.join(ALONE)} FROM a",
+    long=True,
+)

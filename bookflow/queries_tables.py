@@ -229,3 +229,9 @@ over_book("candles_30m", lambda t: candles.numbered(rounded(candles.candles(t, 1
 over_book("candles_by_rows", lambda t: candles.candles(t.withColumn("tod", F.lit(0)), 10).selectExpr("sym", "date", "session", "bucket", "row_start", "row_end", f"{shown('open')} AS open", f"{shown('close')} AS close"), f"SELECT sym, date, session, CAST(floor((row_nr - 1) / 10) AS BIGINT) AS bucket, CAST(min(row_nr) - 1 AS INT) AS row_start, CAST(max(row_nr) - 1 AS INT) AS row_end, {shown('arg_min(n_midprice, row_nr)')} AS open, {shown('arg_max(n_midprice, row_nr)')} AS close FROM book GROUP BY 1, 2, 3, 4")
 over_book("candle_markers", lambda t: candles.thinned(t, 25).select("sym", "date", "session", "row_nr"), ", k AS (SELECT *, row_nr - 1 AS place, count(*) OVER (PARTITION BY sym, date, session) AS n FROM book) SELECT sym, date, session, row_nr FROM k WHERE place % greatest(CAST(ceil(n / 25) AS INT), 1) = 0 AND floor(place / greatest(CAST(ceil(n / 25) AS INT), 1)) < 25")
 over_book("candle_of_row", lambda t: t.selectExpr("sym", "date", "session", "row_nr", "CAST(floor((row_nr - 1) / 10) AS INT) AS marker_candle"), "SELECT sym, date, session, row_nr, CAST(floor((row_nr - 1) / 10) AS INT) AS marker_candle FROM book")
+over_book("candle_of_row_approximate", lambda t: t.selectExpr("sym", "date", "session", "row_nr", f"{candles.approximate_candle(30)} AS marker_candle"), "SELECT sym, date, session, row_nr, CAST(floor((row_nr - 1) / 10) AS INT) AS marker_candle FROM book")
+over_book(
+    "candles_of_long_groups",
+    lambda t: candles.long_enough(candles.candles(t, 7200), 5).select("sym", "date", "session", "bucket", "ticks"),
+    f", c AS ({CANDLE_SQL.format(s=7200)}), k AS (SELECT *, count(*) OVER (PARTITION BY sym, date, session) AS held FROM c) SELECT sym, date, session, bucket, ticks FROM k WHERE held >= 5",
+)

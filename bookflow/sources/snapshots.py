@@ -97,10 +97,23 @@ def field_completeness(spark: SparkSession, folder: str, expected: list[str]) ->
     return head.select("source_file", F.array_except(wanted, "head").alias("missing"), F.array_except("head", wanted).alias("extra"))
 
 
+def field_groups() -> dict[str, list[str]]:
+    return {"prices": [c for c in RAW if "bid" in c or "ask" in c], "volume": ["amount_delta"], "mid": ["n_midprice"], "labels": LABELS}
+
+
 def missing_field_groups(df: DataFrame) -> list[str]:
     """Which groups of columns a table lacks altogether."""
-    groups = {"prices": [c for c in RAW if "bid" in c or "ask" in c], "volume": ["amount_delta"], "mid": ["n_midprice"], "labels": LABELS}
-    return [g for g, columns in groups.items() if not set(columns) & set(df.columns)]
+    return [g for g, columns in field_groups().items() if not set(columns) & set(df.columns)]
+
+
+def missing_field_groups_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by file, from its header; an empty file lacks all of them."""
+    text = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    head = text.select(*parsed(F.col("path"))[:1], F.transform(F.split(F.element_at(F.split("value", r"\r?\n"), 1), ","), lambda c: F.regexp_replace(F.trim(c), r"^label(\d+)$", "label_$1")).alias("head"))
+    lacking = [F.when(~F.arrays_overlap("head", F.array(*(F.lit(c) for c in columns))), g) for g, columns in field_groups().items()]
+    found = head.select("source_file", F.array_compact(F.array(*lacking)).alias("missing_groups"))
+    empty = catalogue(spark, folder).filter("length = 0").select("source_file", F.array(*(F.lit(g) for g in field_groups())).alias("missing_groups"))
+    return found.join(empty, "source_file", "left_anti").unionByName(empty)
 
 
 def ingest(spark: SparkSession, folder: str, path: str, partitions: int | None = None) -> DataFrame:
