@@ -4,8 +4,10 @@
     eda DATA OUT                        quality reports (CSV) and a summary (Markdown)
     tabular DATA OUT                    the tabular features of complete rows, with row counts by file
     samples DATA OUT                    training samples: pyramid vectors, labels, price moves, split
+    check DATA SAMPLES                  whether written samples equal those made anew, column by column
     train SAMPLES OUT                   a model and the metrics of every threshold, for one horizon or (--horizon 0) for each
     analyze DATA OUT                    signals, their summary and candles; predictions from labels, a model or earlier signals
+    compare RUN OUT                     confusion matrices of a run of all horizons against published ones
 """
 
 from __future__ import annotations
@@ -64,22 +66,34 @@ def tabular(spark: SparkSession, a: argparse.Namespace) -> None:
     print(json.dumps({"rows": sinks.write_features(kept, f"{a.out}/features"), "features": len(features_tabular.FEATURES)}))
 
 
-def make_samples(spark: SparkSession, a: argparse.Namespace) -> None:
+def sample_rows(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Features once, labels and moves of all horizons beside them; ``label`` and ``price_diff`` are the chosen horizon's."""
     targeted = samples.with_targets(ticks_of(spark, a.data))
-    targets = [f"price_diff_{h}" for h in HORIZONS]
     featured = features_main.features(targeted)
     vectors = vector.pyramid(featured, features_main.FEATURES)
     rows = samples.emit(vectors, a.min_history, a.keep_limit_samples)
     split = samples.split_by_date(rows, a.val_start_date) if a.split_mode == "date" else samples.split_by_index(rows, a.test_size)
     label = {h: F.coalesce(F.col(f"label_{h}").cast("int"), F.lit(1)) for h in HORIZONS}
     every = [x for h in HORIZONS for x in (label[h].alias(f"label_{h}"), F.col(f"price_diff_{h}"))]
-    out = split.select("sym", "date", "session", "row_nr", "split", label[a.horizon].alias("label"), F.col("vector").alias("features"), F.col(f"price_diff_{a.horizon}").alias("price_diff"), *every)
-    stored = sinks.write_samples(out, a.out)
+    return split.select("sym", "date", "session", "row_nr", "split", label[a.horizon].alias("label"), F.col("vector").alias("features"), F.col(f"price_diff_{a.horizon}").alias("price_diff"), *every)
+
+
+def make_samples(spark: SparkSession, a: argparse.Namespace) -> None:
+    stored = sinks.write_samples(sample_rows(spark, a), a.out)
     counts = {r.split: r["count"] for r in stored.groupBy("split").count().collect()}
     if set(counts) != {"train", "val"}:
         raise SystemExit(f"a split is empty: {counts}")
-    print(json.dumps({"samples": counts, "targets": targets}))
+    print(json.dumps({"samples": counts, "targets": [f"price_diff_{h}" for h in HORIZONS]}))
+
+
+def check(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Options must be those that the samples were made with."""
+    found = profile.compare_tables(sample_rows(spark, a), spark.read.parquet(a.out), ["sym", "date", "session", "row_nr"]).collect()  # a row a column
+    wrong = {r["column"]: r.different for r in found if r.different}
+    one = {k: found[0][k] for k in ("only_ours", "only_theirs")}
+    print(json.dumps({"columns": len(found), "different": wrong, **one}))
+    if wrong or any(one.values()):
+        raise SystemExit("stored samples differ")
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -118,6 +132,15 @@ def train_one(rows: DataFrame, a: argparse.Namespace, horizon: int, out: str) ->
     print(json.dumps({"horizon": horizon, "threshold": chosen, **({"rounds": fitted.rounds()} if a.kind == "boosted" else {})}))
 
 
+def compare(spark: SparkSession, a: argparse.Namespace) -> None:
+    runs = [spark.read.option("header", "true").csv(f"{a.data}/{h}/confusion").select(F.lit(f"label_{h}").alias("label"), "split", *(F.col(c).cast("int") for c in ("y_true", "signal")), F.col("n").cast("long")) for h in HORIZONS]
+    ours = runs[0]
+    for more in runs[1:]:
+        ours = ours.unionByName(more)
+    theirs = evaluate.reference_cells(spark.read.text(a.reference, wholetext=True)).join(ours.select("label", "split").distinct(), ["label", "split"], "left_semi")
+    sinks.write_csv(evaluate.confusion_diff(ours, theirs, "label", "split").orderBy("label", "split"), a.out)
+
+
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     ticks = ticks_of(spark, a.data)
     files = snapshots.catalogue(spark, a.data)
@@ -170,8 +193,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     command("ingest", lambda s, a: snapshots.ingest(s, a.data, a.out))
     command("eda", eda, ("--syms", int, 10), ("--dates", int, 79))
     command("tabular", tabular)
-    command("samples", make_samples, horizon, ("--split-mode", ["date", "index"], "date"), ("--val-start-date", int, 63), ("--test-size", float, 0.2), ("--min-history", int, 4), ("--keep-limit-samples", bool, False))
+    made = (horizon, ("--split-mode", ["date", "index"], "date"), ("--val-start-date", int, 63), ("--test-size", float, 0.2), ("--min-history", int, 4), ("--keep-limit-samples", bool, False))
+    command("samples", make_samples, *made)
+    command("check", check, *made)
     command("train", train, horizon, ("--kind", ["forest", "logistic", "boosted"], "forest"), ("--preset", sorted(PRESETS), "fast"), ("--metric", ["default", "f05", "total_pnl", "avg_pnl", "official_score_est"], "official_score_est"), ("--ratios", bool, False), ("--profit-weight", bool, False), ("--profit-base", float, 1.0), ("--profit-alpha", float, 1.0), ("--profit-min", float, 0.5), ("--profit-max", float, 3.0))
+    command("compare", compare, ("--reference", str, None))
     command("analyze", analyze, ("--mode", ["label", "model", "signals"], "label"), ("--model", str, None), ("--kind", ["forest", "logistic", "boosted"], "forest"), ("--signals", str, None), ("--threshold", float, 0.88), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("bookflow").getOrCreate()

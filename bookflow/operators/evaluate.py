@@ -91,10 +91,8 @@ def legacy_scan(scores: DataFrame, thresholds=signals.THRESHOLDS) -> DataFrame:
 
 def confusion(rows: DataFrame, *keys: str) -> DataFrame:
     """All nine cells (true, predicted) by key, absent ones 0; values out of range are ignored."""
-    classes = F.array(*(F.lit(k) for k in range(3)))
     counts = rows.groupBy(*keys).agg(*(F.count_if((F.col("y_true") == t) & (F.col("signal") == p)).alias(f"c{t}{p}") for t in range(3) for p in range(3)))
     cells = counts.select(*keys, F.explode(F.array(*(F.struct(F.lit(t).alias("y_true"), F.lit(p).alias("signal"), F.col(f"c{t}{p}").alias("n")) for t in range(3) for p in range(3)))).alias("r"))
-    del classes
     return cells.select(*keys, "r.*")
 
 
@@ -136,6 +134,14 @@ def confusion_diff(ours: DataFrame, reference: DataFrame, *keys: str) -> DataFra
     )
 
 
+def reference_cells(matrices: DataFrame, value: str = "value") -> DataFrame:
+    """Published matrices, JSON of label, split and three rows of three counts, as cells (label, split, y_true, signal, n)."""
+    labels = matrices.select(F.explode(F.from_json(value, "map<string, map<string, array<array<bigint>>>>")).alias("label", "splits"))
+    splits = labels.select("label", F.explode("splits").alias("split", "matrix"))
+    lines = splits.select("label", "split", F.posexplode("matrix").alias("y_true", "line"))
+    return lines.select("label", "split", "y_true", F.posexplode("line").alias("signal", "n"))
+
+
 def pnl_stats(rows: DataFrame, column: str = "pnl") -> DataFrame:
     stats = rows.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
     return stats.crossJoin(F.broadcast(exact_percentiles(rows, column, [0.5]))).select("n", "low", "high", "mean", F.col("at")[0].alias("median"), "std")

@@ -173,3 +173,18 @@ def feature_quality(df: DataFrame, columns: list[str]) -> DataFrame:
     infinite = sum((F.count_if(F.abs(F.col(c).cast("double")) == float("inf")) for c in columns[1:]), F.count_if(F.abs(F.col(columns[0]).cast("double")) == float("inf")))
     leaks = [c for c in columns if c.startswith("label") or c in ("time", "source_file")]
     return df.agg(nulls.alias("missing"), infinite.alias("infinite"), F.lit(len(leaks)).alias("leaks"))
+
+
+def compare_tables(ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:
+    """By column that isn't a key: rows that agree (NULL agrees with NULL, NaN with NaN), that differ, that only one side has.
+
+    Keys name rows; one join on them, whose sides bring a mark each. Tables of the same rows give 0 but for ``equal``.
+    """
+    columns = [c for c in ours.columns if c not in keys]
+    left = ours.select(*keys, F.struct(*columns).alias("__ours"))
+    right = theirs.select(*keys, F.struct(*columns).alias("__theirs"))
+    both = left.join(right, keys, "full")
+    held = F.col("__ours").isNotNull() & F.col("__theirs").isNotNull()
+    same = lambda c: F.col(f"__ours.{c}").eqNullSafe(F.col(f"__theirs.{c}"))
+    row = both.agg(*(x for c in columns for x in (F.count_if(held & same(c)).alias(f"{c}__equal"), F.count_if(held & ~same(c)).alias(f"{c}__different"), F.count_if(F.col("__theirs").isNull()).alias(f"{c}__only_ours"), F.count_if(F.col("__ours").isNull()).alias(f"{c}__only_theirs"))))
+    return unpivot(row, columns, ["equal", "different", "only_ours", "only_theirs"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.operators import candles, features_main, model, samples
+from bookflow.operators import candles, features_main, model, profile, samples
 from bookflow.operators.ewm import alpha_of
 from bookflow.plans.book import book
 from bookflow.queries_features import portable, shown
 from bookflow.runtime import shared_folder
 from bookflow.schema import HORIZONS
+from bookflow.sources import sinks
 from bookflow.streaming import live
 
 NAMES = ["total_imbalance", "vol1_rel_diff", "relative_bid_density_1", "micro_price", "bid_slope"]
@@ -35,6 +36,15 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(rows, models, THRESHOLDS).select("sym", "date", "session", "row_nr", *(f"signal_{h}" for h in HORIZONS))
 
 
+def storage_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and moves of all ticks, written and read back, against the same made anew."""
+    keys = ["sym", "date", "session", "row_nr"]
+    rows = samples.with_targets(features_main.CATALOGUE.needed(NAMES).apply(book(spark, sf_dir))).select(*keys, *NAMES, *(f"price_diff_{h}" for h in HORIZONS))
+    path = f"{shared_folder(spark, 'storage')}/features"
+    sinks.write_features(rows, path)
+    return profile.compare_tables(rows, spark.read.parquet(path), keys)
+
+
 def _tick_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id AS sym", "event_id AS row_nr", "CAST(ts AS TIMESTAMP) AS ts", "value AS n_midprice", "1D AS amount_delta")
 
@@ -80,8 +90,10 @@ def _fold(span: float) -> str:
     return f"list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda y, v: {1 - a!r} * y + {a!r} * v)"
 
 
-QUERIES = {"batch_predict": batch_predict, "stream_candles": stream_candles, "stream_smoothed": stream_smoothed, "events_candles": events_candles}
+QUERIES = {"batch_predict": batch_predict, "storage_consistency": storage_consistency, "stream_candles": stream_candles, "stream_smoothed": stream_smoothed, "events_candles": events_candles}
 ORACLE_SQL = {
+    "storage_consistency": "SELECT c AS \"column\", count(*) AS equal, CAST(0 AS BIGINT) AS different, CAST(0 AS BIGINT) AS only_ours, CAST(0 AS BIGINT) AS only_theirs FROM lineitem, "
+    f"(SELECT unnest({[*NAMES, *(f'price_diff_{h}' for h in HORIZONS)]}) AS c) GROUP BY c",
     "stream_candles": "SELECT user_id AS sym, strftime(time_bucket(INTERVAL 30 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, round(arg_min(value, (ts, event_id)), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(arg_max(value, (ts, event_id)), 4) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2",
     "stream_smoothed": portable(f"SELECT user_id AS sym, event_id AS row_nr, {shown('e5')} AS ema_5, {shown('e20')} AS ema_20 FROM (SELECT *, {_fold(5.0)} AS e5, {_fold(20.0)} AS e20 FROM events)"),
     "events_candles": "SELECT user_id AS sym, strftime(ts, '%Y-%m-%d') AS day, CAST(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 1800) AS BIGINT) AS bucket, round(arg_min(value, (ts, event_id)), 4) AS open, round(max(value), 4) AS high, round(min(value), 4) AS low, round(arg_max(value, (ts, event_id)), 4) AS close, count(*) AS ticks FROM events GROUP BY 1, 2, 3"

@@ -51,6 +51,10 @@ def test_samples_train_analyze(spark, data, tmp_path, capsys):
     stored = spark.read.parquet(str(tmp_path / "samples"))
     assert {r.split: r["count"] for r in stored.groupBy("split").count().collect()} == {"train": 3 * 176, "val": 176}
     assert len(stored.first().features) == 922
+    options = ["--val-start-date", "1", "--horizon", "5"]
+    main(["check", data, str(tmp_path / "samples"), *options], spark)
+    with pytest.raises(SystemExit):
+        main(["check", data, str(tmp_path / "samples"), *options, "--min-history", "5"], spark)
     main(["train", str(tmp_path / "samples"), str(tmp_path / "run"), "--horizon", "5", "--kind", "forest", "--metric", "f05"], spark)
     assert len(csv(spark, f"{tmp_path}/run/thresholds")) == 23 and len(csv(spark, f"{tmp_path}/run/confusion")) == 9
     main(["analyze", data, str(tmp_path / "out"), "--stride", "3", "--sym", "0"], spark)
@@ -71,6 +75,11 @@ def test_every_horizon_is_trained(spark, data, tmp_path, capsys):
     assert [json.loads(x)["horizon"] for x in capsys.readouterr().out.strip().splitlines()] == [5, 10, 20, 40, 60]
     rows = {h: sum(int(r.n) for r in csv(spark, f"{tmp_path}/run/{h}/confusion")) for h in (5, 60)}
     assert rows == {5: 176, 60: 176}
+    (tmp_path / "published.json").write_text(json.dumps({f"label_{h}": {"val": [[100, 0, 0], [0, 50, 0], [30, 0, 0]]} for h in (5, 10, 20, 40, 60)}))
+    main(["compare", str(tmp_path / "run"), str(tmp_path / "differences"), "--reference", str(tmp_path / "published.json")], spark)
+    differences = csv(spark, f"{tmp_path}/differences")
+    assert [(r.label, r.sample_diff) for r in differences] == [(f"label_{h}", "-4") for h in (10, 20, 40, 5, 60)]
+    assert {round(float(r.reference_accuracy), 6) for r in differences} == {round(150 / 180, 6)}
 
 
 def test_analyze_takes_its_filters_seriously(spark, data, tmp_path):

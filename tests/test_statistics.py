@@ -87,3 +87,12 @@ def test_field_groups_by_file(spark, tmp_path):
         (tmp_path / f"snapshot_{name}.csv").write_text(text)
     found = {r.source_file[9:-4]: r.missing_groups for r in snapshots.missing_field_groups_by_file(spark, str(tmp_path)).collect()}
     assert found == {"sym0_date0_am": ["volume", "mid"], "sym0_date0_pm": [], "sym1_date0_am": ["prices", "volume", "mid", "labels"]}
+
+
+def test_compare_tables(spark):
+    ours = spark.createDataFrame([(1, 1.0, None), (2, float("nan"), "b"), (3, 3.0, "c")], "k int, x double, y string")
+    theirs = spark.createDataFrame([(1, 1.0, None), (2, float("nan"), "z"), (4, 3.0, "c")], "k int, x double, y string")
+    found = {r["column"]: (r.equal, r.different, r.only_ours, r.only_theirs) for r in profile.compare_tables(ours, theirs, ["k"]).collect()}
+    assert found == {"x": (2, 0, 1, 1), "y": (1, 1, 1, 1)}
+    none = ours.limit(0)
+    assert {tuple(r)[1:] for r in profile.compare_tables(none, none, ["k"]).collect()} == {(0, 0, 0, 0)}
