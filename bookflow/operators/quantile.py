@@ -18,10 +18,11 @@ def exact_percentiles(df: DataFrame, column: str, fractions: list[float]) -> Dat
     misses its percentile raises an error.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
-    cut = lambda f: F.min("v") if f <= 0 else F.max("v") if f >= 1 else F.percentile_approx("v", f, ACCURACY)
     step = MARGIN / ACCURACY
-    around = values.agg(F.count("v").alias("n"), *(x for k, f in enumerate(fractions) for x in (cut(f - step).alias(f"low{k}"), cut(f + step).alias(f"high{k}"))))
-    brackets = around.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"low{k}").alias("low"), F.col(f"high{k}").alias("high"), ((F.col("n") - 1) * float(f)).alias("position")) for k, f in enumerate(fractions)))).alias("b")).select("n", "b.*")
+    edges = [min(max(f + side, 0.0), 1.0) for f in fractions for side in (-step, step)]
+    around = values.agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", edges, ACCURACY).alias("cuts"))  # one sketch
+    edge = [F.col("least") if f <= 0 else F.col("most") if f >= 1 else F.col("cuts")[k] for k, f in enumerate(edges)]
+    brackets = around.select("n", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), edge[2 * k].alias("low"), edge[2 * k + 1].alias("high"), ((F.col("n") - 1) * float(f)).alias("position")) for k, f in enumerate(fractions)))).alias("b")).select("n", "b.*")
     side = F.when(F.col("v") < F.col("low"), -1).when(F.col("v") > F.col("high"), 1).otherwise(0)
     placed = values.crossJoin(F.broadcast(brackets.select("k", "low", "high"))).select("k", side.alias("side"), "v")  # a row for each fraction
     counts = placed.groupBy("k", "side", F.when(F.col("side") == 0, F.col("v")).alias("held")).agg(F.count(F.lit(1)).alias("times"), F.min("v").alias("least"), F.max("v").alias("most"))
