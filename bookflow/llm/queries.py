@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bookflow.llm import bpe_ops, chat, exact_dedup, html_extract, near_dup, packing, quality, token_output, topk, toxicity
+from bookflow.llm import bpe_ops, chat, exact_dedup, fingerprint, html_extract, merkle, near_dup, packing, quality, token_output, topk, toxicity
 from bookflow.llm.bpe import read_tokenizer
 from bookflow.llm.common import table
 
@@ -57,6 +57,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), end_id=1)
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_topk": op2_topk,
@@ -68,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
+    "op11_fingerprint": op11_fingerprint,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
