@@ -19,8 +19,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(label, text) of at most ``rows`` labelled documents that aren't held out, and the folder that holds them.
 
-    The ids that are sent to all executors are bounded by ``rows``. Of several labels of one id the largest counts;
-    labels other than 0 and 1 don't.
+    The ids that are sent to all executors are bounded by ``rows``. Of several labels of one id the largest counts, of several
+    texts the greatest; labels other than 0 and 1 don't.
     """
     picked = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(target).cast("int").alias("label"))
@@ -31,4 +31,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int = S
         .limit(rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "label", "text"), "labelled")
+    return materialize(texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.max("text").alias("text")), "labelled")

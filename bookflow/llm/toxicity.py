@@ -1,10 +1,11 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 Severity grades 0 to 3: label 0 is grade 0. Labels have two values, so documents of label 1 are graded on words that the
-model doesn't see: in training, inputs come from a document's words at even positions, its grade from how many of its words
-at odd positions are telling (thirds of the labelled documents that have some). One weight vector is shared by the ordered
-thresholds: P(grade >= k) is sigmoid(w.x - t_k). Expected severity is the sum of these chances over k = 1, 2, 3; a document
-is toxic when P(grade >= 1) is at least one half.
+model doesn't see: a document's words at even and at odd positions are two halves, both train, and each one's grade comes from
+how many words of the other are telling (thirds of the labelled halves that have some). One weight vector is shared by the
+ordered thresholds: P(grade >= k) is sigmoid(w.x - t_k). A document is graded as it trains, by its halves: its expected
+severity is the mean of theirs, each the sum of the chances over k = 1, 2, 3. It is toxic when w.x of its whole text reaches
+the cut at which the fewest of the training documents, their whole texts scored alike, are on the wrong side.
 
 Features are words, and beginnings of longer words (so that inflected forms share a feature). Of the training sample's all
 those make the model that prefer label 1 beyond chance, by a likelihood-ratio test whose level accounts for the number
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,18 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def halves(text: str | None) -> tuple[list[str], list[str]]:
+    """Words at even and at odd positions."""
+    words = words_of(text)
+    return words[::2], words[1::2]
+
+
+def graded(counting: Counting, text: str | None) -> list[tuple[int, list[int], list[int], int]]:
+    """For each half: its number, its features and their counts, and how many words of the other half are telling."""
+    even, odd = (counting.counts(words) for words in halves(text))
+    return [(k, list(own.keys()), list(own.values()), hits) for k, (own, hits) in enumerate(((even[0], odd[1]), (odd[0], even[1])))]
+
+
 def fit(x: Sparse, grade: np.ndarray, ridge: float = 1e-5, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Shared non-negative weights and ordered thresholds: projected Newton steps on the cumulative-link likelihood."""
     share = np.array([(grade >= k).mean() for k in range(1, GRADES + 1)]).clip(1e-4, 1 - 1e-4)
@@ -142,7 +156,7 @@ def fit(x: Sparse, grade: np.ndarray, ridge: float = 1e-5, steps: int = 60) -> t
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The model. The driver gathers the telling features, and of at most ``rows`` documents their counts of these."""
+    """The model. The driver gathers the telling features, and of at most ``rows`` documents their halves' counts of these."""
     sample, held = training_rows(docs, labels, target, rows, id_col, text_col)
     features = chosen_features(sample)
     if not features:
@@ -153,11 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
     def run(batches):
         counting = Counting(spec.value)
         for batch in (part for whole in batches for part in rows_of(whole)):
-            words = [words_of(t) for t in batch.column(2).to_pylist()]
-            seen, hits = [counting.counts(w[::2])[0] for w in words], [counting.counts(w[1::2])[1] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(g.keys()) for g in seen], pa.list_(pa.int64())), pa.array([list(g.values()) for g in seen], pa.list_(pa.int64())), pa.array(hits, pa.int64())], names=["id", "label", "at", "n", "hits"])
+            rows = [(i, label, *x) for i, label, text in zip(*(c.to_pylist() for c in batch.columns)) for x in graded(counting, text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=["id", "label", "half", "at", "n", "hits"])
 
-    found = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, at array<long>, n array<long>, hits long").toPandas().sort_values("id")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+    found = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, half int, at array<long>, n array<long>, hits long").toPandas().sort_values(["id", "half"])
     remove(docs.sparkSession, held)
     x = Sparse.of_rows(((at, np.log1p(np.asarray(n, float))) for at, n in zip(found["at"], found["n"])), len(features))
     hits = found["hits"].to_numpy()
@@ -168,7 +182,33 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", rows: int =
         low, high = np.quantile(hits[telling], [1 / 3, 2 / 3])
         grade[telling] += (hits[telling] > low).astype(int) + (hits[telling] > high)
     weights, cuts = fit(x, grade)
-    return {"features": features, "weights": weights, "cuts": cuts}
+    whole = [total_of(weights, merged(*pair)) for pair in pairs(dict(zip(at, n)) for at, n in zip(found["at"], found["n"]))]
+    return {"features": features, "weights": weights, "cuts": cuts, "toxic_from": fewest_errors(np.array(whole), toxic[::2])}
+
+
+def pairs(items: Iterable) -> Iterator[tuple]:
+    items = iter(items)
+    return zip(items, items)
+
+
+def merged(even: dict[int, int], odd: dict[int, int]) -> dict[int, int]:
+    """Counts of a whole text from its halves'."""
+    return even | {k: even.get(k, 0) + n for k, n in odd.items()}
+
+
+def total_of(weights: np.ndarray, found: dict[int, int]) -> float:
+    return float(sum(weights[k] * np.log1p(n) for k, n in sorted(found.items())))
+
+
+def fewest_errors(values: np.ndarray, toxic: np.ndarray) -> float:
+    """The boundary from which values count as toxic with the fewest errors: half way between two values, the lowest of equals.
+    A text without weight is never toxic."""
+    order = np.argsort(values, kind="stable")
+    values, toxic = values[order], toxic[order]
+    wrong = np.r_[0, np.cumsum(toxic)] + np.r_[np.cumsum(~toxic[::-1])[::-1], 0]  # toxic ones below the boundary, clean ones above
+    ends = np.flatnonzero(np.r_[False, (values[1:] > values[:-1]) & (values[1:] > 0), True])  # boundaries between unlike values
+    best = int(ends[np.argmin(wrong[ends])])
+    return float((values[best - 1] + values[best]) / 2) if best < len(values) else float(values[-1] + 1)
 
 
 class Scorer:
@@ -176,24 +216,26 @@ class Scorer:
         self.model = model
         self.counting = Counting(model["features"]) if model else None
 
-    def chances(self, text: str | None) -> np.ndarray:
-        """P(grade >= k) for k = 1, 2, 3."""
+    def of(self, text: str | None) -> tuple[float, bool]:
+        """(expected severity, toxic)."""
         if self.model is None:
-            return np.zeros(GRADES)
-        found, _ = self.counting.counts(words_of(text))
-        total = sum(self.model["weights"][k] * np.log1p(n) for k, n in sorted(found.items()))
-        return 1 / (1 + np.exp(-np.clip(total - self.model["cuts"], -30, 30)))
+            return 0.0, False
+        weights = self.model["weights"]
+        even, odd = (self.counting.counts(words)[0] for words in halves(text))
+        total = np.array([total_of(weights, even), total_of(weights, odd)])
+        chances = 1 / (1 + np.exp(-np.clip(total[:, None] - self.model["cuts"], -30, 30)))
+        return float(chances.sum(axis=1).mean()), total_of(weights, merged(even, odd)) >= self.model["toxic_from"]
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, severity, toxic) of every document: expected severity 0 to 3, and 1 where grade 1 or more is likelier than not."""
+    """(id, severity, toxic) of every document: expected severity 0 to 3, and 1 for a toxic one."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = Scorer(held.value)
         for batch in (part for whole in batches for part in rows_of(whole)):
-            p = np.array([scorer.chances(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, GRADES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array((p[:, 0] >= 0.5).astype(np.int32))], names=["id", "severity", "toxic"])
+            found = [scorer.of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([int(t) for _, t in found], pa.int32())], names=["id", "severity", "toxic"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, "id long, severity double, toxic int").withColumnRenamed("id", id_col)
@@ -213,6 +255,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Da
     def run(batches):
         scorer = Scorer(model.value)
         for batch in (part for whole in batches for part in rows_of(whole)):
-            yield batch.filter(pa.array([bool(scorer.chances(t)[0] < 0.5) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not scorer.of(t)[1] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -168,9 +168,10 @@ def test_severity_equals_plain_scoring_of_an_optimal_model(spark):
                     x[number[f]] += 1
         return np.log1p(x)
 
-    x = np.array([counted(t.split()[::2]) for _, t in train])
-    hits = np.array([sum(any(f in number for f in toxicity.word_features(w)) for w in t.split()[1::2]) for _, t in train])
-    toxic = np.array([marks[k] for k, _ in train])
+    parts = [(label, t.split()[half::2], t.split()[1 - half :: 2]) for k, t in train for half in (0, 1) for label in (marks[k],)]
+    x = np.array([counted(own) for _, own, _ in parts])
+    hits = np.array([sum(any(f in number for f in toxicity.word_features(w)) for w in other) for *_, other in parts])
+    toxic = np.array([label for label, *_ in parts])
     low, high = np.quantile(hits[(toxic == 1) & (hits > 0)], [1 / 3, 2 / 3])
     grade = np.where(toxic == 1, 1 + np.where(hits > 0, (hits > low).astype(int) + (hits > high), 0), 0)
 
@@ -184,10 +185,34 @@ def test_severity_equals_plain_scoring_of_an_optimal_model(spark):
         g = slope(lambda v: loss(v, cuts), w, k)
         assert abs(g) < 2e-3 if w[k] > 0 else g > -2e-3
     assert all(abs(slope(lambda v: loss(w, v), cuts, k)) < 2e-3 for k in range(3))
+    whole = {k: counted(t.split()) @ w for k, t in rows}
+    errors = lambda cut: sum((whole[k] >= cut) != marks[k] for k, _ in train)
+    values = sorted({whole[k] for k, _ in train})
+    assert errors(model["toxic_from"]) == min(map(errors, [v for v in values if v > 0] + [values[-1] + 1]))
     got = {r.doc_id: r for r in toxicity.classify(docs, labels_).collect()}
     for k, text in rows:
-        p = 1 / (1 + np.exp(-(counted(text.split()) @ w - cuts)))
-        assert got[k].severity == pytest.approx(p.sum(), abs=1e-9) and got[k].toxic == (p[0] >= 0.5)
+        p = [1 / (1 + np.exp(-(counted(text.split()[half::2]) @ w - cuts))) for half in (0, 1)]
+        assert got[k].severity == pytest.approx((p[0].sum() + p[1].sum()) / 2, abs=1e-9) and got[k].toxic == (whole[k] >= model["toxic_from"])
+
+
+def test_severity_meets_the_grades(spark):
+    """Over rows that never trained, the mean severity is the mean grade made in the same way."""
+    docs, labels_, rows, marks = insulted(spark)
+    model = toxicity.train(docs, labels_)
+    counting = toxicity.Counting(model["features"])
+    hits = {k: [h for *_, h in toxicity.graded(counting, t)] for k, t in rows}
+    trained = [h for k, _ in rows if zlib.crc32(str(k).encode()) % 5 and marks[k] for h in hits[k] if h]
+    low, high = np.quantile(trained, [1 / 3, 2 / 3])
+    grade = {k: np.mean([marks[k] * (1 + (h > low) + (h > high)) for h in hits[k]]) for k, _ in rows}
+    for held in (True, False):
+        found = {r.doc_id: r.severity for r in toxicity.classify(docs, labels_).collect() if r.held_out == held}
+        assert np.mean(list(found.values())) == pytest.approx(np.mean([grade[k] for k in found]), rel=0.2 if held else 0.05)  # 180 and 720 rows
+
+
+def test_of_texts_that_share_an_id_the_greatest_trains(spark):
+    docs = spark.createDataFrame([(k, t) for k in range(60) for t in (f"a{k}", f"b{k}", None)], "doc_id long, text string").repartition(7)
+    sample, _ = training_rows(docs, spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int"), "toxic")
+    assert {r.text for r in sample.collect()} == {f"b{k}" for k in range(60) if zlib.crc32(str(k).encode()) % 5}
 
 
 def test_no_telling_feature_is_left_out(spark):
