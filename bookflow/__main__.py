@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.exprs import seconds
-from bookflow.operators import candles, evaluate, features_main, features_tabular, profile, samples, signals, vector
+from bookflow.operators import binned, boosting, candles, evaluate, features_main, features_tabular, profile, samples, signals, vector
 from bookflow.operators.model import PRESETS, THRESHOLDS, DirectionModel
 from bookflow.runtime import ship
 from bookflow.schema import ASIZES, BSIZES, HORIZONS, LABELS, RAW
 from bookflow.sources import sinks, snapshots
 
+KINDS = ["forest", "logistic", "boosted", "softmax"]
+
 
 def ticks_of(spark: SparkSession, folder: str) -> DataFrame:
     """Ticks of snapshot files, or of what ``ingest`` wrote, with seconds of the day."""
@@ -106,16 +108,38 @@ def train(spark: SparkSession, a: argparse.Namespace) -> None:
             train_one(rows.withColumns({"label": F.col(f"label_{h}"), "price_diff": F.col(f"price_diff_{h}")}), a, h, f"{a.out}/{h}")
 
 
+def train_softmax(rows: DataFrame, a: argparse.Namespace, horizon: int, out: str) -> DirectionModel:
+    """Train from a binned store, which is reused where it was made from the same sample files and options; with ``--resume`` from
+    the last saved rounds."""
+    spark, options = rows.sparkSession, boosting.PRESETS[a.param_preset] | {"rounds": a.rounds, "patience": a.patience, "save_every": a.save_every}
+    if a.class_weights != "preset":
+        options |= {"class_weights": a.class_weights == "on"}
+    if a.profit_weight:
+        options |= {"profit": (a.profit_base, a.profit_alpha, a.profit_min, a.profit_max)}
+    made_from = binned.folder_fingerprint(spark, a.data, {"horizon": horizon, "max_bin": a.max_bin})
+    store = binned.find(spark, f"{out}/store", made_from) if a.reuse_store else None
+    reused = store is not None
+    store = store or binned.write(rows, f"{out}/store", made_from, max_bin=a.max_bin)
+    if not a.resume:
+        sinks.remove_with_counts(spark, f"{out}/rounds")
+    booster = boosting.Booster(boosting.Options(**options)).fit(store, f"{out}/rounds")
+    print(json.dumps({"horizon": horizon, "store_reused": reused, "best_loss": min(booster.losses, default=None)}))
+    return DirectionModel(kind="softmax", fitted=booster)
+
+
 def train_one(rows: DataFrame, a: argparse.Namespace, horizon: int, out: str) -> None:
     rows = rows.withColumn("label", F.col("label").cast("int")).withColumn("validation", F.col("split") == "val")
     training = rows.filter("NOT validation")
     seen = rows if a.kind == "boosted" else training
-    if a.profit_weight:
-        weighted = samples.profit_weights(seen, a.profit_base, a.profit_alpha, a.profit_min, a.profit_max)
+    if a.kind == "softmax":
+        fitted = train_softmax(rows, a, horizon, out)
     else:
-        weights = samples.class_weights(training).select("label", "weight")
-        weighted = seen.join(F.broadcast(weights), "label")
-    fitted = DirectionModel(preset=a.preset, kind=a.kind).fit(weighted.withColumn("label", F.col("label").cast("double")), "validation")
+        if a.profit_weight:
+            weighted = samples.profit_weights(seen, a.profit_base, a.profit_alpha, a.profit_min, a.profit_max, training=training)
+        else:
+            weights = samples.class_weights(training).select("label", "weight")
+            weighted = seen.join(F.broadcast(weights), "label")
+        fitted = DirectionModel(preset=a.preset, kind=a.kind).fit(weighted.withColumn("label", F.col("label").cast("double")), "validation")
     fitted.save(f"{out}/model")
     scored = fitted.score(rows.filter("validation")).selectExpr("down", "flat", "up", "label AS y_true", "price_diff").persist()
     try:
@@ -129,7 +153,7 @@ def train_one(rows: DataFrame, a: argparse.Namespace, horizon: int, out: str) ->
             sinks.write_csv(evaluate.best(evaluate.ratio_grid(scored), "f05", "down_ratio", "up_ratio"), f"{out}/ratio_best")
     finally:
         scored.unpersist()
-    print(json.dumps({"horizon": horizon, "threshold": chosen, **({"rounds": fitted.rounds()} if a.kind == "boosted" else {})}))
+    print(json.dumps({"horizon": horizon, "threshold": chosen, **({"rounds": fitted.rounds()} if a.kind in ("boosted", "softmax") else {})}))
 
 
 def compare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -196,9 +220,10 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     made = (horizon, ("--split-mode", ["date", "index"], "date"), ("--val-start-date", int, 63), ("--test-size", float, 0.2), ("--min-history", int, 4), ("--keep-limit-samples", bool, False))
     command("samples", make_samples, *made)
     command("check", check, *made)
-    command("train", train, horizon, ("--kind", ["forest", "logistic", "boosted"], "forest"), ("--preset", sorted(PRESETS), "fast"), ("--metric", ["default", "f05", "total_pnl", "avg_pnl", "official_score_est"], "official_score_est"), ("--ratios", bool, False), ("--profit-weight", bool, False), ("--profit-base", float, 1.0), ("--profit-alpha", float, 1.0), ("--profit-min", float, 0.5), ("--profit-max", float, 3.0))
+    softmax = (("--param-preset", sorted(boosting.PRESETS), "previous_code"), ("--class-weights", ["preset", "on", "off"], "preset"), ("--rounds", int, 2000), ("--patience", int, 100), ("--save-every", int, 250), ("--max-bin", int, 256), ("--reuse-store", bool, False), ("--resume", bool, False))
+    command("train", train, horizon, *softmax, ("--kind", KINDS, "forest"), ("--preset", sorted(PRESETS), "fast"), ("--metric", ["default", "f05", "total_pnl", "avg_pnl", "official_score_est"], "official_score_est"), ("--ratios", bool, False), ("--profit-weight", bool, False), ("--profit-base", float, 1.0), ("--profit-alpha", float, 1.0), ("--profit-min", float, 0.5), ("--profit-max", float, 3.0))
     command("compare", compare, ("--reference", str, None))
-    command("analyze", analyze, ("--mode", ["label", "model", "signals"], "label"), ("--model", str, None), ("--kind", ["forest", "logistic", "boosted"], "forest"), ("--signals", str, None), ("--threshold", float, 0.88), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
+    command("analyze", analyze, ("--mode", ["label", "model", "signals"], "label"), ("--model", str, None), ("--kind", KINDS, "forest"), ("--signals", str, None), ("--threshold", float, 0.88), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("bookflow").getOrCreate()
     ship(spark)

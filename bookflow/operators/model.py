@@ -2,7 +2,8 @@
 
 An estimator fits samples with ``features`` (array), ``label`` and ``weight`` and adds ``down``, ``flat``, ``up``. The default is
 Spark ML's random forest, which trains on the cluster and keeps samples where they are; ``boosted`` is a sequence of small
-trees for each class, whose probabilities are scaled to sum to 1.
+trees for each class, whose probabilities are scaled to sum to 1; ``softmax`` is one sequence for all classes, trained from a
+binned store by :mod:`bookflow.operators.boosting`.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.operators import signals
+from bookflow.operators.boosting import Booster
 
 #: Default thresholds of the five horizons.
 THRESHOLDS = {5: 0.88, 10: 0.82, 20: 0.78, 40: 0.70, 60: 0.65}
@@ -41,6 +43,8 @@ class DirectionModel:
         and the trees of the best round stay; other kinds leave these rows out."""
         from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 
+        if self.kind == "softmax":
+            raise ValueError("softmax boosting trains from a store of binned samples: Booster.fit")
         if self.kind == "boosted":
             vectors, stop = self._vectors(samples), {} if validation is None else {"validationIndicatorCol": validation}
             booster = GBTClassifier(featuresCol="__x", labelCol="__one", weightCol="weight", seed=self.seed, **stop, **{**BOOSTED[self.preset], **self.options})
@@ -60,6 +64,8 @@ class DirectionModel:
     def score(self, samples: DataFrame) -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
+        if self.kind == "softmax":
+            return self.fitted.score(samples)
         if self.kind == "boosted":
             scored = self._vectors(samples)
             for k, booster in zip(CLASSES, self.fitted):
@@ -73,9 +79,16 @@ class DirectionModel:
 
     def rounds(self) -> list[int]:
         """Boosting rounds kept for each class, the best round where validation rows were given."""
+        if self.kind == "softmax":
+            return [len(self.fitted.rounds)] * len(CLASSES)
         return [m.getNumTrees for m in self.fitted]
 
     def save(self, path: str) -> None:
+        if self.kind == "softmax":
+            from pyspark.sql import SparkSession
+
+            self.fitted.save(SparkSession.active(), path)
+            return
         if self.kind == "boosted":
             for k, booster in zip(CLASSES, self.fitted):
                 booster.write().overwrite().save(f"{path}/{k}")
@@ -86,12 +99,18 @@ class DirectionModel:
     def load(cls, path: str, kind: str = "forest") -> DirectionModel:
         from pyspark.ml.classification import GBTClassificationModel, LogisticRegressionModel, RandomForestClassificationModel
 
+        if kind == "softmax":
+            from pyspark.sql import SparkSession
+
+            return cls(kind=kind, fitted=Booster.load(SparkSession.active(), path))
         if kind == "boosted":
             return cls(kind=kind, fitted=[GBTClassificationModel.load(f"{path}/{k}") for k in CLASSES])
         return cls(kind=kind, fitted=(RandomForestClassificationModel if kind == "forest" else LogisticRegressionModel).load(path))
 
     def importances(self, names: list[str], most: int = 20) -> list[tuple[str, float]]:
         """The features that the trees gain most from; of boosted trees, the mean of the classes."""
+        if self.kind == "softmax":
+            return self.fitted.importances(names, most)
         fitted = self.fitted if self.kind == "boosted" else [self.fitted]
         gains = sum(m.featureImportances.toArray() for m in fitted) / len(fitted)
         return sorted(zip(names, gains.tolist()), key=lambda x: -x[1])[:most]

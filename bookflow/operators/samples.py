@@ -46,10 +46,12 @@ def mean_move(rows: DataFrame, column: str = "price_diff") -> DataFrame:
     return rows.agg(F.coalesce(F.avg(F.abs(F.col(column))), F.lit(0.0)).alias("mean_move"))
 
 
-def profit_weights(rows: DataFrame, base: float = 1.0, alpha: float = 1.0, low: float = 0.5, high: float = 3.0, label: str = "label", column: str = "price_diff") -> DataFrame:
-    """Class weight times a clipped weight of the move; both tables that are joined have at most three rows."""
-    weights = class_weights(rows, label).select(F.col("label").alias(label), F.col("weight").alias("class_weight"))
-    joined = rows.join(F.broadcast(weights), label, "left").crossJoin(F.broadcast(mean_move(rows, column)))
+def profit_weights(rows: DataFrame, base: float = 1.0, alpha: float = 1.0, low: float = 0.5, high: float = 3.0, label: str = "label", column: str = "price_diff", training: DataFrame | None = None) -> DataFrame:
+    """Class weight times a clipped weight of the move; both tables that are joined have at most three rows. Counts and the mean
+    move are those of ``training``, if other rows are weighted along."""
+    known = rows if training is None else training
+    weights = class_weights(known, label).select(F.col("label").alias(label), F.col("weight").alias("class_weight"))
+    joined = rows.join(F.broadcast(weights), label, "left").crossJoin(F.broadcast(mean_move(known, column)))
     scaled = clip(f"{base!r} + {alpha!r} * abs({column}) / (mean_move + 1e-10)", low, high)
     return joined.withColumn("weight", F.expr(f"{scaled} * coalesce(class_weight, 1D)"))
 

@@ -9,7 +9,7 @@ from bookflow.operators import candles, features_main, model, profile, samples
 from bookflow.operators.ewm import alpha_of
 from bookflow.plans.book import book
 from bookflow.queries_features import portable, shown
-from bookflow.runtime import shared_folder
+from bookflow.runtime import scratch
 from bookflow.schema import HORIZONS
 from bookflow.sources import sinks
 from bookflow.streaming import live
@@ -40,7 +40,7 @@ def storage_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and moves of all ticks, written and read back, against the same made anew."""
     keys = ["sym", "date", "session", "row_nr"]
     rows = samples.with_targets(features_main.CATALOGUE.needed(NAMES).apply(book(spark, sf_dir))).select(*keys, *NAMES, *(f"price_diff_{h}" for h in HORIZONS))
-    path = f"{shared_folder(spark, 'storage')}/features"
+    path = f"{scratch(spark, 'storage')}/features"
     sinks.write_features(rows, path)
     return profile.compare_tables(rows, spark.read.parquet(path), keys)
 
@@ -62,7 +62,7 @@ def _run(writer, folder: str) -> None:
 
 def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candles of 30 minutes, updated batch by batch: each batch's changed candles are a folder, the last one of a candle holds."""
-    folder = shared_folder(spark, "stream-candles")
+    folder = scratch(spark, "stream-candles")
     keep = lambda changed, batch: changed.write.mode("overwrite").parquet(f"{folder}/candles/batch={batch}")
     _run(live.candles(_stream(spark, sf_dir), "30 minutes", "1 hour").writeStream.outputMode("update").foreachBatch(keep), folder)
     columns = ["open", "high", "low", "close", "volume"]
@@ -72,7 +72,7 @@ def stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive averages of each event's value by user, from state of fixed size."""
-    folder = shared_folder(spark, "stream-smoothed")
+    folder = scratch(spark, "stream-smoothed")
     _run(live.smoothed(_stream(spark, sf_dir), {"ema_5": 5.0, "ema_20": 20.0}).writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows"), folder)
     return spark.read.parquet(f"{folder}/rows").selectExpr("sym", "row_nr", *(f"{shown(c)} AS {c}" for c in ("ema_5", "ema_20")))
 

@@ -27,14 +27,33 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that isn't set, a local one, under a local master only."""
+def home(spark: SparkSession) -> str:
+    """The folder that holds all scratch folders of this application, under ``spark.checkpoint.dir``.
+
+    Where that isn't set (tests, a laptop) a local folder is used, but only under a local master.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/bookflow-scratch"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/bookflow-{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """The name of a fresh folder in :func:`home`, the one place that driver and executors share."""
+    return f"{home(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that owns it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch folders of this application. Results that haven't been written elsewhere are gone with them."""
+    remove(spark, home(spark))
 
 
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
