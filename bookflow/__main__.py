@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.exprs import seconds
-from bookflow.operators import binned, boosting, candles, evaluate, features_main, features_tabular, profile, samples, signals, vector
-from bookflow.operators.model import PRESETS, THRESHOLDS, DirectionModel
+from bookflow.operators import binned, boosting, candles, evaluate, features_main, features_tabular, lone, profile, samples, signals, vector
+from bookflow.operators.model import PRESETS, THRESHOLDS, DirectionModel, predict
 from bookflow.runtime import ship
 from bookflow.schema import ASIZES, BSIZES, HORIZONS, LABELS, RAW
 from bookflow.sources import sinks, snapshots
@@ -58,7 +58,7 @@ def eda(spark: SparkSession, a: argparse.Namespace) -> None:
         }
         for name, df in reports.items():
             sinks.write_csv(df, f"{a.out}/{name}")
-        spark.createDataFrame([(sinks.to_markdown("Quality of snapshots", reports),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/summary")
+        sinks.write_text(spark, sinks.to_markdown("Quality of snapshots", reports), f"{a.out}/summary")
     finally:
         ticks.unpersist()
 
@@ -148,7 +148,10 @@ def train_one(rows: DataFrame, a: argparse.Namespace, horizon: int, out: str) ->
         chosen = THRESHOLDS[horizon] if a.metric == "default" else evaluate.best(sweep, a.metric, "threshold").first().threshold
         at = scored.withColumn("signal", signals.threshold_rule(F.col("down"), F.col("flat"), F.col("up"), F.lit(float(chosen))))
         sinks.write_csv(evaluate.confusion(at.withColumn("split", F.lit("val")), "split"), f"{out}/confusion")
-        sinks.write_csv(evaluate.class_report(at), f"{out}/report")
+        report = evaluate.class_report(at)
+        sinks.write_csv(report, f"{out}/report")
+        sinks.write_text(rows.sparkSession, json.dumps({"horizon": horizon, "threshold": chosen, "metric": a.metric}), f"{out}/threshold")
+        sinks.write_text(rows.sparkSession, evaluate.report_text(f"label_{horizon}", chosen, report, evaluate.confusion(at)), f"{out}/report_text")
         if a.ratios:
             sinks.write_csv(evaluate.best(evaluate.ratio_grid(scored), "f05", "down_ratio", "up_ratio"), f"{out}/ratio_best")
     finally:
@@ -165,6 +168,27 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
     sinks.write_csv(evaluate.confusion_diff(ours, theirs, "label", "split").orderBy("label", "split"), a.out)
 
 
+def predicted(ticks: DataFrame, wanted: DataFrame, a: argparse.Namespace) -> DataFrame:
+    """The wanted ticks' signals of all horizons: a model and a threshold each, from the last ``window`` ticks alone (or, with
+    ``--features session``, from all the ticks of the session before)."""
+    spark = ticks.sparkSession
+    if a.features == "lone":
+        vectors = lone.window_vectors(ticks, a.window)
+    else:
+        vectors = vector.pyramid(features_main.features(ticks), features_main.FEATURES)
+    samples_ = vectors.select("sym", "date", "session", "row_nr", F.col("vector").alias("features")).join(wanted, ["sym", "date", "session", "row_nr"], "left_semi")
+    models = {h: DirectionModel.load(f"{a.model}/{h}/model", a.kind) for h in HORIZONS}
+    thresholds = {h: a.threshold if a.threshold is not None else saved_threshold(spark, f"{a.model}/{h}", THRESHOLDS[h]) for h in HORIZONS}
+    return predict(samples_, models, thresholds)
+
+
+def saved_threshold(spark: SparkSession, run: str, default: float) -> float:
+    """What ``train`` chose."""
+    if not sinks.is_complete(spark, f"{run}/threshold"):
+        return default
+    return json.loads(spark.read.text(f"{run}/threshold").first()["value"])["threshold"]
+
+
 def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
     ticks = ticks_of(spark, a.data)
     files = snapshots.catalogue(spark, a.data)
@@ -178,14 +202,14 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> None:
         earlier = snapshots.read_signals(spark, a.signals).withColumnsRenamed({"pred": "signal", "actual": "y_true", "row_idx": "row_nr"})
         done = earlier.join(chosen, "source_file", "left_semi").withColumns({c: F.col(c).cast("int") for c in ("horizon", "signal", "y_true", "row_nr")} | {"price_diff": F.col("price_diff").cast("double")})
         return write_analysis(done, ticks, a)
-    rows = samples.endpoints(samples.with_targets(ticks).drop("local_idx"), a.window, max(HORIZONS), a.stride)
+    rows = samples.endpoints(samples.with_targets(ticks).drop("local_idx"), a.window, max(HORIZONS), a.stride, a.max_windows)
     horizon = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.coalesce(F.col(f"label_{h}").cast("int"), F.lit(1)).alias("y_true"), F.col(f"price_diff_{h}").alias("price_diff")) for h in HORIZONS)))
     long = rows.select("source_file", "sym", "date", "session", "row_nr", "time", F.col("n_midprice").alias("entry_mid"), horizon.alias("h")).select("source_file", "sym", "date", "session", "row_nr", "time", "entry_mid", "h.*")
     if a.mode == "model":
-        featured = vector.pyramid(features_main.features(ticks), features_main.FEATURES).select("sym", "date", "session", "row_nr", F.col("vector").alias("features"))
-        scored = DirectionModel.load(a.model, a.kind).score(featured)
-        rule = signals.threshold_rule(F.col("down"), F.col("flat"), F.col("up"), F.lit(a.threshold))
-        long = long.join(scored.select("sym", "date", "session", "row_nr", rule.alias("signal")), ["sym", "date", "session", "row_nr"])
+        keys = ["sym", "date", "session", "row_nr"]
+        called = predicted(ticks, rows.select(*keys), a)
+        signal = F.create_map(*(x for h in HORIZONS for x in (F.lit(h), F.col(f"signal_{h}"))))
+        long = long.join(called.select(*keys, signal.alias("signals")), keys).withColumn("signal", F.element_at("signals", F.col("horizon"))).drop("signals")
     else:
         long = long.withColumn("signal", F.col("y_true"))
     done = long.withColumns({"exit_mid": F.col("entry_mid") + F.col("price_diff"), "pnl": signals.pnl(F.col("signal"), F.col("price_diff")), "correct": F.col("signal") == F.col("y_true")})
@@ -199,6 +223,8 @@ def write_analysis(done: DataFrame, ticks: DataFrame, a: argparse.Namespace) ->
     fall = evaluate.drawdown(trades, ["horizon"], ["row_nr"])
     sinks.write_csv(evaluate.signal_summary(done).join(fall, "horizon", "left").orderBy("horizon"), f"{a.out}/summary")
     candles.numbered(candles.candles(ticks, a.candle_seconds)).write.mode("overwrite").parquet(f"{a.out}/candles")
+    drawn = candles.thinned(trades.drop("stretch"), a.max_markers, ("source_file", "horizon"))
+    candles.of_rows(drawn, ticks.sparkSession.read.parquet(f"{a.out}/candles")).write.mode("overwrite").parquet(f"{a.out}/markers")
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -223,7 +249,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     softmax = (("--param-preset", sorted(boosting.PRESETS), "previous_code"), ("--class-weights", ["preset", "on", "off"], "preset"), ("--rounds", int, 2000), ("--patience", int, 100), ("--save-every", int, 250), ("--max-bin", int, 256), ("--reuse-store", bool, False), ("--resume", bool, False))
     command("train", train, horizon, *softmax, ("--kind", KINDS, "forest"), ("--preset", sorted(PRESETS), "fast"), ("--metric", ["default", "f05", "total_pnl", "avg_pnl", "official_score_est"], "official_score_est"), ("--ratios", bool, False), ("--profit-weight", bool, False), ("--profit-base", float, 1.0), ("--profit-alpha", float, 1.0), ("--profit-min", float, 0.5), ("--profit-max", float, 3.0))
     command("compare", compare, ("--reference", str, None))
-    command("analyze", analyze, ("--mode", ["label", "model", "signals"], "label"), ("--model", str, None), ("--kind", KINDS, "forest"), ("--signals", str, None), ("--threshold", float, 0.88), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
+    command("analyze", analyze, ("--mode", ["label", "model", "signals"], "label"), ("--model", str, None), ("--kind", KINDS, "forest"), ("--signals", str, None), ("--threshold", float, None), ("--features", ["lone", "session"], "lone"), ("--max-windows", int, None), ("--max-markers", int, 250), ("--sym", int, None), ("--first-date", int, None), ("--last-date", int, None), ("--session", ["am", "pm"], None), ("--max-files", int, None), ("--window", int, 100), ("--stride", int, 1), ("--candle-seconds", int, 30))
     given = parser.parse_args(arguments)
     spark = spark or SparkSession.builder.appName("bookflow").getOrCreate()
     ship(spark)

@@ -42,3 +42,18 @@ def long_enough(found: DataFrame, least: int = 5, keys: tuple[str, ...] = GROUP)
 def approximate_candle(interval: int = 30, ticks_a_candle: int = 3) -> str:
     """The older place of a tick's marker: it takes a tick to last ``ticks_a_candle`` seconds, whatever the times say."""
     return f"CAST(floor((row_nr - 1) / greatest({interval} DIV {ticks_a_candle}, 1)) AS INT)"
+
+
+def of_rows(rows: DataFrame, found: DataFrame, width: int = 4096, keys: tuple[str, ...] = GROUP, row: str = "row_nr") -> DataFrame:
+    """Rows with ``candle_idx``, the candle whose first to last row hold them: of several the last one, NULL without any.
+
+    An interval join by stretches of ``width`` rows: a candle is met in each stretch that it reaches into, so a row is compared
+    with the candles around it only, and a group's rows spread over tasks.
+    """
+    start, end = F.floor(F.col("row_start") / width), F.floor(F.col("row_end") / width)
+    reach = found.select(*keys, F.explode(F.sequence(start, end)).alias("__stretch"), "row_start", "row_end", F.col("candle_idx").alias("__candle"))
+    at = F.col(row) - 1
+    ours = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__stretch", F.floor(at / width))
+    met = ours.join(reach, [*keys, "__stretch"], "left").withColumn("__candle", F.when(at.between(F.col("row_start"), F.col("row_end")), F.col("__candle")))
+    grouped = met.groupBy(*keys, "__stretch", "__row").agg(*(F.first(c).alias(c) for c in rows.columns if c not in keys), F.max("__candle").alias("candle_idx"))
+    return grouped.select(*rows.columns, "candle_idx")

@@ -6,16 +6,16 @@ the handful of settings and aggregates in the same task, so that only one row fo
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookflow.operators import signals
-from bookflow.operators.quantile import exact_percentiles
+from bookflow.operators.quantile import exact_percentiles, top_values
 
 #: Fixed value: mean PnL that the official score takes off.
 BASELINE = 0.0004
-#: Ranges of values in which a cut is looked for.
-RANGES = 256
 
 
 def f05(precision: Column, recall: Column) -> Column:
@@ -116,6 +116,19 @@ def class_report(rows: DataFrame) -> DataFrame:
     return c.select(F.explode(F.array(*rows_out)).alias("r")).select("r.*")
 
 
+def report_text(title: str, threshold: float, report: DataFrame, cells: DataFrame) -> str:
+    """A class report and a confusion matrix (a row a class each) as plain text."""
+    names = {"0": "down", "1": "flat", "2": "up"}
+    by_name = {r["name"]: r for r in report.collect()}
+    count = {(r["y_true"], r["signal"]): r["n"] for r in cells.collect()}
+    out = [f"{title}, threshold {threshold:g}", "", f"{'':>10}{'precision':>11}{'recall':>11}{'f1':>11}{'support':>11}"]
+    for name in ("0", "1", "2", "macro", "weighted"):
+        r = by_name[name]
+        out.append(f"{names.get(name, name):>10}{r['precision']:>11.4f}{r['recall']:>11.4f}{r['f1']:>11.4f}{r['support']:>11.0f}")
+    out += ["", f"accuracy {by_name['accuracy']['precision']:.4f}", "", f"{'true':>10}" + "".join(f"{n:>11}" for n in names.values())]
+    return "\n".join(out + [f"{n:>10}" + "".join(f"{count.get((t, p), 0):>11}" for p in range(3)) for t, n in enumerate(names.values())]) + "\n"
+
+
 def direction_purity(rows: DataFrame) -> DataFrame:
     """Of the signals on real moves, the part with the right direction; NULL without any."""
     moved = F.col("signal").isin(0, 2) & F.col("y_true").isin(0, 2)
@@ -148,26 +161,11 @@ def pnl_stats(rows: DataFrame, column: str = "pnl") -> DataFrame:
 
 
 def top_percent(rows: DataFrame, percent: float, side: str = "signal", column: str = "pnl") -> DataFrame:
-    """The best percent of trades (one at least) by side, and over all sides.
-
-    No side is sorted in one task: approximate quantiles cut it into ``RANGES`` ranges of values, whose exact counts say
-    which range holds the cut. Ranges over it count in full; only the values of the range at the cut are put in order, and
-    trades at the cut's value count as often as there is room.
-    """
-    both = rows.select(F.col(side).cast("string").alias("side"), F.col(column).alias("pnl")).unionAll(rows.select(F.lit("all").alias("side"), F.col(column).alias("pnl")))
-    cuts = both.groupBy("side").agg(F.percentile_approx("pnl", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("cuts"))  # a row a side
-    cuts = cuts.withColumnRenamed("side", "of")
-    ranged = both.join(F.broadcast(cuts), F.col("side").eqNullSafe(F.col("of"))).select("side", "pnl", F.size(F.filter("cuts", lambda c: c < F.col("pnl"))).alias("range"))
-    counts = ranged.groupBy("side", "range", "pnl").agg(F.count(F.lit(1)).alias("times"))
-    sizes = counts.groupBy("side", "range").agg(F.sum("times").alias("held"))
-    down = Window.partitionBy("side").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.greatest(F.floor(F.sum("held").over(Window.partitionBy("side")) * percent / 100), F.lit(1))
-    placed = sizes.withColumn("room", wanted - F.coalesce(F.sum("held").over(down), F.lit(0))).filter("room > 0").select(F.col("side").alias("s"), F.col("range").alias("r"), "room", "held")  # RANGES rows a side
-    found = counts.join(F.broadcast(placed), F.col("side").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    over = found.filter("held <= room").select("side", "pnl", F.col("times").alias("taken"))
-    order = Window.partitionBy("side").orderBy(F.desc("pnl")).rowsBetween(Window.unboundedPreceding, -1)
-    at = found.filter("held > room").withColumn("taken", F.least(F.col("times"), F.col("room") - F.coalesce(F.sum("times").over(order), F.lit(0)))).filter("taken > 0").select("side", "pnl", "taken")
-    return over.unionAll(at).groupBy("side").agg(F.sum("taken").alias("trades"), (F.sum(F.col("pnl") * F.col("taken")) / F.sum("taken")).alias("mean"), F.sum(F.col("pnl") * F.col("taken")).alias("total"), F.min("pnl").alias("low"), F.max("pnl").alias("high"))
+    """The best percent of trades (one at least) by side, and over all sides (``all``); see :func:`quantile.top_values`."""
+    both = rows.select(F.explode(F.array(F.col(side).cast("string"), F.lit("all"))).alias("side"), F.col(column).alias("pnl"))
+    found = top_values(both, "side", "pnl", lambda n: max(math.floor(n * percent / 100), 1))
+    out = [(r["side"], r["taken"], r["total"] / r["taken"], r["total"], r["low"], r["high"]) for r in found]
+    return rows.sparkSession.createDataFrame(out, "side string, trades long, mean double, total double, low double, high double")
 
 
 def drawdown(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

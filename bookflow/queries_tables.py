@@ -228,7 +228,24 @@ _candle = "sym, date, session, bucket, row_start, row_end, ticks, " + ", ".join(
 over_book("candles_30m", lambda t: candles.numbered(rounded(candles.candles(t, 1800), {"volume": 2})).selectExpr(*(c for c in ("sym", "date", "session", "bucket", "row_start", "row_end", "ticks", "volume", "candle_idx")), *(f"{shown(c)} AS {c}" for c in ("open", "high", "low", "close"))), f", c AS ({CANDLE_SQL.format(s=1800)}) SELECT {_candle}, CAST(row_number() OVER (PARTITION BY sym, date, session ORDER BY bucket) - 1 AS INT) AS candle_idx FROM c")
 over_book("candles_by_rows", lambda t: candles.candles(t.withColumn("tod", F.lit(0)), 10).selectExpr("sym", "date", "session", "bucket", "row_start", "row_end", f"{shown('open')} AS open", f"{shown('close')} AS close"), f"SELECT sym, date, session, CAST(floor((row_nr - 1) / 10) AS BIGINT) AS bucket, CAST(min(row_nr) - 1 AS INT) AS row_start, CAST(max(row_nr) - 1 AS INT) AS row_end, {shown('arg_min(n_midprice, row_nr)')} AS open, {shown('arg_max(n_midprice, row_nr)')} AS close FROM book GROUP BY 1, 2, 3, 4")
 over_book("candle_markers", lambda t: candles.thinned(t, 25).select("sym", "date", "session", "row_nr"), ", k AS (SELECT *, row_nr - 1 AS place, count(*) OVER (PARTITION BY sym, date, session) AS n FROM book) SELECT sym, date, session, row_nr FROM k WHERE place % greatest(CAST(ceil(n / 25) AS INT), 1) = 0 AND floor(place / greatest(CAST(ceil(n / 25) AS INT), 1)) < 25")
-over_book("candle_of_row", lambda t: t.selectExpr("sym", "date", "session", "row_nr", "CAST(floor((row_nr - 1) / 10) AS INT) AS marker_candle"), "SELECT sym, date, session, row_nr, CAST(floor((row_nr - 1) / 10) AS INT) AS marker_candle FROM book")
+def _by_time(t: DataFrame) -> DataFrame:
+    """Ticks numbered by their times, as the rows of candles are."""
+    return t.selectExpr("* EXCEPT (row_nr)", "CAST(row_number() OVER (PARTITION BY sym, date, session ORDER BY tod, row_nr) AS INT) AS row_nr")
+
+
+def _candle_of_row(t: DataFrame) -> DataFrame:
+    rows = _by_time(t)
+    return candles.of_rows(rows.select("sym", "date", "session", "row_nr", "tod"), candles.numbered(candles.candles(rows, 1800)))
+
+
+over_book(
+    "candle_of_row",
+    _candle_of_row,
+    ", t AS (SELECT sym, date, session, tod, CAST(row_number() OVER (PARTITION BY sym, date, session ORDER BY tod, row_nr) AS INT) AS row_nr FROM book), "
+    "b AS (SELECT sym, date, session, CAST(floor(tod / 1800) AS BIGINT) AS bucket, min(row_nr) - 1 AS row_start, max(row_nr) - 1 AS row_end FROM t GROUP BY ALL), "
+    "c AS (SELECT *, CAST(row_number() OVER (PARTITION BY sym, date, session ORDER BY bucket) - 1 AS INT) AS candle_idx FROM b) "
+    "SELECT t.sym, t.date, t.session, t.row_nr, t.tod, c.candle_idx FROM t LEFT JOIN c ON t.sym = c.sym AND t.date = c.date AND t.session = c.session AND t.row_nr - 1 BETWEEN c.row_start AND c.row_end",
+)
 over_book("candle_of_row_approximate", lambda t: t.selectExpr("sym", "date", "session", "row_nr", f"{candles.approximate_candle(30)} AS marker_candle"), "SELECT sym, date, session, row_nr, CAST(floor((row_nr - 1) / 10) AS INT) AS marker_candle FROM book")
 over_book(
     "candles_of_long_groups",

@@ -30,6 +30,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text as one file."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def to_json(df: DataFrame, most: int = 10_000) -> str:
     """A small result (settings, metrics) as JSON text; more than ``most`` rows is an error, not a cut."""
     rows = df.limit(most + 1).collect()

@@ -91,3 +91,38 @@ def test_analyze_takes_its_filters_seriously(spark, data, tmp_path):
     for source in (data, str(tmp_path / "ticks")):
         with pytest.raises(SystemExit):
             main(["analyze", source, str(tmp_path / "c"), "--sym", "7"], spark)
+
+
+def test_analyze_with_five_models(spark, data, tmp_path):
+    """Each horizon's signals are its own model's, by its own threshold, from lone windows."""
+    from bookflow.operators import lone, samples, signals, vector
+    from bookflow.operators import features_main
+    from bookflow.__main__ import ticks_of
+    from bookflow.operators.model import DirectionModel
+
+    main(["samples", data, str(tmp_path / "samples"), "--val-start-date", "1"], spark)
+    rows = spark.read.parquet(str(tmp_path / "samples"))
+    for h, bias in zip((5, 10, 20, 40, 60), (0, 1, 2, 0, 2)):  # unlike models: another feature and another class each
+        x = F.element_at("features", 5 + h)
+        labelled = rows.withColumns({"label": F.when(F.col("row_nr") % 3 == 0, F.lit(float(bias))).when(x > 20, 2.0).otherwise(1.0), "weight": F.lit(1.0)})
+        DirectionModel(kind="forest", options={"numTrees": 3, "maxDepth": 3}, seed=h).fit(labelled).save(f"{tmp_path}/run/{h}/model")
+    (tmp_path / "run" / "5" / "threshold").mkdir(parents=True)
+    from bookflow.sources import sinks
+
+    sinks.write_text(spark, json.dumps({"threshold": 0.31}), f"{tmp_path}/run/5/threshold")
+    main(["analyze", data, str(tmp_path / "out"), "--mode", "model", "--model", str(tmp_path / "run"), "--stride", "7", "--max-windows", "2", "--max-markers", "1"], spark)
+    got = {(int(r.sym), int(r.date), int(r.session), int(r.row_nr), int(r.horizon)): int(r.signal) for r in csv(spark, f"{tmp_path}/out/signals")}
+    ticks = ticks_of(spark, data)
+    copies = samples.lone_windows(ticks, 100, 1)
+    vectors = vector.pyramid(features_main.features(copies), features_main.FEATURES).filter("row_nr = 100").selectExpr("sym", "date", "window_end + 1 AS row_nr", "CAST(floor(session / 1099511627776L) AS INT) AS session", "vector AS features")
+    vectors = vectors.filter("row_nr IN (100, 107)").persist()
+    want = {}
+    for h, threshold in {5: 0.31, 10: 0.82, 20: 0.78, 40: 0.70, 60: 0.65}.items():
+        scored = DirectionModel.load(f"{tmp_path}/run/{h}/model").score(vectors)
+        rule = signals.threshold_rule(F.col("down"), F.col("flat"), F.col("up"), F.lit(threshold))
+        want |= {(r.sym, r.date, r.session, r.row_nr, h): r.signal for r in scored.select("sym", "date", "session", "row_nr", rule.alias("signal")).collect()}
+    assert got == want and len(got) == 4 * 2 * 5 and len({tuple(got[k[:4] + (h,)] for k in sorted(got) if k[4] == h) for h in (5, 10, 20, 40, 60)}) > 1
+    marks = spark.read.parquet(f"{tmp_path}/out/markers").collect()
+    assert all(r.candle_idx == (r.row_nr - 1) // 30 for r in marks)  # a tick a second, candles of 30
+    alone = lone.window_vectors(ticks).count()
+    assert alone == 4 * 81
