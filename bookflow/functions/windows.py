@@ -5,11 +5,16 @@ A tick's window is its (sym, date, session); ``row_nr`` is the order of ticks in
 
 from __future__ import annotations
 
+import re
+
 from bookflow.functions.exprs import div
 from bookflow.schema import GROUP
 
 OVER = f"PARTITION BY {', '.join(GROUP)} ORDER BY row_nr"
 
+#: A call over such a window: function, arguments, what is before the frame, the frame's start and, unless it ends here, its end.
+CALL = re.compile(r"\b(\w+)\(((?:[^()]|\([^()]*\))*)\) OVER \(([^()]*?ORDER BY row_nr)(?: ROWS BETWEEN (\d+) PRECEDING AND (?:(\d+) PRECEDING|CURRENT ROW))?\)")
+
 
 def frame(k: int) -> str:
     """The last k ticks, this one included."""

@@ -26,8 +26,6 @@ from bookflow.operators.vector import RECENT, SUMMARY
 from bookflow.plans.staged import Catalogue
 from bookflow.schema import EPS, GROUP, RAW
 
-CALL = re.compile(r"\b(\w+)\(((?:[^()]|\([^()]*\))*)\) OVER \(([^()]*?ORDER BY row_nr)(?: ROWS BETWEEN (\d+) PRECEDING AND (?:(\d+) PRECEDING|CURRENT ROW))?\)")
-
 #: Fixed value: ticks of the stochastic oscillator's frame.
 STOCHASTIC = 9
 
@@ -46,7 +44,7 @@ def limited(expression: str, ticks: int) -> str:
         to = f"{end} PRECEDING" if end else "CURRENT ROW"
         return f"{function}({inside}) OVER ({over} ROWS BETWEEN {min(int(start), ticks - 1)} PRECEDING AND {to})"
 
-    return CALL.sub(cut, expression)
+    return w.CALL.sub(cut, expression)
 
 
 class Average:

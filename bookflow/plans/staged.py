@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from bookflow.schema import GROUP
+
 
 @dataclass
 class Catalogue:
@@ -29,9 +31,21 @@ class Catalogue:
     def names(self) -> list[str]:
         return [n for s in self.stages for n, _ in s]
 
-    def apply(self, df: DataFrame) -> DataFrame:
-        for stage in self.stages:
-            df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in stage))
+    def apply(self, df: DataFrame, outputs: list[str] | None = None) -> DataFrame:
+        """A stage with long or many moving frames takes them from :mod:`bookflow.operators.rolling`, others from Spark. Where the
+        ``outputs`` are named, other columns may go before rows pass through Arrow."""
+        from bookflow.operators import rolling
+
+        for k, stage in enumerate(self.stages):
+            replaced, calls = rolling.calls_of(stage)
+            if calls and rolling.worth(calls):
+                if outputs is not None:
+                    used = {*outputs, *GROUP, "row_nr"} | {word for later in self.stages[k:] for _, e in later for word in re.findall(r"[a-z_][a-z_0-9]*", e)}
+                    df = df.select(*(c for c in df.columns if c in used))
+                columns = df.columns
+                df = rolling.add(df, calls).selectExpr(*columns, *(f"{e} AS {n}" for n, e in replaced))
+            else:
+                df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in stage))
         return df
 
     def ctes(self, source: str) -> tuple[list[str], str]:

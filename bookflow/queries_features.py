@@ -44,7 +44,7 @@ def query(name: str, catalogue: Catalogue, outputs: list[str], long: bool = Fals
     columns = [*KEYS, *(f"{shown(wide(c) if c in large else c)} AS {c}" for c in outputs)]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = part.apply(book(spark, sf_dir, long, centred))
+        rows = part.apply(book(spark, sf_dir, long, centred), [*KEYS, *outputs, *([] if where is None else re.findall(r"[a-z_][a-z_0-9]*", where))])
         return (rows.filter(where) if where else rows).selectExpr(*columns)
 
     ctes, last = part.ctes("book")
