@@ -2,17 +2,27 @@
 
 A grouped map runs once over each group in row order. A group is one instrument's session, so it fits in a task. Missing
 values: the mean decays through them and is renormalised when the next value comes.
+
+Where groups may be of any length, :func:`scan` cuts them into stretches that spread over all tasks. One stretch turns the mean
+at its start into that at its end by an affine map, whatever the values in it; so every stretch is first reduced to its map (a
+row), the maps of a group's stretches are composed in order, and each stretch runs again from its own start.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bookflow.functions import windows as w
 from bookflow.schema import GROUP
 
+#: Ticks of a stretch.
+STRETCH = 100_000
+
 
 def alpha_of(span: float) -> float:
     return 2.0 / (span + 1.0)
@@ -91,3 +101,83 @@ def _with_columns(ticks: DataFrame, added: list[tuple]) -> DataFrame:
         return table
 
     return ticks.groupBy(*GROUP).applyInArrow(run, schema)
+
+
+def reduced(x: np.ndarray, alpha: float) -> tuple[int, float | None, float, float, int]:
+    """A stretch as (missing values before the first one, that value, slope, offset, missing values after the last one): the mean
+    at the last value is slope times the mean at the first one, plus offset."""
+    at = np.flatnonzero(~np.isnan(x))
+    if not len(at):
+        return len(x), None, 1.0, 0.0, len(x)
+    # What is left of the mean before each further value: it has decayed once, and once more for each missing value.
+    old = (1 - alpha) ** np.diff(at)
+    keeps, gains = old / (old + alpha) if len(at) < len(x) else old, alpha / (old + alpha) if len(at) < len(x) else np.full(len(old), alpha)
+    after = np.append(np.cumprod(keeps[::-1])[::-1], 1.0)  # what later values leave of each one
+    return int(at[0]), float(x[at[0]]), float(after[0]), float((gains * x[at[1:]] * after[1:]).sum()), int(len(x) - 1 - at[-1])
+
+
+def resumed(x: np.ndarray, alpha: float, y: float, gap: int) -> np.ndarray:
+    """The means of a stretch from the mean before it and the missing values since; NaN: there is no value yet."""
+    if np.isnan(y):
+        return ewm(x, alpha)
+    return ewm(np.concatenate([[y], np.full(gap, np.nan), x]), alpha)[1 + gap :]
+
+
+def starts(maps: pd.DataFrame, alphas: dict[str, float]) -> pd.DataFrame:
+    """For each stretch of a group the mean and the missing values before it, from the maps in order."""
+    out = maps[[*GROUP, "stretch"]].copy()
+    for name, alpha in alphas.items():
+        y, gap, before = np.nan, 0, []
+        for lead, first, slope, offset, tail, size in maps[[f"{f}_{name}" for f in ("lead", "first", "slope", "offset", "tail")] + ["size"]].itertuples(index=False):
+            before.append((y, gap))
+            if np.isnan(first):
+                gap += 0 if np.isnan(y) else size
+                continue
+            old = (1 - alpha) ** (gap + lead + 1)
+            y = slope * (first if np.isnan(y) else (old * y + alpha * first) / (old + alpha)) + offset
+            gap = tail
+        out[f"y_{name}"], out[f"gap_{name}"] = [b[0] for b in before], [b[1] for b in before]
+    return out
+
+
+def scan(ticks: DataFrame, column: str, alphas: dict[str, float], stretch: int | None = None) -> DataFrame:
+    """As :func:`smooth`, for groups of any length: stretches of ticks in parallel, a row for each of them in between."""
+    size = stretch or STRETCH
+    rows = ticks.selectExpr("*", f"CAST(floor({w.row_index()} / {size}) AS BIGINT) AS __stretch").repartition(*GROUP, "__stretch")
+    fields = [T.StructField(g, ticks.schema[g].dataType) for g in GROUP]
+    shapes = [T.StructField("stretch", T.LongType()), T.StructField("size", T.LongType())]
+    parts = (("lead", T.LongType()), ("first", T.DoubleType()), ("slope", T.DoubleType()), ("offset", T.DoubleType()), ("tail", T.LongType()))
+    shapes += [T.StructField(f"{part}_{name}", kind) for name in alphas for part, kind in parts]
+
+    def reduce_(table: pa.Table) -> pa.Table:
+        x = table.sort_by("row_nr").column(column).to_pandas().to_numpy(float)
+        out = {g: [table.column(g)[0].as_py()] for g in GROUP} | {"stretch": [table.column("__stretch")[0].as_py()], "size": [len(x)]}
+        for name, alpha in alphas.items():
+            out |= {f"{part}_{name}": [v] for (part, _), v in zip(parts, reduced(x, alpha))}
+        return pa.Table.from_pydict(out, schema=_arrow(T.StructType(fields + shapes)))
+
+    def compose(maps: pd.DataFrame) -> pd.DataFrame:
+        return starts(maps.sort_values("stretch"), alphas)
+
+    begun = T.StructType([*fields, T.StructField("stretch", T.LongType()), *(T.StructField(f"{part}_{name}", kind) for name in alphas for part, kind in (("y", T.DoubleType()), ("gap", T.LongType())))])
+    maps = rows.select(*GROUP, "__stretch", "row_nr", column).groupBy(*GROUP, "__stretch").applyInArrow(reduce_, T.StructType(fields + shapes))
+    before = maps.groupBy(*GROUP).applyInPandas(compose, begun).withColumnRenamed("stretch", "__stretch")
+    joined = rows.join(before, [*GROUP, "__stretch"])
+    kept = ticks.columns
+
+    def replay(table: pa.Table) -> pa.Table:
+        table = table.sort_by("row_nr")
+        x, out = table.column(column).to_pandas().to_numpy(float), table.select(kept)
+        for name, alpha in alphas.items():
+            y, gap = table.column(f"y_{name}")[0].as_py(), table.column(f"gap_{name}")[0].as_py()
+            out = out.append_column(name, pa.array(resumed(x, alpha, np.nan if y is None else y, gap or 0), from_pandas=True))
+        return out
+
+    schema = T.StructType(ticks.schema.fields + [T.StructField(n, T.DoubleType()) for n in alphas])
+    return joined.groupBy(*GROUP, "__stretch").applyInArrow(replay, schema)
+
+
+def _arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)

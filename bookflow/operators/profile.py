@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,10 +150,37 @@ def clipped(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each pair, over rows that have both."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    row = df.agg(*(F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs))
-    return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs))).alias("r")).select("r.*")
+    """Pearson correlation of each pair, over rows that have both; NULL where a column doesn't vary among them.
+
+    A task adds up products of its rows as matrices (X'X and the like, with a matrix of which values are known), a row for each
+    column and task is summed, and the pairs are made from the sums: nothing but matrices of ``columns`` squared, however many
+    rows. Values are taken about the columns' means, so that no digits are lost.
+    """
+    width = len(columns)
+    centre = df.agg(*(F.coalesce(F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))), F.lit(0.0)).alias(f"m{k}") for k, c in enumerate(columns))).first()
+    means = np.array([float(v) for v in centre])
+
+    def sums(batches):
+        n, x1, x2, xy = (np.zeros((width, width)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_pandas().to_numpy(float) for c in batch.columns]) - means
+            known = (~np.isnan(x)).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            n += known.T @ known
+            x1 += x.T @ known  # sums of the row's column where the other is known too
+            x2 += (x * x).T @ known
+            xy += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(width), width)), pa.array(np.tile(np.arange(width), width)), *(pa.array(v.ravel()) for v in (n, x1, x2, xy))], names=["i", "j", "n", "x1", "x2", "xy"])
+
+    parts = df.select(*(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns))).mapInArrow(sums, "i long, j long, n double, x1 double, x2 double, xy double")
+    total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x1", "x2", "xy")))
+    other = total.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+    pairs = df.sparkSession.range(width * width).select(F.floor(F.col("id") / width).alias("i"), (F.col("id") % width).alias("j")).filter("i < j")
+    both = pairs.join(total.join(other, ["i", "j"]), ["i", "j"], "left")
+    spread = lambda s1, s2: F.col(s2) - F.col(s1) * F.col(s1) / F.col("n")
+    product = spread("x1", "x2") * spread("y1", "y2")
+    name = F.array(*(F.lit(c) for c in columns))
+    return both.select(name[F.col("i").cast("int")].alias("a"), name[F.col("j").cast("int")].alias("b"), F.when((F.col("n") > 1) & (product > 0), (F.col("xy") - F.col("x1") * F.col("y1") / F.col("n")) / F.sqrt(F.when(product > 0, product))).alias("corr"))
 
 
 def missing_combinations(df: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

@@ -134,7 +134,7 @@ _recursive("ofi_ema", ["ofi_ema_5", "ofi_ema_10"], [[(f"ofi_ema_{k}", _fold("ofi
 
 
 def _ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ewm.smooth(book(spark, sf_dir).select(*KEYS, "n_midprice"), "n_midprice", {"ewm_5": ewm.alpha_of(5)}).selectExpr(*KEYS, f"{shown('ewm_5')} AS ewm_5")
+    return ewm.scan(book(spark, sf_dir).select(*KEYS, "n_midprice"), "n_midprice", {"ewm_5": ewm.alpha_of(5)}).selectExpr(*KEYS, f"{shown('ewm_5')} AS ewm_5")
 
 
 QUERIES["ewm"] = _ewm

@@ -46,8 +46,11 @@ def smoothed(ticks: DataFrame, spans: dict[str, float], column: str = "n_midpric
     return ticks.groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def windowed_predictions(ticks: DataFrame, predict: Callable[[np.ndarray], int], columns: list[str], length: int = 100, key: str = "sym") -> DataFrame:
-    """A prediction for each tick that completes a window: the state is a ring of the last ``length`` ticks."""
+def windowed_predictions(ticks: DataFrame, predict: Callable[[np.ndarray], np.ndarray], columns: list[str], length: int = 100, key: str = "sym", at_once: int = 256) -> DataFrame:
+    """A prediction for each tick that completes a window: the state is a ring of the last ``length`` ticks.
+
+    ``predict`` takes up to ``at_once`` windows, (windows, length, columns), views of the ticks in order, and gives a signal each.
+    """
     out = T.StructType([T.StructField(key, T.LongType()), T.StructField("row_nr", T.LongType()), T.StructField("signal", T.IntegerType())])
     kept = T.StructType([T.StructField("ring", T.ArrayType(T.DoubleType()))])
 
@@ -55,8 +58,12 @@ def windowed_predictions(ticks: DataFrame, predict: Callable[[np.ndarray], int],
         held = np.array(state.get[0] if state.exists else [], float).reshape(-1, len(columns))
         found = pd.concat(list(frames)).sort_values("row_nr")
         rows = np.concatenate([held, found[columns].to_numpy(float)])
-        out_rows = [(k[0], int(nr), int(predict(rows[len(held) + i + 1 - length : len(held) + i + 1]))) for i, nr in enumerate(found["row_nr"]) if len(held) + i + 1 >= length]
-        state.update((rows[-(length - 1) :].ravel().tolist(),))
-        yield pd.DataFrame(out_rows, columns=[key, "row_nr", "signal"])
+        signals = np.empty(0, np.int32)
+        if len(rows) >= length:
+            windows = np.lib.stride_tricks.sliding_window_view(rows, length, axis=0).transpose(0, 2, 1)
+            signals = np.concatenate([np.asarray(predict(windows[a : a + at_once])) for a in range(0, len(windows), at_once)])
+        ends = found["row_nr"].to_numpy()[len(found) - len(signals) :]
+        state.update((rows[len(rows) - min(length - 1, len(rows)) :].ravel().tolist(),))
+        yield pd.DataFrame({key: k[0], "row_nr": ends, "signal": signals.astype(np.int32)})
 
     return ticks.groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)

@@ -90,7 +90,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.row_nr.tolist() == batch.row_nr.tolist()
     expected = batch.groupby("sym").n_midprice.transform(lambda x: x.ewm(span=5, adjust=False).mean())
     assert abs(got.a.to_numpy() - expected.to_numpy()).max() < 1e-12
-    found = run(live.windowed_predictions(stream, lambda x: int(x.sum()) % 3, ["n_midprice"], 4), "predicted")
+    found = run(live.windowed_predictions(stream, lambda x: x.sum(axis=(1, 2)).astype(int) % 3, ["n_midprice"], 4), "predicted")
     assert len(found) == 60 - 2 * 3
     candles = run(live.candles(stream, "60 seconds", "10 seconds"), "candles", "complete")
     assert candles.volume.sum() == 60
