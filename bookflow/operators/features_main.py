@@ -7,6 +7,8 @@ constant-size window form.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 
 from bookflow.functions import windows as w
@@ -147,6 +149,21 @@ FEATURES = (
 )
 
 
+def available(columns: list[str]) -> list[str]:
+    """The features, in order, that can be made from these raw columns; ``n_midprice`` and ``total_imbalance`` must be among them."""
+    lacking = set(RAW) - set(columns)
+    needs = {name: set(re.findall(r"[a-z_][a-z_0-9]*", e)) for stage in CATALOGUE.stages for name, e in stage}
+    needs |= {n: {seed} for names, seed in ((RECURSIVE[:3], "n_midprice"), (RECURSIVE[3:6], "rsv"), (RECURSIVE[6:], "ofi_1")) for n in names}
+
+    def known(name: str) -> bool:
+        return name not in lacking and all(known(n) for n in needs.get(name, ()) if n != name)
+
+    found = [f for f in FEATURES if known(f)]
+    if not {"n_midprice", "total_imbalance"} <= set(found):
+        raise ValueError("n_midprice and total_imbalance must be available")
+    return found
+
+
 def features(ticks: DataFrame) -> DataFrame:
     """All 182 features, cleaned (what isn't a number is 0) and cast to float last. ``ticks`` keeps its key columns."""
     from bookflow.operators.ewm import recursive_features

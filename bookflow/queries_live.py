@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookflow.operators import candles, features_main, model, profile, samples
+from bookflow.operators import binned, boosting, candles, features_main, model, profile, samples, signals
 from bookflow.operators.ewm import alpha_of
 from bookflow.plans.book import book
 from bookflow.queries_features import portable, shown
@@ -36,6 +36,21 @@ def batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.predict(rows, models, THRESHOLDS).select("sym", "date", "session", "row_nr", *(f"signal_{h}" for h in HORIZONS))
 
 
+def softmax_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax boosting for the 20-tick move: trained from a binned store on all ticks before ``FIRST_VALIDATION``, ended by the loss
+    over all later ones, applied to all ticks."""
+    rows = samples.with_targets(features_main.CATALOGUE.needed(NAMES).apply(book(spark, sf_dir)))
+    move = F.col("price_diff_20")
+    label = F.when(move < 0, 0).when(move > 0, 2).otherwise(1)
+    made = rows.select("sym", "date", "session", "row_nr", F.array(*(F.col(n).cast("float") for n in NAMES)).alias("features"), label.alias("label"), move.alias("price_diff"), (F.col("date") >= FIRST_VALIDATION).alias("validation"))
+    path = scratch(spark, "softmax")
+    store = binned.write(made, f"{path}/store")
+    options = boosting.Options(**boosting.PRESETS["previous_code"] | {"rounds": 8, "depth": 4, "rate": 0.2, "columns": 0.8})
+    scored = boosting.Booster(options).fit(store, f"{path}/rounds").score(made.drop("price_diff", "validation"))
+    rule = signals.threshold_rule(F.col("down"), F.col("flat"), F.col("up"), F.lit(0.4))
+    return scored.select("sym", "date", "session", "row_nr", rule.alias("signal"))
+
+
 def storage_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and moves of all ticks, written and read back, against the same made anew."""
     keys = ["sym", "date", "session", "row_nr"]
@@ -90,7 +105,7 @@ def _fold(span: float) -> str:
     return f"list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), lambda y, v: {1 - a!r} * y + {a!r} * v)"
 
 
-QUERIES = {"batch_predict": batch_predict, "storage_consistency": storage_consistency, "stream_candles": stream_candles, "stream_smoothed": stream_smoothed, "events_candles": events_candles}
+QUERIES = {"batch_predict": batch_predict, "softmax_predict": softmax_predict, "storage_consistency": storage_consistency, "stream_candles": stream_candles, "stream_smoothed": stream_smoothed, "events_candles": events_candles}
 ORACLE_SQL = {
     "storage_consistency": "SELECT c AS \"column\", count(*) AS equal, CAST(0 AS BIGINT) AS different, CAST(0 AS BIGINT) AS only_ours, CAST(0 AS BIGINT) AS only_theirs FROM lineitem, "
     f"(SELECT unnest({[*NAMES, *(f'price_diff_{h}' for h in HORIZONS)]}) AS c) GROUP BY c",

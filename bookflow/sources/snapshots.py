@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,23 +68,80 @@ def missing(files: DataFrame, syms: int = 10, dates: int = 79) -> DataFrame:
     return gone.withColumn("expected_file_name", F.format_string("snapshot_sym%d_date%d_%s.csv", "sym_id", "date_id", "session"))
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(path, row, line) of every line that isn't empty, counted from 0 in its file, and (path, line) of the first ones.
+
+    Files are read in splits by many tasks. A task counts a split's lines as they come; what the splits before it hold is a sum
+    over one row a split. No line is shuffled or waits for its file's other lines.
+    """
+    text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.rtrim(F.col("value"), F.lit("\r")).alias("line")).filter("line <> ''")
+
+    def count(batches):
+        last, n = None, 0
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            paths_, blocks = batch.column(0), batch.column(1)
+            new = np.ones(rows, bool)
+            new[1:] = ~pc.and_(pc.equal(paths_[1:], paths_[:-1]), pc.equal(blocks[1:], blocks[:-1])).to_numpy(zero_copy_only=False)
+            first = (paths_[0].as_py(), blocks[0].as_py())
+            if first == last:  # the split goes on from the batch before
+                new[0] = False
+            at = np.flatnonzero(new)
+            begin = np.zeros(rows, np.int64)
+            begin[at] = at
+            begin = np.maximum.accumulate(begin)
+            place = np.arange(rows) - begin + np.where(np.cumsum(new) == 0, n, 0)
+            last, n = (paths_[rows - 1].as_py(), blocks[rows - 1].as_py()), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([paths_, blocks, pa.array(place), batch.column(2)], names=["path", "block", "place", "line"])
+
+    lines = text.mapInArrow(count, "path string, block long, place long, line string")
+    splits = lines.groupBy("path", "block").agg(F.count(F.lit(1)).alias("held"), F.min_by("line", "place").alias("first"))
+    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("path", "block", "first", F.coalesce(F.sum("held").over(order), F.lit(0)).alias("before"))
+    found = lines.join(before.drop("first"), ["path", "block"]).select("path", (F.col("before") + F.col("place")).alias("row"), "line")
+    return found, before.filter("before = 0").select("path", F.col("first").alias("line"))
+
+
+def cells(line: Column) -> Column:
+    """A line's cells, without white space and quotes around them; a comma inside quotes doesn't part cells."""
+    quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    plain = F.split(line, ",")
+    bare = lambda c: F.trim(c)
+    whole = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')
+    return F.when(line.contains('"'), F.transform(quoted, whole)).otherwise(F.transform(plain, bare))
+
+
+def heads(first: DataFrame) -> DataFrame:
+    """(path, head): the names in files' first lines; ``label5`` is read as ``label_5``."""
+    return first.select("path", F.transform(cells(F.col("line")), lambda c: F.regexp_replace(c, r"^label(\d+)$", "label_$1")).alias("head"))
+
+
 def read(spark: SparkSession, paths: str | list[str], schema: T.StructType = SNAPSHOT) -> DataFrame:
-    """Rows of snapshot files by column name, tagged with their file, in file order (``row_nr``).
+    """Rows of snapshot files by column name, tagged with their file, in file order (``row_nr``), however large a file is.
 
-    Files are taken whole, so the row number needs no shuffle of rows: it is counted within each file. Columns are matched
-    by each file's header, absent ones are NULL; malformed numbers and NaN become NULL; ``label5`` is read as ``label_5``.
+    Columns are matched by each file's header, absent ones are NULL; malformed numbers and NaN become NULL.
     """
     names = [f.name for f in schema.fields]
-    text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = text.select("path", F.filter(F.split("value", r"\r?\n"), lambda x: x != "").alias("lines")).filter(F.size("lines") > 0)
-    headed = lines.select("path", F.transform(F.split(F.element_at("lines", 1), ","), lambda c: F.regexp_replace(F.trim(c), r"^label(\d+)$", "label_$1")).alias("head"), F.posexplode("lines").alias("row_nr", "line")).filter("row_nr > 0")
-    cells = headed.withColumn("cells", F.split("line", ","))
+    lines, first = numbered_lines(spark, paths)
+    rows = lines.filter("row > 0").join(heads(first), "path").select("path", "head", F.col("row").cast("int").alias("row_nr"), cells(F.col("line")).alias("cells"))
     cell = lambda n: F.get("cells", F.array_position("head", n).cast("int") - 1)
-    values = cells.select(*parsed(F.col("path")), F.col("row_nr").cast("int").alias("row_nr"), *(F.when(F.array_contains("head", n), F.nullif(F.trim(cell(n)), F.lit(""))).alias(n) for n in names))
+    values = rows.select(*parsed(F.col("path")), "row_nr", *(F.when(F.array_contains("head", n), F.nullif(cell(n), F.lit(""))).alias(n) for n in names))
     typed = values.select("source_file", "sym_id", "date_id", F.col("session").alias("session_name"), F.col("session_nr").alias("session"), "row_nr", *(F.expr(known(n)).alias(n) if f.dataType == T.DoubleType() else F.expr(f"try_cast({n} AS {f.dataType.simpleString()})").alias(n) for n, f in zip(names, schema.fields)))
     return typed.withColumns({"date": F.coalesce("date", F.lit(0)), "sym": F.coalesce("sym", F.lit(0))})
 
 
+def sample_columns(spark: SparkSession, folder: str, rows: int = 400) -> list[str]:
+    """The columns that the first ``rows`` rows of the first file, in order, have values in."""
+    first = catalogue(spark, folder).filter("sym_id IS NOT NULL AND length > 0").limit(1).collect()
+    if not first:
+        raise ValueError(f"no snapshot files in {folder}")
+    names = [f.name for f in SNAPSHOT.fields]
+    head = read(spark, first[0]["path"]).filter(F.col("row_nr") <= rows).agg(*(F.count(n).alias(n) for n in names)).first()
+    return [n for n in names if head[n]]
+
+
 def read_statuses(spark: SparkSession, folder: str) -> DataFrame:
     """Rows read from each file; an empty file has 0."""
     files = catalogue(spark, folder).select("path", "source_file", "length")
@@ -91,8 +151,7 @@ def read_statuses(spark: SparkSession, folder: str) -> DataFrame:
 
 def field_completeness(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
     """By file: expected columns that its header lacks, and columns beyond them."""
-    text = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    head = text.select(*parsed(F.col("path"))[:1], F.transform(F.split(F.element_at(F.split("value", r"\r?\n"), 1), ","), F.trim).alias("head"))
+    head = numbered_lines(spark, folder)[1].select(*parsed(F.col("path"))[:1], cells(F.col("line")).alias("head"))
     wanted = F.array(*(F.lit(c) for c in expected))
     return head.select("source_file", F.array_except(wanted, "head").alias("missing"), F.array_except("head", wanted).alias("extra"))
 
@@ -108,8 +167,7 @@ def missing_field_groups(df: DataFrame) -> list[str]:
 
 def missing_field_groups_by_file(spark: SparkSession, folder: str) -> DataFrame:
     """The same by file, from its header; an empty file lacks all of them."""
-    text = spark.read.text(folder, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    head = text.select(*parsed(F.col("path"))[:1], F.transform(F.split(F.element_at(F.split("value", r"\r?\n"), 1), ","), lambda c: F.regexp_replace(F.trim(c), r"^label(\d+)$", "label_$1")).alias("head"))
+    head = heads(numbered_lines(spark, folder)[1]).select(*parsed(F.col("path"))[:1], "head")
     lacking = [F.when(~F.arrays_overlap("head", F.array(*(F.lit(c) for c in columns))), g) for g, columns in field_groups().items()]
     found = head.select("source_file", F.array_compact(F.array(*lacking)).alias("missing_groups"))
     empty = catalogue(spark, folder).filter("length = 0").select("source_file", F.array(*(F.lit(g) for g in field_groups())).alias("missing_groups"))

@@ -43,4 +43,11 @@ def test_query_equals_sql(spark, engine, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLE_SQL) <= {"batch_predict"}
+    assert set(QUERIES) - set(ORACLE_SQL) <= {"batch_predict", "softmax_predict"}
+
+
+def test_softmax_predict_covers_every_tick(spark, engine):
+    """Trained by what tests/test_boosting.py compares with plain trees; here: a signal for each tick, all of them."""
+    got = QUERIES["softmax_predict"](spark, DATA).toPandas()
+    assert len(got) == engine.execute("SELECT count(*) FROM lineitem").fetchone()[0] == len(got.drop_duplicates(["sym", "date", "session", "row_nr"]))
+    assert set(got["signal"]) <= {0, 1, 2} and len(set(got["signal"])) > 1

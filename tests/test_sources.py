@@ -102,3 +102,45 @@ def test_model(spark):
         fitted = model.DirectionModel(kind=kind, options={"numTrees": 5} if kind == "forest" else {"maxIter": 20}).fit(rows)
         scored = model.predict(rows, {5: fitted}, {5: 0.4})
         assert scored.filter("signal_5 = label").count() > 280
+
+
+def test_a_large_file_is_read_by_many_tasks_in_order(spark, tmp_path):
+    """Splits far smaller than the file, empty lines, quotes and two files: rows are numbered as in the files."""
+    from bookflow.schema import RAW
+
+    head = ["date", "time", "sym", "label5", *RAW]
+    for sym, rows in ((1, 700), (2, 3), (3, 0)):
+        lines = [",".join(head)]
+        for k in range(rows):
+            cells = [0, f"09:30:{k % 60:02d}", sym, k % 3, *(k + j for j in range(len(RAW)))]
+            lines.append(",".join(f'"{c}"' if k % 5 == 0 else f" {c} " if k % 7 == 0 else str(c) for c in cells))
+            lines += [""] * (k % 4 == 0)
+        (tmp_path / f"snapshot_sym{sym}_date0_am.csv").write_text("\r\n".join(lines) + "\r\n")
+    (tmp_path / "snapshot_sym4_date0_am.csv").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = snapshots.read(spark, str(tmp_path))
+        got = {(r.sym, r.row_nr): (r.time, r.label_5, r.n_close, r.n_asize5) for r in found.collect()}
+        text = spark.read.text(str(tmp_path))
+        assert text.rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(s, k + 1): (f"09:30:{k % 60:02d}", float(k % 3), float(k), float(k + len(RAW) - 1)) for s, n in ((1, 700), (2, 3)) for k in range(n)}
+    assert got == want
+    assert {(r.source_file[12], r["rows"]) for r in snapshots.read_statuses(spark, str(tmp_path)).collect()} == {("1", 700), ("2", 3), ("3", 0), ("4", 0)}
+
+
+def test_what_a_sample_of_rows_offers(spark, tmp_path):
+    from bookflow.operators import features_main
+    from bookflow.schema import RAW
+
+    names = [c for c in RAW if c != "n_bsize2"]
+    lines = [",".join(["time", "sym", *names])] + [",".join(["09:30:00", "0", *("" if c == "n_ask4" and k < 400 else "1.5" for c in names)]) for k in range(410)]
+    (tmp_path / "snapshot_sym0_date0_am.csv").write_text("\n".join(lines))
+    columns = snapshots.sample_columns(spark, str(tmp_path))
+    assert set(columns) == {"time", "sym", "date", *names} - {"n_ask4"}
+    found = features_main.available([*columns, "n_bsize2", "n_ask4"])
+    assert found == features_main.FEATURES
+    with pytest.raises(ValueError):  # the total imbalance needs every size
+        features_main.available(columns)
+    assert "ask3_mean" not in features_main.available([c for c in RAW if c != "n_ask3"])
