@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bookflow.runtime import clear, home, remove, scratch
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, the one place that driver and executors share.
-
-    Where that setting is absent (tests, a laptop) a local folder is used, but only under a local master. All scratch
-    folders of an application lie in one, which :func:`clear` deletes.
-    """
-    return f"{home(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def home(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}/bookflow-scratch"
-    return f"{base.rstrip('/')}/bookflow-{spark.sparkContext.applicationId}"
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all scratch folders of this application. Results that haven't been written elsewhere are gone with them."""
-    remove(spark, home(spark))
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder through the file system that owns it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["clear", "folders", "home", "materialize", "remove", "scratch", "table", "text_or_empty"]
 
 
 def folders(spark: SparkSession, path: str) -> list[str]:
