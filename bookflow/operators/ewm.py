@@ -141,9 +141,10 @@ def starts(maps: pd.DataFrame, alphas: dict[str, float]) -> pd.DataFrame:
 
 
 def scan(ticks: DataFrame, column: str, alphas: dict[str, float], stretch: int | None = None) -> DataFrame:
-    """As :func:`smooth`, for groups of any length: stretches of ticks in parallel, a row for each of them in between."""
+    """As :func:`smooth`, for groups of any length: stretches of ticks in parallel, a row for each of them in between. Groups of
+    one stretch have nothing to compose."""
     size = stretch or STRETCH
-    rows = ticks.selectExpr("*", f"CAST(floor({w.row_index()} / {size}) AS BIGINT) AS __stretch").repartition(*GROUP, "__stretch")
+    rows = ticks.selectExpr("*", f"CAST(floor({w.row_index()} / {size}) AS BIGINT) AS __stretch", f"count(*) OVER (PARTITION BY {', '.join(GROUP)}) > {size} AS __long").repartition(*GROUP, "__stretch")
     fields = [T.StructField(g, ticks.schema[g].dataType) for g in GROUP]
     shapes = [T.StructField("stretch", T.LongType()), T.StructField("size", T.LongType())]
     parts = (("lead", T.LongType()), ("first", T.DoubleType()), ("slope", T.DoubleType()), ("offset", T.DoubleType()), ("tail", T.LongType()))
@@ -160,9 +161,9 @@ def scan(ticks: DataFrame, column: str, alphas: dict[str, float], stretch: int |
         return starts(maps.sort_values("stretch"), alphas)
 
     begun = T.StructType([*fields, T.StructField("stretch", T.LongType()), *(T.StructField(f"{part}_{name}", kind) for name in alphas for part, kind in (("y", T.DoubleType()), ("gap", T.LongType())))])
-    maps = rows.select(*GROUP, "__stretch", "row_nr", column).groupBy(*GROUP, "__stretch").applyInArrow(reduce_, T.StructType(fields + shapes))
+    maps = rows.filter("__long").select(*GROUP, "__stretch", "row_nr", column).groupBy(*GROUP, "__stretch").applyInArrow(reduce_, T.StructType(fields + shapes))
     before = maps.groupBy(*GROUP).applyInPandas(compose, begun).withColumnRenamed("stretch", "__stretch")
-    joined = rows.join(before, [*GROUP, "__stretch"])
+    joined = rows.join(before, [*GROUP, "__stretch"], "left")
     kept = ticks.columns
 
     def replay(table: pa.Table) -> pa.Table:
