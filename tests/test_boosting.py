@@ -108,7 +108,7 @@ def test_rounds_equal_plain_trees(store):
 
 def test_stops_and_resumes_to_the_same_trees(spark, store, tmp_path, monkeypatch):
     made, df = store
-    o = Options(rounds=24, patience=6, depth=3, rate=0.5, least_hessian=5, lasso=0, save_every=5, seed=3)
+    o = Options(rounds=12, patience=6, depth=2, rate=0.5, least_hessian=5, lasso=0, save_every=5, seed=3)
     whole = Booster(o).fit(made)
     Booster(o).fit(made, f"{tmp_path}/state", stop_after=8)
     assert boosting.saved_rounds(spark, f"{tmp_path}/state") == [5]

@@ -45,8 +45,8 @@ def brute(rows, percent):
     return out
 
 
-@pytest.mark.parametrize("ordered", [2, 50, 100_000])
-@pytest.mark.parametrize("percent", [0.01, 5.0, 61.8, 100.0])
+@pytest.mark.parametrize("ordered", [2, 100_000])
+@pytest.mark.parametrize("percent", [0.01, 61.8, 100.0])
 def test_top_percent(spark, monkeypatch, ordered, percent):
     monkeypatch.setattr(quantile, "ORDERED", ordered)
     rng = np.random.default_rng(int(percent * 10) + ordered)
