@@ -14,6 +14,9 @@ from bookflow.schema import LABELS, RAW, SNAPSHOT
 
 #: Fixed value: the name of a snapshot file.
 NAME = r"snapshot_sym(\d+)_date(\d+)_(am|pm)\.csv$"
+#: A comma outside quotes, and a quoted cell.
+COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+QUOTED = '^"(.*)"$'
 
 
 def parsed(path: Column) -> list[Column]:
@@ -106,10 +109,10 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> tuple[DataFra
 
 def cells(line: Column) -> Column:
     """A line's cells, without white space and quotes around them; a comma inside quotes doesn't part cells."""
-    quoted = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    quoted = F.split(line, COMMA)
     plain = F.split(line, ",")
     bare = lambda c: F.trim(c)
-    whole = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"')
+    whole = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), QUOTED, "$1"), '""', '"')
     return F.when(line.contains('"'), F.transform(quoted, whole)).otherwise(F.transform(plain, bare))
 
 
@@ -128,8 +131,14 @@ def read(spark: SparkSession, paths: str | list[str], schema: T.StructType = SNA
     rows = lines.filter("row > 0").join(heads(first), "path").select("path", "head", F.col("row").cast("int").alias("row_nr"), cells(F.col("line")).alias("cells"))
     cell = lambda n: F.get("cells", F.array_position("head", n).cast("int") - 1)
     values = rows.select(*parsed(F.col("path")), "row_nr", *(F.when(F.array_contains("head", n), F.nullif(cell(n), F.lit(""))).alias(n) for n in names))
-    typed = values.select("source_file", "sym_id", "date_id", F.col("session").alias("session_name"), F.col("session_nr").alias("session"), "row_nr", *(F.expr(known(n)).alias(n) if f.dataType == T.DoubleType() else F.expr(f"try_cast({n} AS {f.dataType.simpleString()})").alias(n) for n, f in zip(names, schema.fields)))
-    return typed.withColumns({"date": F.coalesce("date", F.lit(0)), "sym": F.coalesce("sym", F.lit(0))})
+    return typed(values, schema)
+
+
+def typed(values: DataFrame, schema: T.StructType) -> DataFrame:
+    """Cells of ``schema`` as numbers, with their file's tags; what can't be read is NULL, a missing day or instrument 0."""
+    names = [f.name for f in schema.fields]
+    rows = values.select("source_file", "sym_id", "date_id", F.col("session").alias("session_name"), F.col("session_nr").alias("session"), "row_nr", *(F.expr(known(n)).alias(n) if f.dataType == T.DoubleType() else F.expr(f"try_cast({n} AS {f.dataType.simpleString()})").alias(n) for n, f in zip(names, schema.fields)))
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("date", "sym") if c in names})
 
 
 def sample_columns(spark: SparkSession, folder: str, rows: int = 400) -> list[str]:
