@@ -1,15 +1,18 @@
 """Exponentially weighted means, y = a*x + (1-a)*y, started at the first value.
 
-A grouped map runs once over each group in row order. A group is one instrument's session, so it fits in a task. Missing
-values: the mean decays through them and is renormalised when the next value comes.
+Sorted rows stream through in batches of many short groups or of parts of a long one; of the group that a batch leaves open only
+the last means are kept, so no group is ever whole in memory. Missing values: the mean decays through them and is renormalised
+when the next value comes.
 
-Where groups may be of any length, :func:`scan` cuts them into stretches that spread over all tasks. One stretch turns the mean
+Where one group may be too long for one task, :func:`scan` cuts them into stretches that spread over all tasks. One stretch turns the mean
 at its start into that at its end by an affine map, whatever the values in it; so every stretch is first reduced to its map (a
 row), the maps of a group's stretches are composed in order, and each stretch runs again from its own start.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bookflow.functions import windows as w
+from bookflow.operators.rolling import in_order
 from bookflow.schema import GROUP
 
 #: Ticks of a stretch.
@@ -29,39 +33,41 @@ def alpha_of(span: float) -> float:
 
 
 def ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    x = np.asarray(x, float)
-    if np.isnan(x).any():
-        return _ewm_with_gaps(x, alpha)
-    kept, out = 1 - alpha, x.tolist()
-    for k in range(1, len(out)):
-        out[k] = kept * out[k - 1] + alpha * out[k]
-    return np.array(out)
+    return walked(x, alpha)[0]
 
 
-def _ewm_with_gaps(x: np.ndarray, alpha: float) -> np.ndarray:
-    out = np.empty(len(x))
-    y, old = np.nan, 1.0
-    for k, v in enumerate(x.tolist()):
-        if np.isnan(y):
+def walked(x: np.ndarray, alpha: float, y: float = np.nan, old: float = 1.0) -> tuple[np.ndarray, float]:
+    """The means that follow a mean ``y`` (NaN: there is none yet) of which missing values have left ``old``, and what is left of the
+    last one. Walking on from the last mean gives what walking the whole column at once does."""
+    x = np.asarray(x, float)
+    kept, out = 1 - alpha, x.tolist()
+    if old == 1.0 and not np.isnan(x).any():
+        for k, v in enumerate(out):
+            if y == y:
+                v = kept * y + alpha * v
+            out[k] = y = v
+        return np.array(out), 1.0
+    for k, v in enumerate(out):
+        if y != y:
             y, old = v, 1.0
+        elif v != v:
+            old *= kept
         else:
-            old *= 1 - alpha
-            if not np.isnan(v):
-                y, old = (old * y + alpha * v) / (old + alpha), 1.0
+            y, old = (kept * y + alpha * v if old == 1.0 else (old * kept * y + alpha * v) / (old * kept + alpha)), 1.0
         out[k] = y
-    return out
+    return np.array(out), old
 
 
-#: (name, function of a group's columns), in order; spans and weights are fixed values.
+#: (name, function of the columns at hand), in order; spans and weights are fixed values.
 RECURSIONS = (
-    ("macd_dif", lambda d: ewm(d["n_midprice"], alpha_of(12)) - ewm(d["n_midprice"], alpha_of(26))),
-    ("macd_dea", lambda d: ewm(d["macd_dif"], alpha_of(9))),
+    ("macd_dif", lambda d: d.mean("n_midprice", alpha_of(12)) - d.mean("n_midprice", alpha_of(26))),
+    ("macd_dea", lambda d: d.mean("macd_dif", alpha_of(9))),
     ("macd_bar", lambda d: d["macd_dif"] - d["macd_dea"]),
-    ("kdj_k", lambda d: ewm(d["rsv"], 1 / 3)),
-    ("kdj_d", lambda d: ewm(d["kdj_k"], 1 / 3)),
+    ("kdj_k", lambda d: d.mean("rsv", 1 / 3)),
+    ("kdj_d", lambda d: d.mean("kdj_k", 1 / 3)),
     ("kdj_j", lambda d: 3 * d["kdj_k"] - 2 * d["kdj_d"]),
-    ("ofi_ema_5", lambda d: ewm(d["ofi_1"], alpha_of(5))),
-    ("ofi_ema_10", lambda d: ewm(d["ofi_1"], alpha_of(10))),
+    ("ofi_ema_5", lambda d: d.mean("ofi_1", alpha_of(5))),
+    ("ofi_ema_10", lambda d: d.mean("ofi_1", alpha_of(10))),
 )
 
 
@@ -73,34 +79,57 @@ def recursive_features(ticks: DataFrame, names: list[str] | None = None) -> Data
 
 def smooth(ticks: DataFrame, column: str, alphas: dict[str, float]) -> DataFrame:
     """Means of one column by name and weight, one pass over each group."""
-    return _with_columns(ticks, [(name, lambda d, a=alpha: ewm(d[column], a)) for name, alpha in alphas.items()])
+    return _with_columns(ticks, [(name, lambda d, a=alpha: d.mean(column, a)) for name, alpha in alphas.items()])
 
 
-class _Columns(dict):
-    """A group's columns as arrays, converted when they are asked for."""
+class _Walk(dict):
+    """Columns of the batch at hand as arrays, converted when they are asked for, and means over them by group. Of the group that a
+    batch leaves open, the last means are kept for the next one."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self):
         super().__init__()
-        self.table = table
+        self.last: dict[tuple[str, float], tuple[float, float]] = {}
+
+    def take(self, batch: pa.RecordBatch, place: np.ndarray) -> None:
+        self.clear()
+        self.batch, self.edges = batch, [0, *(np.flatnonzero(place[1:] == 0) + 1).tolist(), len(place)]
+        if not place[0]:
+            self.last = {}
 
     def __missing__(self, name: str) -> np.ndarray:
-        self[name] = self.table.column(name).to_pandas().to_numpy(float)
+        self[name] = self.batch.column(name).to_pandas().to_numpy(float)
         return self[name]
 
+    def mean(self, name: str, alpha: float) -> np.ndarray:
+        x, (y, old) = self[name], self.last.get((name, alpha), (np.nan, 1.0))
+        parts = []
+        for a, b in pairwise(self.edges):
+            part, old = walked(x[a:b], alpha, y if not a else np.nan, old if not a else 1.0)
+            parts.append(part)
+        self.last[name, alpha] = float(part[-1]), old
+        return np.concatenate(parts)
+
 
 def _with_columns(ticks: DataFrame, added: list[tuple]) -> DataFrame:
-    """Add columns that are functions of a whole group in row order. Other columns pass through as Arrow data, unconverted."""
+    """Add columns that are means along each group in row order. Other columns pass through as Arrow data, unconverted."""
     schema = T.StructType(ticks.schema.fields + [T.StructField(n, T.DoubleType()) for n, _ in added])
+    # Numbering the rows deals and sorts them by group; what follows takes them as they come.
+    rows = ticks.selectExpr("*", f"{w.row_index()} AS __at")
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row_nr")
-        columns = _Columns(table)
-        for name, function in added:
-            columns[name] = function(columns)
-            table = table.append_column(name, pa.array(columns[name], from_pandas=True))
-        return table
+    def run(batches):
+        walk, last = _Walk(), -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = in_order(batch.column(batch.num_columns - 1).to_numpy(), last)
+            walk.take(batch, place)
+            for name, function in added:
+                walk[name] = function(walk)
+            columns = [*batch.columns[:-1], *(pa.array(walk[n], pa.float64(), from_pandas=True) for n, _ in added)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(n for n, _ in added)])
+            last = place[-1]
 
-    return ticks.groupBy(*GROUP).applyInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def reduced(x: np.ndarray, alpha: float) -> tuple[int, float | None, float, float, int]:
@@ -118,9 +147,7 @@ def reduced(x: np.ndarray, alpha: float) -> tuple[int, float | None, float, floa
 
 def resumed(x: np.ndarray, alpha: float, y: float, gap: int) -> np.ndarray:
     """The means of a stretch from the mean before it and the missing values since; NaN: there is no value yet."""
-    if np.isnan(y):
-        return ewm(x, alpha)
-    return ewm(np.concatenate([[y], np.full(gap, np.nan), x]), alpha)[1 + gap :]
+    return walked(x, alpha, y, (1 - alpha) ** gap)[0]
 
 
 def starts(maps: pd.DataFrame, alphas: dict[str, float]) -> pd.DataFrame:

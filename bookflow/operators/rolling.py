@@ -139,6 +139,13 @@ def moving(function: str, x: np.ndarray, layout: Layout, shift: int = 0) -> np.n
     return np.where(layout.place >= shift, moved, 0.0 if function == "count" else np.nan)
 
 
+def in_order(place: np.ndarray, last: int) -> np.ndarray:
+    """Rows' places in their groups, which follow the last one before them or begin a group."""
+    if ((place != 0) & (place != np.r_[last, place[:-1]] + 1)).any():
+        raise ValueError("rows aren't in the order of their groups")
+    return place
+
+
 def add(ticks: DataFrame, calls: dict[str, Call]) -> DataFrame:
     """Ticks with the named moving windows as columns."""
     reach = max(size + shift for _, _, size, shift in calls.values())
@@ -153,10 +160,7 @@ def add(ticks: DataFrame, calls: dict[str, Call]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            place = batch.column(batch.num_columns - 1).to_numpy()
-            before = np.r_[last, place[:-1]]
-            if ((place != 0) & (place != before + 1)).any():
-                raise ValueError("rows aren't in the order of their groups")
+            place = in_order(batch.column(batch.num_columns - 1).to_numpy(), last)
             held = len(next(iter(halo.values()))) if place[0] else 0  # rows before the batch, of the group that goes on
             columns = {n: np.concatenate([halo[n][len(halo[n]) - held :], batch.column(kept + k).to_pandas().to_numpy(float)]) for k, n in enumerate(arguments.values())}
             starts = np.unique(np.r_[0, held + np.flatnonzero(place == 0)])

@@ -28,6 +28,35 @@ def test_stretches_compose_to_the_whole(values, size, alpha):
     assert np.allclose(got, ewm.ewm(x, alpha), rtol=1e-9, atol=1e-9, equal_nan=True)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.floats(-100, 100), st.just(float("nan"))), min_size=1, max_size=60), st.integers(1, 17), st.sampled_from([1.0, 0.5, 1 / 3, 2 / 27]))
+def test_walking_on_equals_one_walk(values, size, alpha):
+    x, got, y, old = np.array(values), [], np.nan, 1.0
+    for a in range(0, len(x), size):
+        part, old = ewm.walked(x[a : a + size], alpha, y, old)
+        y = part[-1]
+        got.append(part)
+    assert np.array_equal(np.concatenate(got), ewm.ewm(x, alpha), equal_nan=True)
+    if alpha < 1:
+        assert np.allclose(ewm.ewm(x, alpha), pd.Series(x).ewm(alpha=alpha, adjust=False).mean(), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_recursive_features_dont_depend_on_batches(spark):
+    """Groups longer and shorter than a batch, gaps at their edges, columns that pass through, the same digits."""
+    ticks = book(spark, DATA, long=True).select("sym", "date", "session", "row_nr", F.expr("CASE WHEN row_nr % 13 > 2 AND row_nr NOT BETWEEN 40 AND 70 THEN n_midprice END").alias("n_midprice"), F.lit("t").alias("tag"), F.col("n_bid1").alias("rsv"), F.col("n_bsize1").alias("ofi_1"))
+    found = {}
+    for batch in (7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            found[batch] = ewm.recursive_features(ticks).toPandas().sort_values(["sym", "date", "session", "row_nr"]).reset_index(drop=True)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pd.testing.assert_frame_equal(found[7], found[10_000], check_exact=True)
+    want = found[7].groupby(["sym", "date", "session"]).n_midprice.transform(lambda x: x.ewm(span=12, adjust=False).mean() - x.ewm(span=26, adjust=False).mean())
+    assert np.allclose(found[7].macd_dif, want, equal_nan=True) and (found[7].tag == "t").all()
+    assert ewm.recursive_features(ticks.filter("false")).count() == 0
+
+
 @pytest.mark.parametrize("stretch", [7, 1000])
 def test_scan_equals_one_pass(spark, stretch):
     ticks = book(spark, DATA, long=True).select("sym", "date", "session", "row_nr", F.expr("CASE WHEN row_nr % 13 > 2 AND row_nr NOT BETWEEN 40 AND 70 THEN n_midprice END").alias("x"), F.lit("t").alias("tag"))
