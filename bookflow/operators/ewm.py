@@ -145,11 +145,6 @@ def reduced(x: np.ndarray, alpha: float) -> tuple[int, float | None, float, floa
     return int(at[0]), float(x[at[0]]), float(after[0]), float((gains * x[at[1:]] * after[1:]).sum()), int(len(x) - 1 - at[-1])
 
 
-def resumed(x: np.ndarray, alpha: float, y: float, gap: int) -> np.ndarray:
-    """The means of a stretch from the mean before it and the missing values since; NaN: there is no value yet."""
-    return walked(x, alpha, y, (1 - alpha) ** gap)[0]
-
-
 def starts(maps: pd.DataFrame, alphas: dict[str, float]) -> pd.DataFrame:
     """For each stretch of a group the mean and the missing values before it, from the maps in order."""
     out = maps[[*GROUP, "stretch"]].copy()
@@ -191,18 +186,31 @@ def scan(ticks: DataFrame, column: str, alphas: dict[str, float], stretch: int |
     maps = rows.filter("__long").select(*GROUP, "__stretch", "row_nr", column).groupBy(*GROUP, "__stretch").applyInArrow(reduce_, T.StructType(fields + shapes))
     before = maps.groupBy(*GROUP).applyInPandas(compose, begun).withColumnRenamed("stretch", "__stretch")
     joined = rows.join(before, [*GROUP, "__stretch"], "left")
-    kept = ticks.columns
+    # A stretch's rows in one task and in order, whatever way the join went.
+    placed = joined.selectExpr(*(f"`{c}`" for c in ticks.columns), *(f"{part}_{name}" for name in alphas for part in ("y", "gap")), f"(row_number() OVER (PARTITION BY {', '.join(GROUP)}, __stretch ORDER BY row_nr) - 1) AS __place")
+    kept = len(ticks.columns)
 
-    def replay(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row_nr")
-        x, out = table.column(column).to_pandas().to_numpy(float), table.select(kept)
-        for name, alpha in alphas.items():
-            y, gap = table.column(f"y_{name}")[0].as_py(), table.column(f"gap_{name}")[0].as_py()
-            out = out.append_column(name, pa.array(resumed(x, alpha, np.nan if y is None else y, gap or 0), from_pandas=True))
-        return out
+    def replay(batches):
+        held, last = dict.fromkeys(alphas, (np.nan, 1.0)), -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            number = lambda n: batch.column(n).to_pandas().to_numpy(float)
+            place = in_order(number("__place"), last)
+            edges, x, out = [0, *(np.flatnonzero(place[1:] == 0) + 1).tolist(), len(place)], number(column), []
+            for name, alpha in alphas.items():
+                begun_, gaps, parts = number(f"y_{name}"), np.nan_to_num(number(f"gap_{name}")), []
+                for a, b in pairwise(edges):
+                    y, old = (begun_[a], (1 - alpha) ** gaps[a]) if place[a] == 0 else held[name]
+                    part, old = walked(x[a:b], alpha, y, old)
+                    held[name] = float(part[-1]), old
+                    parts.append(part)
+                out.append(pa.array(np.concatenate(parts), pa.float64(), from_pandas=True))
+            last = place[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *out], names=[*batch.schema.names[:kept], *alphas])
 
     schema = T.StructType(ticks.schema.fields + [T.StructField(n, T.DoubleType()) for n in alphas])
-    return joined.groupBy(*GROUP, "__stretch").applyInArrow(replay, schema)
+    return placed.mapInArrow(replay, schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:

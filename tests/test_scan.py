@@ -24,7 +24,7 @@ def test_stretches_compose_to_the_whole(values, size, alpha):
     maps = pd.DataFrame([{"sym": 1, "date": 2, "session": 3, "stretch": k, "size": len(p), **dict(zip(("lead_y", "first_y", "slope_y", "offset_y", "tail_y"), ewm.reduced(p, alpha)))} for k, p in enumerate(parts)])
     maps["first_y"] = maps["first_y"].astype(float)
     begun = ewm.starts(maps, {"y": alpha})
-    got = np.concatenate([ewm.resumed(p, alpha, y, gap) for p, y, gap in zip(parts, begun["y_y"], begun["gap_y"])])
+    got = np.concatenate([ewm.walked(p, alpha, y, (1 - alpha) ** gap)[0] for p, y, gap in zip(parts, begun["y_y"], begun["gap_y"])])
     assert np.allclose(got, ewm.ewm(x, alpha), rtol=1e-9, atol=1e-9, equal_nan=True)
 
 
