@@ -11,6 +11,7 @@ as they do for windows of a session.
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ from bookflow.functions import windows as w
 from bookflow.functions.exprs import clean
 from bookflow.operators import features_main as main
 from bookflow.operators.ewm import alpha_of
+from bookflow.operators.rolling import in_order
 from bookflow.operators.vector import RECENT, SUMMARY
 from bookflow.plans.staged import Catalogue
-from bookflow.schema import EPS, GROUP, RAW
+from bookflow.schema import EPS, RAW
 
 #: Fixed value: ticks of the stochastic oscillator's frame.
 STOCHASTIC = 9
@@ -90,23 +92,36 @@ def recursions(mid: np.ndarray, rsv: np.ndarray, bid: np.ndarray, ask: np.ndarra
 
 
 def with_recursions(ticks: DataFrame, length: int) -> DataFrame:
-    """Ticks with each recursive feature as an array over the vector's ticks, NULL where no window ends."""
+    """Ticks with each recursive feature as an array over the vector's ticks, NULL where no window ends.
+
+    Sorted rows stream through; of the group that a batch leaves open the ticks of a window less one are kept.
+    """
+    names = ("n_midprice", "rsv", "n_bid1", "n_ask1", "ofi_1")
     schema = T.StructType(ticks.schema.fields + [T.StructField(f"alone_{n}", T.ArrayType(T.DoubleType())) for n in main.RECURSIVE])
+    rows = ticks.selectExpr("*", f"{w.row_index()} AS __at")
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("row_nr")
-        n = table.num_rows
-        column = lambda c: table.column(c).to_pandas().to_numpy(float)
-        found = recursions(*(column(c) for c in ("n_midprice", "rsv", "n_bid1", "n_ask1", "ofi_1")), length) if n >= length else {}
-        for name in main.RECURSIVE:
-            values = found.get(name, np.empty((0, len(RECENT))))
-            missing = n - len(values)
-            offsets = np.r_[np.zeros(missing, np.int32), np.arange(len(values) + 1, dtype=np.int32) * len(RECENT)]
-            mask = pa.array(np.arange(n) < missing)
-            table = table.append_column(f"alone_{name}", pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=mask))
-        return table
-
-    return ticks.groupBy(*GROUP).applyInArrow(run, schema)
+    def run(batches):
+        held, last = [np.empty(0)] * len(names), -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = in_order(batch.column(batch.num_columns - 1).to_numpy(), last)
+            columns = [batch.column(n).to_pandas().to_numpy(float) for n in names]
+            edges = [0, *(np.flatnonzero(place[1:] == 0) + 1).tolist(), len(place)]
+            missing, found = np.ones(len(place), bool), {n: [] for n in main.RECURSIVE}
+            for a, b in pairwise(edges):
+                parts = [np.concatenate([h, c[a:b]]) if place[a] else c[a:b] for h, c in zip(held, columns)]
+                if len(parts[0]) >= length:
+                    for n, values in recursions(*parts, length).items():
+                        found[n].append(values)
+                    missing[b - (len(parts[0]) - length + 1) : b] = False
+                held = [p[max(0, len(p) - length + 1) :] for p in parts]
+            last = place[-1]
+            offsets = pa.array(np.r_[0, np.cumsum(~missing) * len(RECENT)].astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty((0, len(RECENT))), *found[n]]).ravel()), mask=pa.array(missing)) for n in main.RECURSIVE]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *(f"alone_{n}" for n in main.RECURSIVE)])
+
+    return rows.mapInArrow(run, schema)
 
 
 def window_vectors(ticks: DataFrame, length: int = 100) -> DataFrame:

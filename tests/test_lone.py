@@ -14,11 +14,15 @@ from bookflow.plans.book import book
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("length", [100, 40])
-def test_lone_windows_equal_copies(spark, length):
-    """Every window of every group, gaps in prices too, with all 922 values."""
+@pytest.mark.parametrize("length, batch", [(100, 10_000), (40, 23)])
+def test_lone_windows_equal_copies(spark, length, batch):
+    """Every window of every group, whatever the size of a batch, gaps in prices too, with all 922 values."""
     ticks = book(spark, DATA, long=True).filter("sym < 3 AND row_nr <= 240").withColumn("n_midprice", F.when(F.col("row_nr") % 37 != 0, F.col("n_midprice")))
-    got = {(r.sym, r.row_nr): r.vector for r in lone.window_vectors(ticks, length).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.sym, r.row_nr): r.vector for r in lone.window_vectors(ticks, length).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     copies = samples.lone_windows(ticks, length, 1)
     featured = vector.pyramid(features_main.features(copies), features_main.FEATURES).filter(f"row_nr = {length}")
     want = {(r.sym, r.window_end + 1): r.vector for r in featured.select("sym", "window_end", "vector").collect()}
