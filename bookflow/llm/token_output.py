@@ -142,8 +142,9 @@ def write(docs: DataFrame, tokenizer_json: str, path: str, end_id: int, id_col:
             flat, sizes = flat_bytes(batch.column(1))
             counts = sizes // np.dtype(width).itemsize
             raw, spans, marks = huffman.pack(np.frombuffer(flat, width), counts, *codes)
-            ids_of = batch.column(0).to_numpy(zero_copy_only=False)
-            part = np.where(np.isnan(ids_of), 0, np.searchsorted(splits, ids_of, side="right")) if batch.column(0).null_count else np.searchsorted(splits, ids_of, side="right")
+            # As whole numbers throughout: doubles would take neighbouring large ids for one. No id comes first.
+            absent = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            part = np.where(absent, 0, np.searchsorted(splits, batch.column(0).fill_null(0).to_numpy(), side="right"))
             yield pa.RecordBatch.from_arrays([pa.array(slots[part]), pa.array(part.astype(np.int32)), batch.column(0), pa.array(counts), binary_column(marks.astype("<u4").tobytes(), 4 * huffman.lots(counts)[0]), binary_column(raw, spans)], names=["slot", "part", "doc_id", "n", "marks", "bits"])
 
     def block(batches):

@@ -136,6 +136,15 @@ def test_token_files(spark, spec, tmp_path):
     assert token_output.round_trip(empty(spark), spec, 2).count() == 0
 
 
+def test_token_files_of_large_ids(spark, spec, tmp_path):
+    """Neighbouring ids that are one number as doubles, beside a document without an id: still in order of their ids."""
+    ids = [2**60 + k for k in range(2000)]
+    docs = spark.createDataFrame([(None, "none"), *((i, f"word {i}") for i in ids[::2] + ids[1::2])], "doc_id long, text string").coalesce(1)
+    token_output.write(docs, spec, f"file://{tmp_path}/tokens", end_id=2)
+    rows = sorted(token_output.read(spark, f"file://{tmp_path}/tokens").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, *ids]
+
+
 def test_bpe(spark, spec):
     rows = bpe_ops.digest(documents(spark), spec).collect()
     expected = {(r[0], r[1]): x for r, x in zip(ROWS, library_ids(r[1] for r in ROWS))}
