@@ -17,11 +17,11 @@ def folders(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, label: str, **options: str | int) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in shared scratch space and read it back: lineage is cut, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -47,6 +47,8 @@ from bookflow.llm.common import materialize, remove, scratch
 
 #: Documents and postings of a block, at most (one document may have more postings).
 BLOCK_DOCS, BLOCK_POSTINGS = 4096, 500_000
+#: Blocks of a row group, at most: Spark's writer holds a row group, and its reader takes one as a batch, whatever its bytes.
+GROUP = {"parquet.block.row.count.limit": 2}
 #: A step of the saturation, which is below a million: 255 steps reach it.
 STEP = -(-1_000_000 // 255)
 #: Text of a batch of queries.
@@ -134,7 +136,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(held.row(), schema)], schema=schema)
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    raw, folder = materialize(source.mapInArrow(exact, EXACT), "postings")
+    raw, folder = materialize(source.mapInArrow(exact, EXACT), "postings", **GROUP)
 
     def sizes(batches):
         seen = [wide(b["lens"]) for b in _blocks(batches)]
@@ -153,7 +155,7 @@ def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             b |= {"impacts": impacts.astype(np.uint8).tobytes(), "tops": tops.astype(np.uint8).tobytes()}
             yield pa.RecordBatch.from_arrays([pa.array([b[f.name].to_pylist()] if f.name == "terms" else [b[f.name]], f.type) for f in schema], schema=schema)
 
-    raw.mapInArrow(quantised, INDEX).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    raw.mapInArrow(quantised, INDEX).write.option("compression", "zstd").options(**GROUP).parquet(f"{path}/blocks")
     remove(spark, folder)
 
 

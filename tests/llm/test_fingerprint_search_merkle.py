@@ -230,3 +230,14 @@ def test_a_manifest_is_read_again(spark, tmp_path):
 def test_merkle_query_on_the_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text").collect()]
     assert sorted(tuple(r) for r in queries.op13_merkle(spark, DATA).collect()) == sorted(verified(rows))
+
+
+def test_a_row_group_of_the_index_holds_few_blocks(spark, tmp_path):
+    """A batch of the reader is a row group: blocks of a few MB each must not all come at once, however many a task writes."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 6 * lexical.BLOCK_DOCS, 1, 1).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text"))
+    lexical.build(docs, f"{tmp_path}/index")
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "index/blocks").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 6
+    assert all(f.row_group(k).num_rows <= 2 for f in files for k in range(f.num_row_groups))
