@@ -16,10 +16,10 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """(label, text) of at most ``rows`` labelled documents that aren't held out, and the folder that holds them.
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int | None = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(label, text) of at most ``rows`` labelled documents (None: all) that aren't held out, and the folder that holds them.
 
-    The ids that are sent to all executors are bounded by ``rows``. Of several labels of one id the largest counts, of several
+    The ids that are sent to all executors are bounded by ``rows``; all rows are joined as Spark sees fit. Of several labels of one id the largest counts, of several
     texts the greatest; labels other than 0 and 1 don't.
     """
     picked = (
@@ -27,8 +27,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, rows: int = S
         .filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id"))
         .groupBy("id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(rows)
     )
+    if rows is not None:
+        picked = F.broadcast(picked.orderBy(F.xxhash64("id"), "id").limit(rows))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return materialize(texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.max("text").alias("text")), "labelled")
+    return materialize(texts.join(picked, "id").groupBy("id", "label").agg(F.max("text").alias("text")), "labelled")

@@ -7,8 +7,12 @@ weight vector over both kinds is fitted so that the score difference explains th
 differences; Newton steps, each solved by conjugate gradients). The threshold is the quantile of the training scores at the
 share of label 0, and scores are shifted on the logistic scale so that it lies at 0.3.
 
-Fitted on at most ``SAMPLE_ROWS`` labelled rows that aren't held out, in ``PAIRS`` pairs drawn of them with a fixed seed; every
-document is scored by its whole text.
+Two fits. ``whole``, which the queries use: every labelled row that isn't held out gives words, means, knots, the threshold
+and the model, and every row of label 1 is set against every row of label 0. The pairs aren't listed: what a row adds to
+the gradient depends on its score and the other label's scores alone, so scores are counted in bins of 1 / ``BINS`` (each
+stands for the mean of its scores), and each evaluation is two Spark jobs over the stored features. Steps are quasi-Newton ones.
+Otherwise, for a fit of bounded cost: at most ``SAMPLE_ROWS`` labelled rows, in ``PAIRS`` pairs drawn of them with a fixed seed.
+Either way every document is scored by its whole text.
 
 Defined results: a null text is the empty text and has a score too; equal texts have equal scores; without labels of
 both kinds every score is 0.5; an empty table gives no rows; other columns are ignored.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 from operator import eq
 
 import numpy as np
@@ -26,15 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.llm.bpe import rows_of
-from bookflow.llm.common import remove
+from bookflow.llm.common import materialize, remove
 from bookflow.llm.labelled import SAMPLE_ROWS, held_out, training_rows
 from bookflow.llm.telling import Sparse, solve, telling
+from bookflow.operators.quantile import exact_percentiles
 
 CUT = 0.3
 #: Preference pairs that a model is fitted on.
 PAIRS = 30_000
 #: Ridge of the weights of dense and of sparse features.
 RIDGE, SPARSE_RIDGE = 3e-3, 3e-2
+#: Bins of scores to a unit, and the score beyond which chances are taken as there.
+BINS, EDGE = 32, 40
+#: A fit ends when half of this is about what the mean loss may still fall by.
+END = 1e-8
+GRID = np.arange(-EDGE * BINS, EDGE * BINS + 1) / BINS
 SYMBOLS = "!|*$%#&@~^=_+<>{}[]\\/"
 _KINDS = np.array([0 if c.isspace() else 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5 for c in map(chr, range(0x250))] + [6], np.uint8)
 SENTENCE = re.compile(r"[.!?](?:\s|$)")
@@ -160,16 +171,14 @@ class Scorer:
         if self.model is None or not texts:
             return np.full(len(texts), 0.5)
         m = self.model
-        raw = basis(np.array([features(t or "") for t in texts]), m) @ m["weights"]
+        raw = (basis(np.array([features(t or "") for t in texts]), m) * m["weights"]).sum(axis=1)  # row by row: the same wherever a text stands
         raw += [sum(m["sparse"][k] * v for k, v in zip(*self.words(t or ""))) for t in texts]
         return 1 / (1 + np.exp(-np.clip((raw - m["cut"]) * 2 * m["scale"] + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """The model. What the driver gathers is bounded: the telling words, and the features of at most ``rows`` documents."""
-    sample, held = training_rows(docs, labels, target, rows, id_col, text_col)
-    words = [w for w, *_ in telling(sample, lambda text: set(text.split()), either=True)]
-    spec = docs.sparkSession.sparkContext.broadcast(words)
+def examples(sample: DataFrame, words: list[str]) -> DataFrame:
+    """(id, label, x, at, n): the features of training rows."""
+    spec = sample.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
         sparse = Words(spec.value)
@@ -178,14 +187,145 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
             found = [sparse(t) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t) for t in texts], pa.list_(pa.float64())), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["id", "label", "x", "at", "n"])
 
-    table = sample.select("id", "label", "text").mapInArrow(run, "id long, label int, x array<double>, at array<int>, n array<double>").toArrow().sort_by("id")
+    return sample.select("id", "label", "text").mapInArrow(run, "id long, label int, x array<double>, at array<int>, n array<double>")
+
+
+def arrays(table: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, Sparse]:
+    """(labels, dense features, sparse ones) of rows of :func:`examples`."""
+    columns = [table.column(c) for c in ("label", "x", "at", "n")]
+    label, x, at, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+    row = np.repeat(np.arange(len(label)), np.array(at.value_lengths(), np.int64))
+    return np.array(label), np.array(x.flatten(), float).reshape(len(label), -1), Sparse(row, np.array(at.flatten(), np.int64), np.array(n.flatten(), float), (len(label), width))
+
+
+def summed(rows: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, Sparse], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of a vector: a task adds up its own, Spark the tasks' by place."""
+
+    def run(batches):
+        total = np.zeros(size)
+        for batch in (part for whole in batches for part in rows_of(whole, 2048)):
+            total += of(*arrays(batch, width))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["k", "v"])
+
+    found = rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(size)
+    out[found.column("k").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def chances(hist: np.ndarray) -> tuple[float, np.ndarray]:
+    """From (label, number and sum of scores, bin): the mean loss of all pairs; on ``GRID``, for a row of label 0 and of label 1, the mean
+    chance p that the model gives to the other order, and the mean p(1 - p), each over the other label's rows and by row."""
+    (m0, n0), (m1, n1) = ((total[n > 0] / n[n > 0], n[n > 0] / n.sum()) for n, total in hist)
+    p0, p1 = (1 / (1 + np.exp(np.clip(d, -30, 30))) for d in (m1 - GRID[:, None], GRID[:, None] - m0))
+    size0, size1 = hist[:, 0].sum(axis=1)
+    return float(n1 @ np.logaddexp(0, m0 - m1[:, None]) @ n0), np.array([[p0 @ n1, (p0 * (1 - p0)) @ n1], [-(p1 @ n0), (p1 * (1 - p1)) @ n0]]) / np.array([size0, size1])[:, None, None]
+
+
+def fit_whole(rows: DataFrame, width: int, steps: int = 100, memory: int = 12) -> dict | None:
+    """Weights from all pairs of all ``rows``; None without both labels. The driver holds vectors of a weight a feature."""
+    sizes = dict(rows.groupBy("label").count().collect())
+    if not sizes.get(0) or not sizes.get(1):
+        return None
+    size = {k: float(n) for k, n in sizes.items()}
+    each = rows.select(F.posexplode("x").alias("k", "v")).groupBy("k")
+    found = each.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile_approx("v", list(KNOTS), 10_000).alias("knots")).orderBy("k").collect()
+    model = {"mean": np.array([r["mean"] for r in found]), "std": np.array([r["std"] for r in found]) + 1e-9}
+    model["knots"] = np.clip((np.array([r["knots"] for r in found]).T - model["mean"]) / model["std"], -6, 6)
+    wide = len(found) * (1 + len(KNOTS))
+    ridge = np.r_[np.full(wide, RIDGE), np.full(width, SPARSE_RIDGE)]
+
+    def scores(w, x, sparse):
+        b = basis(x, model)
+        return b, b @ w[:wide] + sparse.dot(w[wide:])
+
+    def histogram(w):
+        def of(y, x, sparse):
+            s = scores(w, x, sparse)[1]
+            at = (np.clip(np.rint(s * BINS), -EDGE * BINS, EDGE * BINS) + EDGE * BINS).astype(np.int64)
+            return np.concatenate([np.bincount(at[y == k], weights, len(GRID)) for k in (0, 1) for weights in (None, s[y == k])])
+
+        return summed(rows, width, of, 4 * len(GRID)).reshape(2, 2, len(GRID))
+
+    upper = np.triu_indices(wide)
+    parts = np.cumsum([wide + width, len(upper[0]), 2 * wide, 2])
+
+    def slope(w, at_score):
+        """The gradient, and what solves about the curvature: as if a pair's weight were the product of its rows' weights."""
+
+        def of(y, x, sparse):
+            b, s = scores(w, x, sparse)
+            c, a = (np.where(y == 1, np.interp(s, GRID, at_score[1, k]), np.interp(s, GRID, at_score[0, k])) for k in (0, 1))
+            squares = Sparse(sparse.row, sparse.column, sparse.value**2, sparse.shape).dot_rows(a)
+            sides = [(a * (y == k)) for k in (0, 1)]
+            return np.concatenate([c @ b, sparse.dot_rows(c), ((b * a[:, None]).T @ b)[upper], *(v @ b for v in sides), [v.sum() for v in sides], squares])
+
+        g, triangle, means, total, squares = np.split(summed(rows, width, of, int(parts[-1]) + width), parts)
+        curved = np.zeros((wide, wide))
+        curved[upper] = triangle
+        curved = curved + np.triu(curved, 1).T
+        both = np.outer(means[:wide], means[wide:]) / max(np.sqrt(total.prod()), 1e-300)
+        solved = np.linalg.inv(curved - both - both.T + RIDGE * np.eye(wide))
+        return g + ridge * w, lambda v: np.r_[solved @ v[:wide], v[wide:] / (squares + SPARSE_RIDGE)]
+
+    w = np.zeros(len(ridge))
+    loss, at_score = chances(histogram(w))
+    (g, easy), past = slope(w, at_score), []
+    for _ in range(steps):
+        if g @ easy(g) < END:
+            break
+        v, held = g.copy(), []
+        for d, change in reversed(past):
+            held.append((d @ v) / (d @ change))
+            v -= held[-1] * change
+        v = easy(v)
+        for (d, change), a in zip(past, reversed(held)):
+            v += (a - (change @ v) / (d @ change)) * d
+        part = 1.0
+        while part > 1e-3:
+            new = w - part * v
+            after, at_score = chances(histogram(new))
+            after += 0.5 * ridge @ new**2
+            if after <= loss - 1e-4 * part * (g @ v) + 1e-7:
+                break
+            part /= 2
+        else:
+            break
+        turned, easy = slope(new, at_score)
+        if (new - w) @ (turned - g) > 0:
+            past = [*past, (new - w, turned - g)][-memory:]
+        w, g, loss = new, turned, after
+
+    def raw(batches):
+        for batch in (part for whole in batches for part in rows_of(whole, 2048)):
+            _, x, sparse = arrays(batch, width)
+            yield pa.RecordBatch.from_arrays([pa.array(scores(w, x, sparse)[1])], names=["raw"])
+
+    scored, folder = materialize(rows.mapInArrow(raw, "raw double"), "training-scores")
+    cut = exact_percentiles(scored, "raw", [size[0] / sum(size.values())]).first()[0]
+    spread = scored.agg(F.stddev_pop("raw")).first()[0]
+    remove(rows.sparkSession, folder)
+    return model | {"weights": w[:wide], "sparse": w[wide:], "cut": float(cut[0] if isinstance(cut, list) else cut), "scale": float(1 / max(spread, 1e-9))}
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> dict | None:
+    """The model, from all training rows (``whole``) or from at most ``rows``. The driver gathers the telling words, and of a bounded
+    fit the features of its rows."""
+    sample, held = training_rows(docs, labels, target, None if whole else rows, id_col, text_col)
+    words = [w for w, *_ in telling(sample, lambda text: set(text.split()), either=True)]
+    if whole:
+        stored, folder = materialize(examples(sample, words), "examples")
+        remove(docs.sparkSession, held)
+        model = fit_whole(stored.select("label", "x", "at", "n"), len(words))
+        remove(docs.sparkSession, folder)
+        return model and model | {"words": words}
+    table = examples(sample, words).toArrow().sort_by("id")
     remove(docs.sparkSession, held)
     if not table.num_rows:
         return None
-    x = np.array(table.column("x").combine_chunks().flatten()).reshape(table.num_rows, -1)
-    at, n = (table.column(c).combine_chunks() for c in ("at", "n"))
-    row = np.repeat(np.arange(table.num_rows), np.array(at.value_lengths()))
-    model = fit(x, table.column("label").to_numpy(), Sparse(row, np.array(at.flatten(), np.int64), np.array(n.flatten()), (table.num_rows, len(words))))
+    y, x, sparse = arrays(table, len(words))
+    model = fit(x, y, sparse)
     return model and model | {"words": words}
 
 
@@ -202,15 +342,15 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     return source.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(id, held_out, score, predicted)."""
-    model = train(docs, labels, id_col=id_col, text_col=text_col)
+    model = train(docs, labels, id_col=id_col, text_col=text_col, whole=whole)
     return score(docs, model, id_col, text_col).select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", whole: bool = False) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns: rows pass through the scorer whole."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, whole=whole))
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.llm.bpe import rows_of
+from bookflow.llm.common import materialize, remove
+
+#: Features whose counts a task holds before it passes them on.
+HELD_FEATURES = 200_000
 
 
 def telling(sample: DataFrame, features_of: Callable[[str], set[str]], either: bool = False, least: int = 4, level: float = 0.05) -> list[tuple[str, int, int]]:
@@ -19,13 +23,19 @@ def telling(sample: DataFrame, features_of: Callable[[str], set[str]], either: b
     strongest first. All features that pass are returned: their number is bounded by the sample's texts alone.
     """
 
+    def counted(seen):
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["feature", "n0", "n1"])
+
     def count(batches):
         seen: dict[str, list[int]] = {}
         for batch in (part for whole in batches for part in rows_of(whole)):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for feature in features_of(text):
                     seen.setdefault(feature, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["feature", "n0", "n1"])
+            if len(seen) > HELD_FEATURES:
+                yield counted(seen)
+                seen = {}
+        yield counted(seen)
 
     sizes = dict(sample.groupBy("label").count().collect())
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
@@ -36,9 +46,11 @@ def telling(sample: DataFrame, features_of: Callable[[str], set[str]], either: b
     term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
     g = 2 * (term(F.col("n1"), n * share) + term(F.col("n0"), n * (1 - share)))
     wanted = F.lit(True) if either else (F.col("n1") > n * share) & (2 * F.col("n1") >= n)
-    tested = counts.withColumn("g", g)
+    tested, held = materialize(counts.withColumn("g", g), "feature-counts")
     critical = 2 * np.log(max(2, tested.count()) / level)
-    return [tuple(r) for r in tested.filter((F.col("g") >= float(critical)) & wanted).orderBy(F.desc("g"), "feature").select("feature", "n0", "n1").collect()]
+    found = [tuple(r) for r in tested.filter((F.col("g") >= float(critical)) & wanted).orderBy(F.desc("g"), "feature").select("feature", "n0", "n1").collect()]
+    remove(sample.sparkSession, held)
+    return found
 
 
 class Sparse:
