@@ -43,6 +43,8 @@ PAIRS = 30_000
 RIDGE, SPARSE_RIDGE = 3e-3, 3e-2
 #: Bins of scores to a unit, and the score beyond which chances are taken as there.
 BINS, EDGE = 32, 40
+#: Places of a vector that are summed together.
+STRETCH = 4_096
 #: A fit ends when half of this is about what the mean loss may still fall by.
 END = 1e-8
 GRID = np.arange(-EDGE * BINS, EDGE * BINS + 1) / BINS
@@ -199,19 +201,27 @@ def arrays(table: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np
 
 
 def summed(rows: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, Sparse], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all rows of a vector: a task adds up its own, Spark the tasks' by place."""
+    """The sum over all rows of a vector: a task adds up its own; the tasks' meet by stretches of ``STRETCH`` places."""
+
+    def stretches(totals):
+        return pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.int64()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["k", "v"])
 
     def run(batches):
         total = np.zeros(size)
         for batch in (part for whole in batches for part in rows_of(whole, 2048)):
             total += of(*arrays(batch, width))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["k", "v"])
-
-    found = rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
-    out = np.zeros(size)
-    out[found.column("k").to_numpy()] = found.column("v").to_numpy()
-    return out
+        yield stretches({k: total[k * STRETCH : (k + 1) * STRETCH] for k in range(-(-size // STRETCH))})
+
+    def meet(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                totals[k] = totals.get(k, 0) + np.frombuffer(v)
+        yield stretches(totals)
+
+    found = rows.mapInArrow(run, "k long, v binary").repartition("k").mapInArrow(meet, "k long, v binary").toArrow()
+    parts = dict(zip(found.column("k").to_pylist(), found.column("v").to_pylist()))
+    return np.concatenate([np.frombuffer(parts[k]) for k in sorted(parts)]) if parts else np.zeros(size)
 
 
 def chances(hist: np.ndarray) -> tuple[float, np.ndarray]:
