@@ -20,17 +20,15 @@ both kinds every score is 0.5; an empty table gives no rows; other columns are i
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.bpe import rows_of
+from bookflow.llm.bpe import chunks, rows_of
 from bookflow.llm.common import materialize, remove
 from bookflow.llm.labelled import SAMPLE_ROWS, held_out, training_rows
 from bookflow.llm.telling import Sparse, solve, telling
@@ -45,54 +43,116 @@ RIDGE, SPARSE_RIDGE = 3e-3, 3e-2
 BINS, EDGE = 32, 40
 #: Places of a vector that are summed together.
 STRETCH = 4_096
+#: Steps of a fit after which the curvature is looked at anew.
+FRESH = 4
 #: A fit ends when half of this is about what the mean loss may still fall by.
 END = 1e-8
 GRID = np.arange(-EDGE * BINS, EDGE * BINS + 1) / BINS
+#: Blocks of stored examples in a row group, at most: a reader takes a row group as a batch, whatever its bytes.
+GROUP = {"parquet.block.row.count.limit": 8}
 SYMBOLS = "!|*$%#&@~^=_+<>{}[]\\/"
 _KINDS = np.array([0 if c.isspace() else 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in ".,;:!?'\"()-" else 5 for c in map(chr, range(0x250))] + [6], np.uint8)
-SENTENCE = re.compile(r"[.!?](?:\s|$)")
+#: Characters by kind, and where each kind begins among them.
+_BY_KIND = np.argsort(_KINDS, kind="stable")
+_KIND_AT = np.searchsorted(_KINDS[_BY_KIND], range(7))
+#: White space, as words are split at it; there is none beyond.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
 #: Quantile knots at which each feature may bend.
 KNOTS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98)
 
 
 def features(text: str) -> list[float]:
-    n = len(text)
-    words, lines = text.split(), text.split("\n")
-    nw = len(words)
-    kinds = np.bincount(_KINDS[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4"), 0x250)], minlength=7) if n else np.zeros(7)
-    letters, some, each = max(1, kinds[1] + kinds[2] + kinds[6]), max(1, n), max(1, nw)
-    counts = Counter(words)
-    top = [c for _, c in counts.most_common(2)] + [0, 0]
-    symbols = sum(map(text.count, SYMBOLS))
-    long_line = Counter(lines).most_common(1)[0]
-    return [
+    """The dense features of one text."""
+    return measured([text], {})[0][0].tolist()
+
+
+def measured(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray, Sparse]:
+    """Dense features of texts, and the sparse ones: log(1 + times per hundred words) of the words that ``number`` numbers.
+
+    A word of a text goes by the place where it stands first, counted through all texts; the rest are sums over places.
+    """
+    m = len(texts)
+    at, nw, upper, found, numbers = [], [], [], [], []
+    for text in texts:
+        words, place = text.split(), {}
+        at += map(place.setdefault, words, range(len(at), len(at) + len(words)))
+        nw.append(len(words))
+        upper.append(sum(len(w) > 1 for w in filter(str.isupper, words)))
+        known = list(filter(number.__contains__, place))
+        found += map(place.__getitem__, known)
+        numbers += map(number.__getitem__, known)
+    at, nw, found, numbers = (np.array(x, np.int64) for x in (at, nw, found, numbers))
+    total = len(at)
+    n = np.fromiter(map(len, texts), np.int64, m)
+    code = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    space = _SPACE[np.minimum(code, len(_SPACE) - 1)]
+    ends = np.flatnonzero(space[1:] & ~space[:-1])
+    size = ends - np.flatnonzero(space[:-1] & ~space[1:])
+    last, kind = np.unique(code[ends], return_inverse=True)
+    last = list(map(chr, last.tolist()))
+    chars = np.array([np.bincount(np.minimum(code[b - k : b], 0x250), minlength=0x251) for k, b in zip(n, np.cumsum(n + 1))])
+
+    row = np.repeat(np.arange(m), nw)
+    times = np.bincount(at, minlength=total)
+    held = np.flatnonzero(times)
+    held_row, held_times = row[held], times[held]
+    distinct = np.bincount(held_row, minlength=m)
+    most = times.max(initial=0) + 1
+    ranked = most - np.sort(held_row * most + most - held_times) % most  # each text's counts, the highest first
+    first = np.cumsum(distinct) - distinct
+    top = [np.where(distinct > k, np.r_[ranked, 0, 0][np.minimum(first + k, len(ranked))], 0) for k in (0, 1)]
+    inside = row[1:] == row[:-1]
+    pairs = np.sort((at[:-1] * total + at[1:])[inside])
+    pairs = pairs[np.diff(pairs, prepend=-1) > 0] // max(1, total)
+
+    def ends_that(holds: Callable[[str], bool]) -> np.ndarray:
+        return np.bincount(row[np.fromiter(map(holds, last), bool, len(last))[kind]], minlength=m)
+
+    kinds = np.add.reduceat(chars[:, _BY_KIND], _KIND_AT, axis=1).T
+    lines = [_lines(t) for t in texts]
+    line_count, other_lines, repeated = (np.array(x, np.int64) for x in zip(*lines))
+    letters, some, each = np.maximum(1, kinds[1] + kinds[2] + kinds[6]), np.maximum(1, n), np.maximum(1, nw)
+    x = [
         np.log1p(nw),
         np.log1p(n),
-        sum(map(len, words)) / each,
+        np.bincount(row, size, m) / each,
         kinds[1] / letters,
         letters / some,
         kinds[3] / some,
         kinds[4] / some,
         kinds[5] / some,
-        symbols / some,
-        text.count("|") / each,
-        text.count("!") / each,
-        len(counts) / each,
+        chars[:, list(map(ord, SYMBOLS))].sum(axis=1) / some,
+        chars[:, ord("|")] / each,
+        chars[:, ord("!")] / each,
+        distinct / each,
         top[0] / each,
         (top[0] + top[1]) / each,
-        sum(map(eq, words, words[1:])) / each,
-        len(set(zip(words, words[1:]))) / each,
-        sum(len(w) <= 3 for w in counts) / max(1, len(counts)),
-        sum(len(w) >= 12 for w in counts) / max(1, len(counts)),
-        1 - len(set(lines)) / len(lines),
-        long_line[1] * (len(long_line[0]) + 1) / some if long_line[1] > 1 else 0.0,
-        np.log1p(len(lines)),
-        np.log1p(n / len(lines)),
-        len(SENTENCE.findall(text)) / each,
-        sum(w.isupper() and len(w) > 1 for w in words) / each,
-        text.count("http") / each,
-        sum(not w[-1].isalnum() for w in words) / each,
+        np.bincount(row[1:][inside & (at[1:] == at[:-1])], minlength=m) / each,
+        np.bincount(row[pairs], minlength=m) / each,
+        np.bincount(held_row[size[held] <= 3], minlength=m) / np.maximum(1, distinct),
+        np.bincount(held_row[size[held] >= 12], minlength=m) / np.maximum(1, distinct),
+        1 - other_lines / line_count,
+        repeated / some,
+        np.log1p(line_count),
+        np.log1p(n / line_count),
+        ends_that(".!?".__contains__) / each,
+        np.array(upper, np.int64) / each,
+        np.fromiter((t.count("http") for t in texts), np.int64, m) / each,
+        ends_that(lambda c: not c.isalnum()) / each,
     ]
+    order = np.argsort(row[found] * max(1, len(number)) + numbers)
+    found, in_row = found[order], row[found[order]]
+    return np.array(x).T.copy(), Sparse(in_row, numbers[order], np.log1p(100 * times[found] / nw[in_row]), (m, len(number)))
+
+
+def _lines(text: str) -> tuple[int, int, int]:
+    """(lines, distinct ones, characters of the line that comes most often, if more than once)."""
+    lines = text.split("\n")
+    different = len(set(lines))
+    if different == len(lines):
+        return len(lines), different, 0
+    line, times = Counter(lines).most_common(1)[0]
+    return len(lines), different, times * (len(line) + 1)
 
 
 def basis(x: np.ndarray, model: dict) -> np.ndarray:
@@ -101,20 +161,6 @@ def basis(x: np.ndarray, model: dict) -> np.ndarray:
     return np.concatenate([z] + [np.maximum(0, z - k) for k in model["knots"]], axis=1)
 
 
-class Words:
-    """The sparse features of a text: log(1 + times per hundred words) of the model's words."""
-
-    def __init__(self, words: list[str]):
-        self.number = {w: k for k, w in enumerate(words)}
-
-    def __call__(self, text: str) -> tuple[list[int], list[float]]:
-        words = text.split()
-        found = Counter(w for w in words if w in self.number)
-        at = sorted(self.number[w] for w in found)
-        times = {self.number[w]: n for w, n in found.items()}
-        return at, [float(np.log1p(100 * times[k] / len(words))) for k in at]
-
-
 def fit(x: np.ndarray, y: np.ndarray, sparse: Sparse | None = None, pairs: int = PAIRS, steps: int = 20, seed: int = 7) -> dict | None:
     """Weights from preference pairs; None without both labels."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
@@ -167,37 +213,47 @@ class Scorer:
 
     def __init__(self, model: dict | None):
         self.model = model
-        self.words = Words(model["words"]) if model else None
+        self.number = {w: k for k, w in enumerate(model["words"])} if model else {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None or not texts:
             return np.full(len(texts), 0.5)
         m = self.model
-        raw = (basis(np.array([features(t or "") for t in texts]), m) * m["weights"]).sum(axis=1)  # row by row: the same wherever a text stands
-        raw += [sum(m["sparse"][k] * v for k, v in zip(*self.words(t or ""))) for t in texts]
-        return 1 / (1 + np.exp(-np.clip((raw - m["cut"]) * 2 * m["scale"] + np.log(CUT / (1 - CUT)), -30, 30)))
+        raw = []
+        for part in chunks(texts):
+            x, sparse = measured(part, self.number)
+            raw.append((basis(x, m) * m["weights"]).sum(axis=1) + sparse.dot(m["sparse"]))  # row by row: the same wherever a text stands
+        return 1 / (1 + np.exp(-np.clip((np.concatenate(raw) - m["cut"]) * 2 * m["scale"] + np.log(CUT / (1 - CUT)), -30, 30)))
 
 
 def examples(sample: DataFrame, words: list[str]) -> DataFrame:
-    """(id, label, x, at, n): the features of training rows."""
+    """(id, label, x, size, at, n): the features of training rows, each column the bytes of an array over some 256 rows, so that a step
+    of a fit reads them without a look at each value. ``size``: a row's sparse features; ``at``, ``n``: their numbers and values."""
     spec = sample.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        sparse = Words(spec.value)
+        number = {w: k for k, w in enumerate(spec.value)}
         for batch in (part for whole in batches for part in rows_of(whole)):
-            texts = batch.column(2).to_pylist()
-            found = [sparse(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t) for t in texts], pa.list_(pa.float64())), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float64()))], names=["id", "label", "x", "at", "n"])
+            done = 0
+            for texts in chunks(batch.column(2).to_pylist()):
+                x, sparse = measured(texts, number)
+                ids, labels = (batch.column(k).slice(done, len(texts)).to_numpy().astype(kind) for k, kind in ((0, "<i8"), (1, "<i4")))
+                done += len(texts)
+                size = np.bincount(sparse.row, minlength=len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, labels, x, size, sparse.column.astype("<i4"), sparse.value)], names=["id", "label", "x", "size", "at", "n"])
 
-    return sample.select("id", "label", "text").mapInArrow(run, "id long, label int, x array<double>, at array<int>, n array<double>")
+    return sample.select("id", "label", "text").mapInArrow(run, "id binary, label binary, x binary, size binary, at binary, n binary")
+
+
+def flat(table: pa.Table | pa.RecordBatch, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
 def arrays(table: pa.Table | pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, Sparse]:
-    """(labels, dense features, sparse ones) of rows of :func:`examples`."""
-    columns = [table.column(c) for c in ("label", "x", "at", "n")]
-    label, x, at, n = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
-    row = np.repeat(np.arange(len(label)), np.array(at.value_lengths(), np.int64))
-    return np.array(label), np.array(x.flatten(), float).reshape(len(label), -1), Sparse(row, np.array(at.flatten(), np.int64), np.array(n.flatten(), float), (len(label), width))
+    """(labels, dense features, sparse ones) of blocks of :func:`examples`."""
+    y = flat(table, "label", "<i4")
+    row = np.repeat(np.arange(len(y)), flat(table, "size", "<i8"))
+    return y, flat(table, "x", "<f8").reshape(len(y), -1), Sparse(row, flat(table, "at", "<i4").astype(np.int64), flat(table, "n", "<f8"), (len(y), width))
 
 
 def summed(rows: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, Sparse], np.ndarray], size: int) -> np.ndarray:
@@ -208,7 +264,7 @@ def summed(rows: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray, Sp
 
     def run(batches):
         total = np.zeros(size)
-        for batch in (part for whole in batches for part in rows_of(whole, 2048)):
+        for batch in (part for whole in batches for part in rows_of(whole, 8)):
             total += of(*arrays(batch, width))
         yield stretches({k: total[k * STRETCH : (k + 1) * STRETCH] for k in range(-(-size // STRETCH))})
 
@@ -235,11 +291,16 @@ def chances(hist: np.ndarray) -> tuple[float, np.ndarray]:
 
 def fit_whole(rows: DataFrame, width: int, steps: int = 100, memory: int = 12) -> dict | None:
     """Weights from all pairs of all ``rows``; None without both labels. The driver holds vectors of a weight a feature."""
-    sizes = dict(rows.groupBy("label").count().collect())
-    if not sizes.get(0) or not sizes.get(1):
+    size = summed(rows, width, lambda y, x, sparse: np.bincount(y, minlength=2).astype(float), 2)
+    if not size.all():
         return None
-    size = {k: float(n) for k, n in sizes.items()}
-    each = rows.select(F.posexplode("x").alias("k", "v")).groupBy("k")
+
+    def values(batches):
+        for batch in (part for whole in batches for part in rows_of(whole, 8)):
+            _, x, _ = arrays(batch, width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(x.shape[1], dtype=np.int32), len(x))), pa.array(x.ravel())], names=["k", "v"])
+
+    each = rows.mapInArrow(values, "k int, v double").groupBy("k")
     found = each.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile_approx("v", list(KNOTS), 10_000).alias("knots")).orderBy("k").collect()
     model = {"mean": np.array([r["mean"] for r in found]), "std": np.array([r["std"] for r in found]) + 1e-9}
     model["knots"] = np.clip((np.array([r["knots"] for r in found]).T - model["mean"]) / model["std"], -6, 6)
@@ -261,16 +322,21 @@ def fit_whole(rows: DataFrame, width: int, steps: int = 100, memory: int = 12) -
     upper = np.triu_indices(wide)
     parts = np.cumsum([wide + width, len(upper[0]), 2 * wide, 2])
 
-    def slope(w, at_score):
-        """The gradient, and what solves about the curvature: as if a pair's weight were the product of its rows' weights."""
+    def slope(w, at_score, easy=None):
+        """The gradient, and what solves about the curvature (where none is given): as if a pair's weight were the product of its rows' weights."""
 
         def of(y, x, sparse):
             b, s = scores(w, x, sparse)
             c, a = (np.where(y == 1, np.interp(s, GRID, at_score[1, k]), np.interp(s, GRID, at_score[0, k])) for k in (0, 1))
+            turn = [c @ b, sparse.dot_rows(c)]
+            if easy:
+                return np.concatenate(turn)
             squares = Sparse(sparse.row, sparse.column, sparse.value**2, sparse.shape).dot_rows(a)
             sides = [(a * (y == k)) for k in (0, 1)]
-            return np.concatenate([c @ b, sparse.dot_rows(c), ((b * a[:, None]).T @ b)[upper], *(v @ b for v in sides), [v.sum() for v in sides], squares])
+            return np.concatenate([*turn, ((b * a[:, None]).T @ b)[upper], *(v @ b for v in sides), [v.sum() for v in sides], squares])
 
+        if easy:
+            return summed(rows, width, of, wide + width) + ridge * w, easy
         g, triangle, means, total, squares = np.split(summed(rows, width, of, int(parts[-1]) + width), parts)
         curved = np.zeros((wide, wide))
         curved[upper] = triangle
@@ -282,7 +348,7 @@ def fit_whole(rows: DataFrame, width: int, steps: int = 100, memory: int = 12) -
     w = np.zeros(len(ridge))
     loss, at_score = chances(histogram(w))
     (g, easy), past = slope(w, at_score), []
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         if g @ easy(g) < END:
             break
         v, held = g.copy(), []
@@ -302,18 +368,18 @@ def fit_whole(rows: DataFrame, width: int, steps: int = 100, memory: int = 12) -
             part /= 2
         else:
             break
-        turned, easy = slope(new, at_score)
+        turned, easy = slope(new, at_score, easy if step % FRESH else None)
         if (new - w) @ (turned - g) > 0:
             past = [*past, (new - w, turned - g)][-memory:]
         w, g, loss = new, turned, after
 
     def raw(batches):
-        for batch in (part for whole in batches for part in rows_of(whole, 2048)):
+        for batch in (part for whole in batches for part in rows_of(whole, 8)):
             _, x, sparse = arrays(batch, width)
             yield pa.RecordBatch.from_arrays([pa.array(scores(w, x, sparse)[1])], names=["raw"])
 
     scored, folder = materialize(rows.mapInArrow(raw, "raw double"), "training-scores")
-    cut = exact_percentiles(scored, "raw", [size[0] / sum(size.values())]).first()[0]
+    cut = exact_percentiles(scored, "raw", [float(size[0] / size.sum())]).first()[0]
     spread = scored.agg(F.stddev_pop("raw")).first()[0]
     remove(rows.sparkSession, folder)
     return model | {"weights": w[:wide], "sparse": w[wide:], "cut": float(cut[0] if isinstance(cut, list) else cut), "scale": float(1 / max(spread, 1e-9))}
@@ -325,17 +391,20 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     sample, held = training_rows(docs, labels, target, None if whole else rows, id_col, text_col)
     words = [w for w, *_ in telling(sample, lambda text: set(text.split()), either=True)]
     if whole:
-        stored, folder = materialize(examples(sample, words), "examples")
+        stored, folder = materialize(examples(sample, words), "examples", **GROUP)
         remove(docs.sparkSession, held)
-        model = fit_whole(stored.select("label", "x", "at", "n"), len(words))
+        model = fit_whole(stored.drop("id"), len(words))
         remove(docs.sparkSession, folder)
         return model and model | {"words": words}
-    table = examples(sample, words).toArrow().sort_by("id")
+    table = examples(sample, words).toArrow()
     remove(docs.sparkSession, held)
     if not table.num_rows:
         return None
     y, x, sparse = arrays(table, len(words))
-    model = fit(x, y, sparse)
+    order = np.argsort(flat(table, "id", "<i8"))
+    row = np.argsort(order)[sparse.row]
+    by_row = np.argsort(row, kind="stable")
+    model = fit(x[order], y[order], Sparse(row[by_row], sparse.column[by_row], sparse.value[by_row], sparse.shape))
     return model and model | {"words": words}
 
 

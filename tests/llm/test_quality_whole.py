@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bookflow.llm import quality
@@ -46,3 +49,29 @@ def test_equal_texts_have_equal_scores(spark, marks):
 def test_rows_beyond_the_bounded_sample_train(spark):
     docs, marks = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     assert training_rows(docs, marks, "quality", 30)[0].count() == 30 < training_rows(docs, marks, "quality", None)[0].count() == 68
+
+
+def test_texts_measured_together_are_as_alone():
+    texts = [r[1] or "" for r in ROWS] + ["a\nb\na\nb\n", "x. y!\x1cz?", "no. NO. A", "||!! http://x"]
+    number = {"same": 2, "lorem": 0, "ipsum": 1, "word3": 3}
+    x, sparse = quality.measured(texts, number)
+    for k, text in enumerate(texts):
+        words = text.split()
+        assert x[k].tolist() == quality.features(text)
+        assert x[k][11] == len(set(words)) / max(1, len(words)) and x[k][15] == len(set(zip(words, words[1:]))) / max(1, len(words))
+        assert x[k][22] == len(re.findall(r"[.!?](?:\s|$)", text)) / max(1, len(words)) and x[k][23] == sum(w.isupper() and len(w) > 1 for w in words) / max(1, len(words))
+        found = {number[w]: np.log1p(100 * words.count(w) / len(words)) for w in number if w in words}
+        assert dict(zip(sparse.column[sparse.row == k].tolist(), sparse.value[sparse.row == k].tolist())) == pytest.approx(found)
+
+
+def test_steps_read_blocks_and_seldom_sum_the_curvature(spark, monkeypatch):
+    """A step reads a row per block of documents, not a value at a time, and most steps sum a number a feature only."""
+    sample, _ = training_rows(table(spark, DATA, "documents"), table(spark, DATA, "labels"), "quality", None)
+    blocks = quality.examples(sample.coalesce(1), ["a"])
+    held = blocks.toArrow()
+    assert held.num_rows == 1 and set(held.schema.types) == {pa.binary()}
+    sizes = []
+    monkeypatch.setattr(quality, "summed", lambda rows, width, of, size: sizes.append(size) or of(*quality.arrays(held, width)))
+    quality.fit_whole(blocks.drop("id"), 1, steps=8)
+    slopes = [s for s in sizes if s not in (2, 4 * len(quality.GRID))]
+    assert len(slopes) > 4 and sum(s > 1000 for s in slopes) <= 1 + len(slopes) // 4
